@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import blocks, mix, text_of, window_hashes
+from tessera.llm.textkit import blocks, bounded_batches, mix, text_of, window_hashes
 from tessera.storage import materialise
 
 #: The most frequent function words of the four languages.
@@ -47,7 +47,7 @@ CLASSES = ("lower", "upper", "digit", "space", "newline", "stop", "punctuation",
 
 
 def _class_table() -> np.ndarray:
-    table = np.full(256, -1, np.int64)  # continuation bytes belong to no class
+    table = np.full(256, -1, np.int8)  # continuation bytes belong to no class
     table[0:0x80] = CLASSES.index("control")
     table[0x21:0x7F] = CLASSES.index("punctuation")
     table[ord("a") : ord("z") + 1] = CLASSES.index("lower")
@@ -138,10 +138,7 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
         later = _later_equals(block.span_hashes(line_starts, line_ends), line_text)
         dup_lines = np.bincount(line_text[later], minlength=n)
         # histograms
-        byte_text = np.repeat(np.arange(n), np.diff(block.bounds))
-        kind = _CLASS[data]
-        real = kind >= 0
-        classes = np.bincount(byte_text[real] * depth + kind[real], minlength=n * depth).reshape(n, depth)
+        classes = np.stack([block.per_text(_CLASS[data] == k) for k in range(depth)], axis=1)
         low = block.lowered()
         trimmed = ends - _TRAILING[data[ends - 1]] if len(ends) else ends
         keys = low.span_hashes(starts, trimmed)
@@ -171,6 +168,7 @@ def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             arrays = [pa.array(p.astype(np.int64)) for p in parts[:5]] + [_lists(p) for p in parts[5:]]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + arrays, keep + names)
 
+    bounded_batches(docs.sparkSession)
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(run, f"{schema}, {FEATURES}")

@@ -13,8 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 400_000
+ROWS_PER_BATCH = 1000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -52,6 +54,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of so many texts at most, unless the session says otherwise: long texts come in rows, not in bytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, ROWS_PER_BATCH)
+
+
 @dataclass
 class Block:
     """Some texts side by side: ``data`` holds their bytes, ``bounds`` their n+1 limits."""
