@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality
+from tessera.llm import pii, quality, secrets
 
 import corpus_pipeline
 
 
 def queries() -> dict:
-    found = [quality.op9_quality_rules]
+    found = [pii.op5_pii, secrets.op7_secret_scan, quality.op9_quality_rules]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
