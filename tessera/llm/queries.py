@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import pii, quality, secrets
+from tessera.llm import near_dup, pii, quality, secrets
 
 import corpus_pipeline
 
 
 def queries() -> dict:
-    found = [pii.op5_pii, secrets.op7_secret_scan, quality.op9_quality_rules]
+    found = [near_dup.op3_near_duplicates, pii.op5_pii, secrets.op7_secret_scan, quality.op9_quality_rules]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
