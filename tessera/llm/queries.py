@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import near_dup, pii, quality, secrets, warc
+from tessera.llm import near_dup, pii, quality, secrets, toxicity, warc
 
 import corpus_pipeline
 
 
 def queries() -> dict:
-    found = [near_dup.op3_near_duplicates, pii.op5_pii, secrets.op7_secret_scan, quality.op9_quality_rules, warc.op10_warc]
+    found = [toxicity.op2_toxicity, near_dup.op3_near_duplicates, pii.op5_pii, secrets.op7_secret_scan, quality.op9_quality_rules, warc.op10_warc]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
