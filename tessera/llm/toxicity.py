@@ -5,7 +5,8 @@ documents.  As Kneser-Ney smoothing asks, an expression counts once for each
 document that uses it, not for each use; counts are discounted, and the
 discounted mass goes to one backoff distribution that both classes share.  An
 expression too rare in either class is therefore as likely under both and
-decides nothing.  Word pairs back off to words.  A text's score compares the
+decides nothing.  Word pairs back off to words, words to their first letters
+(so a new ending of a marked stem is recognised).  A text's score compares the
 two log-likelihoods, normalised by length (and, as a second feature, by its
 square root), through a logistic curve fitted on labelled documents that the
 counts have not seen.
@@ -43,14 +44,20 @@ LEAST_EVIDENCE = 2.0
 #: Every fourth sampled document fits the curve, the others the counts.
 CURVE_PART = 4
 
+#: Lengths, in bytes, of the beginnings that words back off to.
+STEMS = (5, 4)
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 
-def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words without punctuation at their ends, and the n+1 limits."""
+def _expressions(block: Block) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each word the hashes of its expressions from the highest order down (0: none), and the n+1 limits.
+
+    Words are lower-cased, without punctuation at their ends.
+    """
     data = _LOWER[block.data]
     if len(data) > 1:  # capitals of Latin-1 are C3 80 to C3 9E
         wide = (block.data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
@@ -61,7 +68,11 @@ def _words(block: Block) -> tuple[np.ndarray, np.ndarray]:
         ends = ends - (_EDGE[data[ends - 1]] & (ends - starts > 1)) if len(ends) else ends
     if len(starts):
         starts = starts + (_EDGE[data[starts]] & (ends - starts > 1))
-    return low.span_hashes(starts, ends), limits
+    words = low.span_hashes(starts, ends)
+    orders = [_pairs(words, limits), words]
+    for size in STEMS:
+        orders.append(np.where(ends - starts > size, mix(low.span_hashes(starts, np.minimum(starts + size, ends)) + np.uint64(size)), np.uint64(0)))
+    return orders, limits
 
 
 def _pairs(words: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -92,10 +103,11 @@ class Model:
         """For each text the difference of the log-likelihoods over its length and over the length's root."""
         out = []
         for block in blocks(texts):
-            words, limits = _words(block)
-            single = self._look(words)
-            double = self._look(_pairs(words, limits))
-            evidence = np.where(double != 0, double, single)
+            orders, limits = _expressions(block)
+            evidence = np.zeros(len(orders[0]))
+            for hashes in reversed(orders):  # a higher order, where known, replaces a lower one
+                ratio = self._look(hashes)
+                evidence = np.where(ratio != 0, ratio, evidence)
             total = np.bincount(text_of(limits), weights=evidence, minlength=block.n)
             length = np.maximum(np.diff(limits), 1)
             out.append(np.stack([total / length, total / np.sqrt(length)], axis=1))
@@ -144,9 +156,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             y = batch.column(1).to_numpy(zero_copy_only=False)
             found, marks = [], []
             for block in blocks(batch.column(0)):
-                words, limits = _words(block)
+                orders, limits = _expressions(block)
                 owner = text_of(limits).astype(np.uint64)
-                for hashes in (words, _pairs(words, limits)):
+                for hashes in orders:
                     _, at = np.unique(mix(hashes + owner * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
                     at = at[hashes[at] != 0]
                     found.append(hashes[at])
