@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import near_dup, packing, pii, quality, secrets, toxicity, warc
+from tessera.llm import ann, near_dup, packing, pii, quality, secrets, toxicity, warc
 
 import corpus_pipeline
 
 
 def queries() -> dict:
-    found = [packing.op1_packing, toxicity.op2_toxicity, near_dup.op3_near_duplicates, pii.op5_pii, secrets.op7_secret_scan, quality.op9_quality_rules, warc.op10_warc]
+    found = [ann.op4_nearest, packing.op1_packing, toxicity.op2_toxicity, near_dup.op3_near_duplicates, pii.op5_pii, secrets.op7_secret_scan, quality.op9_quality_rules, warc.op10_warc]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
