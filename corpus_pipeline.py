@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, secrets, packing."""
+"""The corpus pipeline: quality rules, toxicity, near-duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality
+from tessera.llm import near_dup, packing, quality, secrets, toxicity
 from tessera.storage import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the quality rules."""
+    """Rejected documents go."""
     return quality.quality(docs, COLUMNS).where("kept").select(*COLUMNS)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; learnt from the labels of the documents that are left."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model, COLUMNS).where("score < 0.5").select(*COLUMNS)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity 0.8."""
+    return near_dup.deduplicate(docs, size=5, percent=80).select(*COLUMNS)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked in the texts; n_chars follows."""
+    ratios = secrets.train(secrets.labelled_sample(spark))
+    found = secrets.find_secrets(docs.select(*COLUMNS), ratios, into="secret_spans")
+    masked = F.when(F.size("secret_spans") > 0, secrets.masked(F.col("text"), F.col("secret_spans"))).otherwise(F.col("text"))
+    out = found.withColumn("text", masked)
+    return out.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in the sequences."""
+    return packing.pack(materialise(packing.pieces(docs), "pieces"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
 ]
 
 #: Divergences and scores of trained models can't be expressed in SQL; tests hold the stages against brute force.

@@ -241,7 +241,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, set_key) for each row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept, text_key, represents) for each row of ``docs``.
 
     Rows are linked when 100 * intersection >= ``percent`` * union of their
     sets of ``size``-word shingles; component_id is the smallest identifier
@@ -257,14 +257,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     if not rest.isEmpty():
         more = confirm(rest)
         joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
-    # the smallest identifier of each component
+    # the representative of each component: its smallest identifier, nulls last
     least = joined.unionAll(joined.select(F.col("root").alias("node"), "root").distinct())
-    named = least.join(classes.select(F.col("set_key").alias("node"), "doc_id"), "node")
-    names = named.groupBy("root").agg(F.min("doc_id").alias("name"))
-    by_class = named.join(names, "root").select(F.col("node").alias("set_key"), "name")
-    names_all = classes.select("set_key", "doc_id").join(by_class, "set_key", "left").select("set_key", F.coalesce("name", "doc_id").alias("name"))
-    out = signed.drop("sketch", "text_key").join(names_all, "set_key", "left").withColumn("component_id", F.coalesce("name", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_key")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    own = classes.select("set_key", order.alias("own"))
+    named = least.join(own.withColumnRenamed("set_key", "node"), "node")
+    names = named.groupBy("root").agg(F.min("own").alias("chosen"))
+    by_class = named.join(names, "root").select(F.col("node").alias("set_key"), "chosen")
+    chosen = own.join(by_class, "set_key", "left").select("set_key", F.coalesce("chosen", "own").alias("chosen"))
+    out = signed.drop("sketch").join(chosen, "set_key", "left").withColumn("component_id", F.coalesce("chosen.doc_id", "doc_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    single = F.col("set_key").isNull() | (same & (F.col("text_key") == F.col("chosen.text_key")))
+    return out.select("doc_id", "n_shingles", "component_id", same.alias("kept"), "text_key", single.alias("represents"))
+
+
+def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group; rows with an empty set all stay.
+
+    Copies of a row with the same identifier are one group too.
+    """
+    found = materialise(near_duplicates(docs, size, percent, doc_id, text), "groups")
+    here = docs.columns
+    gone = found.where(~F.col("represents")).select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
+    left = docs.withColumn("__key", F.xxhash64(text)).join(gone, (F.col("__key") == F.col("__gone_key")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
+    repeated = found.where("represents and n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
+    if not repeated.isEmpty():
+        words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+        left = left.where(words).dropDuplicates([doc_id, "__key"]).unionAll(left.where(~F.coalesce(words, F.lit(False))))
+    return left.select(*here)
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
