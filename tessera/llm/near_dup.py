@@ -8,16 +8,20 @@ positions.  Documents with equal sets form a class; only classes are compared.
    linked classes nearly all of the smallest INDEXED values agree, so each
    class enters the lists of its rarest values only: as many as guarantee a
    meeting when MIN_SHARED values agree (prefix filtering, rarest first).
-2. In each list the most central class is compared with every other member.
-   That alone joins most groups; no list is expanded into all its pairs.
-3. Lists that still hold more than one component are compared in blocks
-   between components; an estimate from the union of two 64-value sketches
-   drops pairs that are clearly apart.
-4. Each candidate is confirmed on full sets recomputed from the texts.
-5. Components of the confirmed links, in tables.
+2. Lists with the same most central class are one group, so a class whose lists
+   all hold the same copies is sent once, not once a list.  Groups are cut into
+   parts of bounded size, each with a copy of the central class.
+3. Inside a part, overlaps of retained values name the candidates, an estimate
+   from the union of two 64-value sketches drops those clearly apart, and exact
+   overlaps of the full sets, recomputed from the texts, confirm the rest.
+   Only links that join two components of the part leave it: at most one a
+   member, however many pairs are similar.
+4. Groups of several parts that still hold several components are compared
+   across their parts in the same way.
+5. Components of the links, in tables.
 
 Chance of missing a link at similarity 0.8: that fewer than MIN_SHARED of
-INDEXED values agree is below 1e-7, and less for nearer texts; for sets of at
+INDEXED values agree is below 3e-7, and less for nearer texts; for sets of at
 most INDEXED shingles the lists are exact.
 
 Defined cases: null, empty and blank texts have an empty set and no links;
@@ -42,11 +46,12 @@ from tessera.llm.textkit import Block, blocks, bounded_batches, mix, text_of, wi
 from tessera.storage import materialise
 
 SKETCH = 64
-INDEXED = 24
-MIN_SHARED = 8
+INDEXED = 16
+MIN_SHARED = 4
 #: Estimates of 64 values at similarity 0.8 lie 0.05 apart by one standard deviation; five of them are allowed.
 SLACK = 0.26
-PER_UNIT = 256
+#: A part of a group has about so many shingles and classes at most.
+PART_SHINGLES, PART_CLASSES = 400_000, 2_000
 
 
 def shingle_sets(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,119 +130,128 @@ def _postings(classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _near_in_size(a: str, b: str, percent: int):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _groups(postings: DataFrame) -> DataFrame:
+    """(centre, set_key, n): the members of all lists with the same most central class, that class among them."""
+    hubs = postings.groupBy("value").agg(F.max(F.struct("weight", "set_key")).alias("hub"))
+    return postings.join(hubs, "value").select(F.col("hub.set_key").alias("centre"), "set_key", "n").distinct()
 
 
-def _star_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each list's most central class with every other member of similar size."""
-    hubs = postings.groupBy("value").agg(F.max(F.struct("weight", "set_key", "n")).alias("hub"))
-    return (
-        postings.join(hubs, "value")
-        .where((F.col("set_key") != F.col("hub.set_key")) & _near_in_size("n", "hub.n", percent))
-        .select(F.col("hub.set_key").alias("a"), F.col("set_key").alias("b"))
-        .distinct()
-    )
+class _Inverted:
+    """For the values of some sets the members that hold them, as flat arrays."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.limits = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[order][1:] != flat[order][:-1]
+        self.owners = np.repeat(np.arange(len(sets)), np.diff(self.limits))[order]
+        self.starts = np.append(np.flatnonzero(new), len(flat))
+        self.value = np.empty(len(flat), np.int64)
+        self.value[order] = np.cumsum(new) - 1
+        self.members = len(sets)
 
-def _estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Similarity estimates of one padded sketch with many, from the bottom of each union."""
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    both = np.sort(np.concatenate([np.broadcast_to(one, others.shape), others], axis=1), axis=1)
-    repeat = np.zeros(both.shape, bool)
-    repeat[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != top)
-    rank = np.cumsum(~repeat & (both != top), axis=1)
-    within = np.minimum(rank[:, -1], SKETCH)
-    return (repeat & (rank <= SKETCH)).sum(axis=1) / np.maximum(within, 1)
-
-
-def _rest_pairs(postings: DataFrame, classes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that still share a list, similar in size and by estimate."""
-    placed = postings.join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    open_lists = placed.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
-    units = F.greatest(F.lit(1), F.ceil(F.col("members") / PER_UNIT))
-    members = placed.join(open_lists.select("value", units.cast("int").alias("units")), "value").join(classes.select("set_key", "sketch"), "set_key")
-    own = F.pmod(F.xxhash64("set_key"), F.col("units")).cast("int")
-    # each member goes to every unit that pairs its part of the list with another part
-    spread = members.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("units") - 1)))
-    spread = spread.select("value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "set_key", "root", "n", "sketch")
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        rows.sort(key=lambda r: r[4])
-        sizes = np.array([r[6] for r in rows])
-        roots = np.unique([r[5] for r in rows], return_inverse=True)[1]
-        parts = np.array([r[3] for r in rows])
-        padded = np.full((len(rows), SKETCH), 0xFFFFFFFFFFFFFFFF, np.uint64)
-        for k, r in enumerate(rows):
-            values = np.array(r[7], np.int64).view(np.uint64)
-            padded[k, : len(values)] = values
-        i, j = rows[0][1], rows[0][2]
-        for k in range(len(rows) - 1):
-            near = 100 * np.minimum(sizes[k], sizes[k + 1 :]) >= percent * np.maximum(sizes[k], sizes[k + 1 :])
-            near &= roots[k + 1 :] != roots[k]
-            if i != j:
-                near &= parts[k + 1 :] != parts[k]
-            at = np.flatnonzero(near) + k + 1
-            if len(at):
-                for m in at[_estimates(padded[k], padded[at]) >= percent / 100 - SLACK]:
-                    yield rows[k][4], rows[m][4]
+    def overlaps(self, i: int) -> np.ndarray:
+        """How many values member ``i`` shares with each member."""
+        own = self.value[self.limits[i] : self.limits[i + 1]]
+        first, length = self.starts[own], self.starts[own + 1] - self.starts[own]
+        shared = length > 1
+        first, length = first[shared], length[shared]
+        if not len(first):
+            return np.zeros(self.members, np.int64)
+        at = np.arange(length.sum()) + np.repeat(first - (np.cumsum(length) - length), length)
+        return np.bincount(self.owners[at], minlength=self.members)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(found):
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-        unit, rows, found = None, [], []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:3] != unit:
-                    if rows:
-                        found.extend(compare(rows))
-                    unit, rows = row[:3], []
-                rows.append(row)
-            if found:
-                yield pairs(found)
-                found = []
-        if rows and (found := list(compare(rows))):
-            yield pairs(found)
-
-    return spread.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j").mapInArrow(run, "a binary, b binary").distinct()
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(u, v): the pairs whose full sets, recomputed from the texts, are similar enough.
-
-    A class ``a`` meets its partners in units of at most about PER_UNIT rows; in
-    each the first row is ``a`` itself.
+def links_within(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join different labels; only pairs across sides, if there are sides.
+
+    ``label`` numbers the components known so far and is changed.
     """
-    widths = pairs.groupBy("a").agg(F.count("*").alias("partners")).select("a", F.ceil(F.col("partners") / PER_UNIT).cast("int").alias("units"))
-    partner = pairs.join(widths, "a").select(F.col("b").alias("set_key"), "a", F.pmod(F.xxhash64("b"), F.col("units")).cast("int").alias("unit"), F.lit(1).alias("place"))
-    centre = widths.select(F.col("a").alias("set_key"), "a", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), F.lit(0).alias("place"))
-    wanted = partner.unionAll(centre).join(classes.select("set_key", "doc_id", "text_key"), "set_key")
+    sizes = np.array([len(s) for s in sets])
+    padded = np.full((len(sets), SKETCH), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i, values in enumerate(sets):
+        padded[i, : min(len(values), SKETCH)] = values[:SKETCH]
+    kept = np.minimum(sizes, SKETCH)
+    # up to this value a sketch knows its set
+    reach = np.where(sizes > SKETCH, padded[:, -1], np.uint64(0xFFFFFFFFFFFFFFFF))
+    sketched, full, found = _Inverted([s[:SKETCH] for s in sets]), None, []
+    for i in range(1, len(sets)):
+        common = sketched.overlaps(i)[:i]
+        hope = (common > 0) & (label[:i] != label[i]) & (100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i]))
+        if side is not None:
+            hope &= side[:i] != side[i]
+        near = np.flatnonzero(hope)
+        if not len(near):
+            continue
+        bound = np.minimum(reach[near], reach[i])
+        mine = np.searchsorted(padded[i, : kept[i]], bound, side="right")
+        theirs = np.minimum((padded[near] <= bound[:, None]).sum(axis=1), kept[near])
+        near = near[common[near] >= (percent / 100 - SLACK) * (mine + theirs - common[near])]
+        if not len(near):
+            continue
+        full = full or _Inverted(sets)
+        both = full.overlaps(i)[near]
+        for j in near[100 * both >= percent * (sizes[near] + sizes[i] - both)]:
+            if label[j] != label[i]:
+                found.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _links(units: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(u, v): the links inside units (centre, i, j, side, set_key, root) by full sets recomputed from the texts."""
+    wanted = units.join(classes.select("set_key", "doc_id", "text_key"), "set_key")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("string").alias("text"))
-    rows = source.join(wanted, (source["text_key"] == wanted["text_key"]) & source["doc_id"].eqNullSafe(wanted["doc_id"])).select("a", "unit", "place", "set_key", "text")
+    rows = source.join(wanted, (source["text_key"] == wanted["text_key"]) & source["doc_id"].eqNullSafe(wanted["doc_id"])).select("centre", "i", "j", "side", "set_key", "root", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre_key, centre_unit, centre_set = None, None, None
+        def compare(members: dict[bytes, tuple[int, bytes, np.ndarray]]) -> Iterator[tuple[bytes, bytes]]:
+            keys = sorted(members)
+            roots = np.unique([members[k][1] for k in keys], return_inverse=True)[1]
+            side = np.array([members[k][0] for k in keys])
+            for a, b in links_within([members[k][2] for k in keys], roots, None if (side == side[0]).all() else side, percent):
+                yield keys[a], keys[b]
+
+        unit, members = None, {}
         for batch in batches:
-            u, v, row = [], [], 0
-            keys, units, places, others = (batch.column(i).to_pylist() for i in range(4))
-            for block in blocks(batch.column(4)):
+            row, found = 0, []
+            fields = [batch.column(i).to_pylist() for i in range(6)]
+            for block in blocks(batch.column(6)):
                 hashes, limits = shingle_sets(block, size)
                 for a, b in zip(limits[:-1], limits[1:], strict=True):
-                    if places[row] == 0:
-                        centre_key, centre_unit, centre_set = keys[row], units[row], hashes[a:b].copy()
-                    elif (keys[row], units[row]) == (centre_key, centre_unit):
-                        at = np.searchsorted(centre_set, hashes[a:b])
-                        both = int((centre_set[np.minimum(at, len(centre_set) - 1)] == hashes[a:b]).sum())
-                        if 100 * both >= percent * (len(centre_set) + (b - a) - both):
-                            u.append(keys[row])
-                            v.append(others[row])
-                    else:
-                        raise ValueError("a unit of candidates came without its centre")
+                    here = fields[0][row], fields[1][row], fields[2][row]
+                    if here != unit:
+                        if len(members) > 1:
+                            found.extend(compare(members))
+                        unit, members = here, {}
+                    members[fields[4][row]] = (fields[3][row], fields[5][row], hashes[a:b].copy())
                     row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (u, v)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+        found = list(compare(members)) if len(members) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+
+    return rows.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(run, "u binary, v binary")
+
+
+def _parted(groups: DataFrame) -> DataFrame:
+    """Members with their group's number of parts and their own part."""
+    sizes = groups.groupBy("centre").agg(F.greatest(F.ceil(F.sum("n") / PART_SHINGLES), F.ceil(F.count("*") / PART_CLASSES)).cast("int").alias("parts"), F.count("*").alias("members"))
+    return groups.join(sizes.where("members > 1"), "centre").withColumn("part", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+
+
+def _inner_units(parted: DataFrame) -> DataFrame:
+    """A unit for each part; the centre is in all of them."""
+    everywhere = F.when(F.col("set_key") == F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    return parted.withColumn("i", F.explode(everywhere)).select("centre", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "set_key", F.col("set_key").alias("root"))
+
 
-    return rows.repartition("a", "unit").sortWithinPartitions("a", "unit", "place").mapInArrow(run, "u binary, v binary")
+def _cross_units(parted: DataFrame, joined: DataFrame) -> DataFrame:
+    """A unit for each two parts of a group that still holds several components."""
+    placed = parted.where("parts > 1").join(joined.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    several = placed.groupBy("centre").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("centre")
+    spread = placed.join(several, "centre").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other <> part")
+    return spread.select("centre", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("part").alias("side"), "set_key", "root")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,13 +264,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     signed = materialise(sketches(docs, size, doc_id, text), "sketches")
     classes = materialise(_classes(signed), "classes")
     postings = materialise(_postings(classes, percent), "postings")
-    confirm = lambda pairs: _confirmed(pairs, classes, docs, size, percent, doc_id, text)
-    links = materialise(confirm(materialise(_star_pairs(postings, percent), "pairs")), "links")
-    joined = components(links)
-    rest = materialise(_rest_pairs(postings, classes, joined, percent), "rest")
-    if not rest.isEmpty():
-        more = confirm(rest)
-        joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
+    parted = materialise(_parted(_groups(postings)), "groups")
+    links = lambda units: _links(units, classes, docs, size, percent, doc_id, text)
+    joined = components(links(_inner_units(parted)))
+    cross = materialise(_cross_units(parted, joined), "units")
+    if not cross.isEmpty():
+        joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(links(cross)))
     # the representative of each component: its smallest identifier, nulls last
     least = joined.unionAll(joined.select(F.col("root").alias("node"), "root").distinct())
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
