@@ -91,7 +91,7 @@ def wave_mask(names: Column) -> Column:
 
 def sampling_frequency(code: Column) -> Column:
     """Hertz of a rate code; null where undefined."""
-    return F.when(code.between(0, 2), F.shiftleft(F.lit(1), code) * 48_000).when(code.between(8, 10), F.shiftleft(F.lit(1), code - 8) * 44_100)
+    return F.when(code.between(0, 2), F.call_function("shiftleft", F.lit(48_000), code)).when(code.between(8, 10), F.call_function("shiftleft", F.lit(44_100), code - 8))
 
 
 def samples_per_unit(frequency: Column) -> Column:

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import bitlevel, reporting, timing
+
 FLAGSHIP = "q14_tally"
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (bitlevel, timing, reporting)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for module in _MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Queries without SQL (sequential or streaming ones) are absent."""
+    return {name: sql for module in _MODULES for name, (_, sql) in module.QUERIES.items() if sql}
