@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.timing import SO_FAR, STREAM
+from tessera.operators.timing import in_order, so_far
 
 
 def carried(units: DataFrame, update: Column, default: Column, restart: Column) -> Column:
@@ -22,15 +22,15 @@ def segmented(units: DataFrame, *config: str) -> DataFrame:
     """Adds ``output_segment``: goes up where any of the configuration columns differs from the unit before."""
     changed = F.lit(False)
     for name in config:
-        changed = changed | ~F.col(name).eqNullSafe(F.lag(name).over(STREAM))
-    first = F.lag("au").over(STREAM).isNull()
-    return units.withColumn("__changed", F.when(~first & changed, 1).otherwise(0)).withColumn("output_segment", F.sum("__changed").over(SO_FAR)).drop("__changed")
+        changed = changed | ~F.col(name).eqNullSafe(F.lag(name).over(in_order()))
+    first = F.lag("au").over(in_order()).isNull()
+    return units.withColumn("__changed", F.when(~first & changed, 1).otherwise(0)).withColumn("output_segment", F.sum("__changed").over(so_far())).drop("__changed")
 
 
 def changed_only(units: DataFrame, *names: str) -> DataFrame:
     """Each column null where it repeats the unit before; rows in which nothing changed go, first rows stay."""
-    first = F.lag("au").over(STREAM).isNull()
-    fresh = {n: F.when(first | ~F.col(n).eqNullSafe(F.lag(n).over(STREAM)), F.col(n)) for n in names}
+    first = F.lag("au").over(in_order()).isNull()
+    fresh = {n: F.when(first | ~F.col(n).eqNullSafe(F.lag(n).over(in_order())), F.col(n)) for n in names}
     new = units.withColumns({f"__{n}": c for n, c in fresh.items()}).withColumn("__any", first)
     some = F.col("__any")
     for n in names:
@@ -42,15 +42,15 @@ def changed_only(units: DataFrame, *names: str) -> DataFrame:
 def cadence(units: DataFrame, update: str) -> DataFrame:
     """Adds ``since``: units since the last one with an update (from the stream's start, if none)."""
     last = F.last(F.when(F.col(update).isNotNull(), F.col("au")), ignorenulls=True)
-    before = last.over(STREAM.rowsBetween(Window.unboundedPreceding, -1))
+    before = last.over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     return units.withColumn("since", F.col("au") - F.coalesce(before, F.lit(0)))
 
 
 def duplicates(units: DataFrame, *same: str) -> DataFrame:
     """Adds ``is_duplicate``: all of ``same`` equal the unit before's."""
-    equal = F.lag("au").over(STREAM).isNotNull()
+    equal = F.lag("au").over(in_order()).isNotNull()
     for name in same:
-        equal = equal & F.col(name).eqNullSafe(F.lag(name).over(STREAM))
+        equal = equal & F.col(name).eqNullSafe(F.lag(name).over(in_order()))
     return units.withColumn("is_duplicate", equal)
 
 

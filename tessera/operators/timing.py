@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WRAP = 1 << 16
-STREAM = Window.partitionBy("stream_id").orderBy("au")
-SO_FAR = STREAM.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def in_order():
+    """A stream's units in order."""
+    return Window.partitionBy("stream_id").orderBy("au")
+
+
+def so_far():
+    """A unit and all before it."""
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def ceil_div(a: Column, b: Column | int) -> Column:
@@ -21,19 +29,19 @@ def ceil_div(a: Column, b: Column | int) -> Column:
 
 def unwrapped(units: DataFrame, timing: str = "input_timing") -> DataFrame:
     """Adds ``unwrapped``: the 16-bit clock, higher by a full turn at each step back."""
-    back = F.when(F.col(timing) < F.lag(timing).over(STREAM), WRAP).otherwise(0)
-    return units.withColumn("__back", back).withColumn("unwrapped", (F.col(timing) + F.sum("__back").over(SO_FAR)).cast("long")).drop("__back")
+    back = F.when(F.col(timing) < F.lag(timing).over(in_order()), WRAP).otherwise(0)
+    return units.withColumn("__back", back).withColumn("unwrapped", (F.col(timing) + F.sum("__back").over(so_far())).cast("long")).drop("__back")
 
 
 def restart_gaps(units: DataFrame) -> DataFrame:
     """Adds ``gap`` (units since the major sync before; at major syncs only), ``distance`` (units since the last one) and ``segment``."""
     major = F.when(F.col("is_major"), F.col("au"))
-    before = F.last(major, ignorenulls=True).over(STREAM.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(major, ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     return units.withColumns(
         {
             "gap": F.when(F.col("is_major"), F.col("au") - before),
-            "distance": F.col("au") - F.last(major, ignorenulls=True).over(SO_FAR),
-            "segment": F.count(major).over(SO_FAR),
+            "distance": F.col("au") - F.last(major, ignorenulls=True).over(so_far()),
+            "segment": F.count(major).over(so_far()),
         }
     )
 
@@ -43,9 +51,9 @@ def intervals(units: DataFrame, peak: Column | int) -> DataFrame:
     duration = ceil_div(F.col("length") * 256, peak)
     return units.withColumns(
         {
-            "interval": (F.col("input_timing") - F.lag("input_timing").over(STREAM)).bitwiseAND(F.lit(WRAP - 1)),
-            "previous_length": F.lag("length").over(STREAM),
-            "previous_duration": F.lag(duration).over(STREAM),
+            "interval": (F.col("input_timing") - F.lag("input_timing").over(in_order())).bitwiseAND(F.lit(WRAP - 1)),
+            "previous_length": F.lag("length").over(in_order()),
+            "previous_duration": F.lag(duration).over(in_order()),
         }
     )
 
@@ -77,7 +85,7 @@ def depths(units: DataFrame, samples: int) -> DataFrame:
     have drained records that have not arrived is an underrun.
     """
     passed = F.greatest(F.lit(0), ceil_div(F.col("unwrapped") - F.col("first_output"), samples) - 1)
-    with_prefix = units.withColumns({"__passed": passed, "__prefix": F.sum("bytes").over(SO_FAR)}).withColumn("drained", F.max("__passed").over(SO_FAR))
+    with_prefix = units.withColumns({"__passed": passed, "__prefix": F.sum("bytes").over(so_far())}).withColumn("drained", F.max("__passed").over(so_far()))
     # the prefix sum at the last drained record: both rows of one stream, so the same partitioning serves the join
     ends = with_prefix.select(F.col("stream_id").alias("__s"), F.col("au").alias("__a"), F.col("__prefix").alias("__gone"))
     joined = with_prefix.join(ends, (F.col("stream_id") == F.col("__s")) & (F.col("drained") - 1 == F.col("__a")), "left")

@@ -63,17 +63,21 @@ SELECT l_orderkey, l_linenumber, l_partkey, (w >> 15) & 1 = 1 AS extra_word, (w
  CASE WHEN (w >> 15) & 1 = 1 THEN CASE WHEN (e >> 7) & 511 >= 256 THEN ((e >> 7) & 511) - 512 ELSE (e >> 7) & 511 END END AS drc_gain,
  CASE WHEN (w >> 15) & 1 = 1 THEN (e >> 4) & 7 END AS drc_time FROM w"""
 
-# an info byte and two flags from the part's size
-_INFO = (F.col("p_size") * 37 + F.col("p_partkey")).bitwiseAND(F.lit(255)).cast("int")
-_EXTENDED = F.col("p_size").bitwiseAND(F.lit(3)).cast("int")
-_FBB = F.col("p_partkey") % 3 == 0
+
+def _masks(spark, sf_dir):
+    """Presentation masks of an info byte and two flags from each part's size."""
+    info = (F.col("p_size") * 37 + F.col("p_partkey")).bitwiseAND(F.lit(255)).cast("int")
+    masks = S.presentation_masks(info, F.col("p_size").bitwiseAND(F.lit(3)).cast("int"), F.col("p_partkey") % 3 == 0)
+    return table(spark, sf_dir, "part").select("p_partkey", masks.alias("m"))
+
+
 _MASKS_SQL = """i AS (SELECT p_partkey, (p_size * 37 + p_partkey) & 255 AS si, p_size & 3 AS ext, p_partkey % 3 = 0 AS fbb FROM part),
 m AS (SELECT *, 1 AS m0, CASE WHEN fbb THEN CASE WHEN si & 8 <> 0 THEN 3 ELSE 0 END ELSE (si >> 2) & 3 END AS m1, CASE WHEN fbb THEN 0 ELSE (si >> 4) & 7 END AS m2,
  CASE WHEN fbb THEN 0 ELSE ((si >> 4) & 8) | xor(7, 7 >> ext) END AS m3 FROM i)"""
 
 
 def q5_presentation_map(spark, sf_dir):
-    m = table(spark, sf_dir, "part").select("p_partkey", S.presentation_masks(_INFO, _EXTENDED, _FBB).alias("m"))
+    m = _masks(spark, sf_dir)
     return m.select("p_partkey", *[F.col("m")[i].alias(f"mask_{i}") for i in range(4)], S.max_independent_presentation(F.col("m")).alias("highest"), S.required_mask(F.col("m"), [1, 3]).alias("required"))
 
 
@@ -83,7 +87,7 @@ SELECT p_partkey, m0 AS mask_0, m1 AS mask_1, m2 AS mask_2, m3 AS mask_3, highes
 
 
 def q6_presentation_type(spark, sf_dir):
-    m = table(spark, sf_dir, "part").select("p_partkey", S.presentation_masks(_INFO, _EXTENDED, _FBB).alias("m"))
+    m = _masks(spark, sf_dir)
     return m.select("p_partkey", *[S.presentation_type(F.col("m"), i).alias(f"type_{i}") for i in range(4)])
 
 
@@ -97,7 +101,11 @@ def _type_sql(i: int) -> str:
 
 Q6 = f"WITH {_MASKS_SQL} SELECT p_partkey, {', '.join(_type_sql(i) for i in range(4))} FROM m"
 
-_ASSIGNMENT = ((F.col("p_partkey") * 2654435 + F.col("p_size")) % 8192).cast("int")
+
+def _assignment():
+    return ((F.col("p_partkey") * 2654435 + F.col("p_size")) % 8192).cast("int")
+
+
 _ASSIGNMENT_SQL = "CAST((p_partkey * 2654435 + p_size) % 8192 AS INTEGER)"
 
 
@@ -106,7 +114,7 @@ def _labels_sql(value: str, tables: list[list[str]]) -> str:
 
 
 def q7_labels_from_bitmask(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", _ASSIGNMENT.alias("a"), F.when(F.col("p_size") % 2 == 0, 0x800).otherwise(0).alias("flags"))
+    p = table(spark, sf_dir, "part").select("p_partkey", _assignment().alias("a"), F.when(F.col("p_size") % 2 == 0, 0x800).otherwise(0).alias("flags"))
     return p.select("p_partkey", F.posexplode(S.eightch_labels(F.col("a"), F.col("flags"))).alias("channel", "label"))
 
 
@@ -197,7 +205,7 @@ SELECT p_partkey, array_to_string(labels, ' ') AS "order", coalesce(tag, 0) AS t
 
 
 def q39_mask_or_null(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", S.labels((_ASSIGNMENT % 1024).cast("int"), S.SIXTEENCH).alias("labels"))
+    p = table(spark, sf_dir, "part").select("p_partkey", S.labels((_assignment() % 1024).cast("int"), S.SIXTEENCH).alias("labels"))
     return p.select("p_partkey", F.array_join("labels", " ").alias("order"), S.wave_mask(F.col("labels")).alias("mask"))
 
 

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.timing import STREAM
-
 SAMPLES, PEAK, LONGEST = 1600, 96, 6000
 
 
@@ -49,5 +47,3 @@ UNITS = """units AS (
     CAST(floor(value * 10) AS BIGINT) % 4095 + 1 AS length, event_type IN ('signup', 'purchase') AS is_major,
     CAST(json_extract(props, '$.k') AS BIGINT) AS k
   FROM events)"""
-
-__all__ = ["LONGEST", "PEAK", "SAMPLES", "STREAM", "UNITS", "epoch_ms", "table", "units"]

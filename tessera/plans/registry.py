@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import bitlevel, reporting, timing
+from tessera.plans import bitlevel, decoding, reporting, timing
 
 FLAGSHIP = "q14_tally"
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (bitlevel, timing, reporting)
+_MODULES = (bitlevel, timing, reporting, decoding)
 
 
 def queries() -> dict[str, Query]:

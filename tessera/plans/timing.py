@@ -45,7 +45,7 @@ Q11 = f"WITH {UNITS}, {_INTERVALS} {_RULES}"
 def _buffered(spark, sf_dir):
     """Units of a steady output clock: quarter minutes are samples, so a stream's own mean pace drains it."""
     flow = timing.unwrapped(units(spark, sf_dir))
-    start = F.min("unwrapped").over(timing.SO_FAR)
+    start = F.min("unwrapped").over(timing.so_far())
     ready = flow.withColumns({"bytes": F.col("length") * 2, "first_output": start + LONGEST})
     return timing.depths(ready, SAMPLES)
 
