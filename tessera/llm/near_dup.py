@@ -33,6 +33,7 @@ identifier; extra columns are not read.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -291,12 +292,13 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     """
     found = materialise(near_duplicates(docs, size, percent, doc_id, text), "groups")
     here = docs.columns
-    gone = found.where(~F.col("represents")).select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
-    left = docs.withColumn("__key", F.xxhash64(text)).join(gone, (F.col("__key") == F.col("__gone_key")) & F.col(doc_id).cast("long").eqNullSafe(F.col("__gone_id")), "left_anti")
+    key, gone_id, gone_key = (f"__{name}_{uuid.uuid4().hex}" for name in ("key", "gone_id", "gone_key"))  # no column of docs is called so
+    gone = found.where(~F.col("represents")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    left = docs.withColumn(key, F.xxhash64(text)).join(gone, (F.col(key) == F.col(gone_key)) & F.col(doc_id).cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
     repeated = found.where("represents and n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1")
     if not repeated.isEmpty():
         words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
-        left = left.where(words).dropDuplicates([doc_id, "__key"]).unionAll(left.where(~F.coalesce(words, F.lit(False))))
+        left = left.where(words).dropDuplicates([doc_id, key]).unionAll(left.where(~F.coalesce(words, F.lit(False))))
     return left.select(*here)
 
 

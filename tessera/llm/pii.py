@@ -42,7 +42,7 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_AFTER_CUE = re.compile(r"(?:[ _-]?(?:number|nummer|numéro|número|nr|no|id))?\.? ?[:=#]? ?#?([A-Z]{0,3}[0-9](?:[ -]?[0-9A-Z]){5,33})(?![A-Za-z0-9])", re.I)
+_AFTER_CUE = re.compile(r"(?i:[ _-]?(?:number|nummer|numéro|número|nr|no|id))?\.? ?[:=#]? ?#?([A-Z]{0,3}[0-9](?:[ -]?[0-9A-Z]){5,33})(?![A-Za-z0-9])")
 _LOGIN = re.compile(r"://([^\s/@\"'<>]+)@[A-Za-z0-9]")
 
 
