@@ -22,6 +22,7 @@ not read.
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -40,8 +41,10 @@ SHARD = 16_384
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2, 2, 6, 4, 1
 #: A bin counts as well filled from this share of the capacity.
 WELL_FILLED = 0.995
-#: Words whose ids one task keeps.
+#: Words after which a task starts a new generation of those whose ids it keeps; it keeps two.
 CACHED = 300_000
+#: Marks that the tokenizer takes by themselves after a letter.
+MARKS = ".,;:!?"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -50,38 +53,71 @@ PLACED = PIECES + ", sequence_id long, offset long"
 class WordEncoder:
     """Ids of whole texts, encoding each distinct word once.
 
-    The tokenizer works inside white space, so a text's ids are its words' ids
-    in order.  Texts in which that can't be seen from the words (its special
-    strings, separators that Python and the tokenizer see differently) are
-    encoded whole.
+    The tokenizer works inside white space, lower-cases, and takes a mark after
+    a letter by itself, so a text's ids are its words' ids in order.  Texts in
+    which that can't be seen from the words (its special strings, separators
+    that Python and the tokenizer see differently) are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # two generations: what is still in use moves from the old one to the young one
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words made of letters only: encoded as one text, in which each ends with the one token that ends a word."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        limits = [0, *((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts all ``words`` into the young generation."""
+        for word in words & self.old.keys():
+            self.young[word] = self.old[word]
+        words = words.difference(self.young)
+        cores = {w: w[:-1] if len(w) > 1 and w[-1] in self.marks and w[-2] < "\u0100" and w[-2].isalpha() else w for w in words}
+        new = set(cores.values()).difference(self.young)
+        plain = [w for w in new if w.isalpha() and max(w) < "\u0100"]
+        self.young.update(zip(plain, self._word_ids(plain), strict=True))
+        other = list(new.difference(plain))
+        self.young.update(zip(other, self._ids(other), strict=True))
+        for word, core in cores.items():
+            if core is not word:
+                self.young[word] = self.young[core] + self.marks[word[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        known, out = self.known, []
+        split: list[list[str] | None] = []
+        wanted: set[str] = set()
         for text in texts:
             if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                out.extend(self._ids([text]))
+                split.append(None)
                 continue
+            try:  # in Latin-1, lower case does not depend on neighbours
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
             words = text.split()
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                new = [w for w in set(words) if w not in known]
-                if len(known) + len(new) > CACHED:
-                    known.clear()
-                    new = list(set(words))
-                known.update(zip(new, self._ids(new), strict=True))
-                out.append(b"".join(map(known.__getitem__, words)))
-        return out
+            wanted.update(words)
+            split.append(words)
+        if len(self.young) > CACHED:
+            self.old, self.young = self.young, {}
+        self._learn(wanted.difference(self.young))
+        return [self._ids([text])[0] if words is None else b"".join(map(self.young.__getitem__, words)) for text, words in zip(texts, split, strict=True)]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
