@@ -75,7 +75,7 @@ def broken(rows: DataFrame, rules: dict[str, Column], *more: str) -> DataFrame:
     return rows.select("stream_id", "au", *more, F.explode(fired).alias("rule"))
 
 
-def depths(units: DataFrame, samples: int) -> DataFrame:
+def depths(units: DataFrame, samples: int | Column) -> DataFrame:
     """Adds ``drained`` (records that have left the buffer) and ``depth`` (bytes in it after this unit's).
 
     Closed form of the drain: a record leaves once the unwrapped input clock has
