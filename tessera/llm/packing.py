@@ -33,16 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.textkit import bounded_batches
+from tessera.llm.textkit import bounded_batches, map_batches
 from tessera.storage import materialise
 
 CAPACITY = 2048
 SHARD = 16_384
 ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2, 2, 6, 4, 1
+#: Times that badly filled sequences of all shards are dealt anew, at most.
+ROUNDS = 4
 #: A bin counts as well filled from this share of the capacity.
 WELL_FILLED = 0.995
 #: Words after which a task starts a new generation of those whose ids it keeps; it keeps two.
 CACHED = 300_000
+#: Words encoded as one text.
+TOGETHER = 200
 #: Marks that the tokenizer takes by themselves after a letter.
 MARKS = ".,;:!?"
 
@@ -63,61 +67,66 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = dict(zip(MARKS, self._ids(list(MARKS)), strict=True))
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.marks = {mark: self._ids(mark) for mark in MARKS}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.is_special = np.zeros(len(self.ends_word), bool)
+        self.is_special[self.tokenizer.token_to_id(self.special[0])] = True
         # two generations: what is still in use moves from the old one to the young one
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """Ids of words made of letters only: encoded as one text, in which each ends with the one token that ends a word."""
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        limits = [0, *((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()]
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(limits[:-1], limits[1:], strict=True)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Puts all ``words`` into the young generation."""
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word_ids(self, words: list[str], separator: str, is_end: np.ndarray, inside: int) -> list[bytes]:
+        """Ids of many words, encoded some hundred to a text; ``inside`` is 1 if the id that ends a word belongs to it, else 0."""
+        out: list[bytes] = []
+        parts = [words[low : low + TOGETHER] for low in range(0, len(words), TOGETHER)]
+        for encoded in self.tokenizer.encode_batch_fast([separator.join(part) + separator for part in parts], add_special_tokens=False):
+            ids = np.array(encoded.ids, "<u4")
+            ends = np.flatnonzero(is_end[ids])
+            data, starts = ids.tobytes(), [0, *((ends + 1) * 4).tolist()]
+            out += [data[a:b] for a, b in zip(starts[:-1], ((ends + inside) * 4).tolist(), strict=True)]
+        return out
+
+    def _learn(self, words: set[str], latin: bool) -> None:
+        """Puts all ``words`` into the young generation; ``latin``: they hold Latin-1 characters only, in lower case."""
         for word in words & self.old.keys():
             self.young[word] = self.old[word]
         words = words.difference(self.young)
-        cores = {w: w[:-1] if len(w) > 1 and w[-1] in self.marks and w[-2] < "\u0100" and w[-2].isalpha() else w for w in words}
-        new = set(cores.values()).difference(self.young)
-        plain = [w for w in new if w.isalpha() and max(w) < "\u0100"]
-        self.young.update(zip(plain, self._word_ids(plain), strict=True))
+        marks = self.marks
+        cores = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in marks and w[-2] < "\u0100" and w[-2].isalpha()}
+        new = words.difference(cores).union(cores.values()).difference(self.young)
+        # letters alone end with the one id that ends a word; others are told apart by a special string
+        plain = [w for w in new if w.isalpha()] if latin else []
+        self.young.update(zip(plain, self._word_ids(plain, " ", self.ends_word, 1), strict=True))
         other = list(new.difference(plain))
-        self.young.update(zip(other, self._ids(other), strict=True))
+        self.young.update(zip(other, self._word_ids(other, self.special[0], self.is_special, 0), strict=True))
         for word, core in cores.items():
-            if core is not word:
-                self.young[word] = self.young[core] + self.marks[word[-1]]
+            self.young[word] = self.young[core] + marks[word[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         split: list[list[str] | None] = []
-        wanted: set[str] = set()
+        wanted: dict[bool, set[str]] = {True: set(), False: set()}
         for text in texts:
             if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 split.append(None)
                 continue
             try:  # in Latin-1, lower case does not depend on neighbours
                 text.encode("latin-1")
-                text = text.lower()
+                words, latin = text.lower().split(), True
             except UnicodeEncodeError:
-                pass
-            words = text.split()
-            wanted.update(words)
+                words, latin = text.split(), False
+            wanted[latin].update(words)
             split.append(words)
         if len(self.young) > CACHED:
             self.old, self.young = self.young, {}
-        self._learn(wanted.difference(self.young))
-        return [self._ids([text])[0] if words is None else b"".join(map(self.young.__getitem__, words)) for text, words in zip(texts, split, strict=True)]
+        for latin, words in wanted.items():
+            self._learn(words.difference(self.young), latin)
+        return [self._ids(text) if words is None else b"".join(map(self.young.__getitem__, words)) for text, words in zip(texts, split, strict=True)]
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,7 +147,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, d
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, PIECES)
 
 
 def best_fit(order: np.ndarray, sizes: np.ndarray, bins: np.ndarray, free: list[int], capacity: int) -> None:
@@ -254,18 +263,12 @@ def _islands(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "island", "lengths", "groupings", "bins"])
 
     chosen = state.select("shard", "island", "lengths", "groupings")
-    return chosen.mapInArrow(run, "shard long, island int, lengths array<int>, groupings array<binary>, bins int")
-
+    return map_batches(chosen, run, "shard long, island int, lengths array<int>, groupings array<binary>, bins int")
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """``items`` (PIECES columns) with sequence_id and offset.
 
-    Numbers of sequences: a shard's bins are numbered from shard * 2**32, full
-    pieces below zero by a hash of the piece.
-    """
-    small = items.where(F.col("length") < capacity)
-    shards = max(1, math.ceil(small.count() / shard_size))
-    dealt = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(shards)))
+def _packed(small: DataFrame, level: int, shards: int, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """``small`` dealt into shards and packed, with sequence_id, offset and the length of the whole sequence as ``fill``."""
+    dealt = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(level)), F.lit(shards)))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("minus"), "doc_id", "piece", "start", "ids_crc32")))
     grouped = materialise(dealt.repartition(shards, "shard").groupBy("shard").agg(rows.alias("rows")), "shards")
     start = grouped.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("rows", lambda r: (-r["minus"]).cast("int")).alias("lengths"))
@@ -288,14 +291,42 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, is
                 offsets = np.empty(len(bins), np.int64)
                 offsets[order] = before - before[first]
                 columns = [[m[c] for m in members] for c in ("doc_id", "piece", "start")]
+                number = (level << 60) + (shard << 24) + bins.astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(sizes), pa.array([m["ids_crc32"] for m in members], pa.int64()), pa.array((shard << 32) + bins.astype(np.int64)), pa.array(offsets)],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(sizes), pa.array([m["ids_crc32"] for m in members], pa.int64()), pa.array(number), pa.array(offsets), pa.array(_fills(bins, sizes)[bins])],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"],
                 )
 
-    packed = grouped.join(best, "shard").select("shard", "rows", "grouping").mapInArrow(place, PLACED)
-    full = items.where(F.col("length") >= capacity).select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionAll(full)
+    return materialise(map_batches(grouped.join(best, "shard").select("shard", "rows", "grouping"), place, PLACED + ", fill long"), "packed")
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """``items`` (PIECES columns) with sequence_id (any numbers) and offset.
+
+    After each round the sequences that are not well filled dissolve, and what
+    they held from all shards is dealt anew into fewer shards, as long as that
+    saves sequences.
+    """
+    names = [part.split()[0] for part in PLACED.split(", ")]
+    full = items.where(F.col("length") >= capacity).select(*names[:5], (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    parts, rest, loose, sequences = [full], items.where(F.col("length") < capacity).select(*names[:5]), None, 0
+    for level in range(ROUNDS):
+        shards = max(1, math.ceil(rest.count() / shard_size))
+        placed = _packed(rest, level, shards, capacity, islands, epochs)
+        if loose is not None and placed.select("sequence_id").distinct().count() >= sequences:
+            placed, shards = loose, 1  # nothing is gained: the sequences before stay
+        if shards == 1:
+            loose = placed
+            break
+        parts.append(placed.where(F.col("fill") >= WELL_FILLED * capacity))
+        loose = placed.where(F.col("fill") < WELL_FILLED * capacity)
+        sequences = loose.select("sequence_id").distinct().count()
+        rest = loose.select(*names[:5])
+    parts.append(loose)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part.select(*names))
+    return out
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
