@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.textkit import map_batches
 from tessera.storage import materialise
 
 SHARD = 8192
@@ -180,7 +181,7 @@ def _nodes(usable: DataFrame, most: int) -> DataFrame:
                 [pa.array([np.frombuffer(k) for k in part], pa.list_(pa.float64())), pa.array([sorted(found[k])[:most] for k in part], pa.list_(pa.int64()))], ["vector", "ids"]
             )
 
-    gathered = usable.select("vec_id", "vector").mapInArrow(run, "vector array<double>, ids array<long>")
+    gathered = map_batches(usable.select("vec_id", "vector"), run, "vector array<double>, ids array<long>")
     return gathered.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most).alias("ids"))
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm.components import components
-from tessera.llm.textkit import Block, blocks, bounded_batches, mix, text_of, window_hashes
+from tessera.llm.textkit import Block, blocks, bounded_batches, map_batches, mix, text_of, window_hashes
 from tessera.storage import materialise
 
 SKETCH = 64
@@ -103,7 +103,7 @@ def sketches(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, sketch array<long>")
+    return map_batches(chosen, run, "doc_id long, text_key long, n_shingles long, set_key binary, sketch array<long>")
 
 
 def _classes(signed: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def _links(units: DataFrame, classes: DataFrame, docs: DataFrame, size: int, per
         found = list(compare(members)) if len(members) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["u", "v"])
 
-    return rows.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j").mapInArrow(run, "u binary, v binary")
+    return map_batches(rows.repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j"), run, "u binary, v binary")
 
 
 def _parted(groups: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import bounded_batches
+from tessera.llm.textkit import bounded_batches, map_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "account", "login")
@@ -142,7 +142,7 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, {SPANS}")
+    return map_batches(chosen, run, f"{schema}, {SPANS}")
 
 
 def spans_text(spans: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import blocks, bounded_batches, mix, text_of, window_hashes
+from tessera.llm.textkit import blocks, bounded_batches, map_batches, mix, text_of, window_hashes
 from tessera.storage import materialise
 
 #: The most frequent function words of the four languages.
@@ -171,7 +171,7 @@ def features(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     bounded_batches(docs.sparkSession)
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, {FEATURES}")
+    return map_batches(chosen, run, f"{schema}, {FEATURES}")
 
 
 def base_failed() -> Column:
@@ -232,7 +232,7 @@ def judge(measured: DataFrame, refs: dict[str, dict[str, list[float]]]) -> DataF
 
     names = [f.name for f in fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    far = measured.mapInArrow(run, f"{schema}, class_distance double, word_distance double")
+    far = map_batches(measured, run, f"{schema}, class_distance double, word_distance double")
     over = [F.col(name) > limit + noise / F.sqrt(F.greatest("n_words", F.lit(1))) for name, (limit, noise) in (("class_distance", MAX_CLASS_DISTANCE), ("word_distance", MAX_WORD_DISTANCE))]
     odd = (F.col("n_words") >= MIN_WORDS) & (over[0] | over[1])
     return far.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~odd)

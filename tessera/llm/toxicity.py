@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import Block, blocks, bounded_batches, mix, text_of
+from tessera.llm.textkit import Block, blocks, bounded_batches, map_batches, mix, text_of
 from tessera.storage import materialise
 
 ROWS = 16_000
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             toxic = np.bincount(where, weights=np.concatenate(marks), minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(np.bincount(where, minlength=len(keys)) - toxic)], ["key", "toxic", "ordinary"])
 
-    counts = sample.where("not fits").select("text", "y").mapInArrow(count, "key long, toxic long, ordinary long")
+    counts = map_batches(sample.where("not fits").select("text", "y"), count, "key long, toxic long, ordinary long")
     counts = counts.groupBy("key").agg(F.sum("toxic").cast("double").alias("t"), F.sum("ordinary").cast("double").alias("o"))
 
 
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             x = model.features(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], ["a", "b", "y"])
 
-    fit = sample.where("fits").select("text", "y").mapInArrow(measure, "a double, b double, y int").toArrow()
+    fit = map_batches(sample.where("fits").select("text", "y"), measure, "a double, b double, y int").toArrow()
     model.curve = _fit_curve(np.column_stack([fit["a"].to_numpy(), fit["b"].to_numpy()]), fit["y"].to_numpy().astype(float))
     return model
 
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
 
     chosen = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, score double")
+    return map_batches(chosen, run, f"{schema}, score double")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import bounded_batches
+from tessera.llm.textkit import bounded_batches, map_batches
 from tessera.storage import fresh_path, materialise
 
 ARCHIVE_BYTES = 32_000_000
@@ -157,7 +157,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
             ["path", "records", "bytes"],
         )
 
-    return materialise(placed.mapInArrow(run, MANIFEST), "manifest")
+    return materialise(map_batches(placed, run, MANIFEST), "manifest")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                             found = []
                 yield table(found)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORDS)
+    return map_batches(manifest.select("path").repartition("path"), run, RECORDS)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
