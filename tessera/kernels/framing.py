@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from tessera.kernels import bits as B
 
 MARKERS = (b"\xf8\x72\x6f\xba", b"\xf8\x72\x6f\xbb")
-RATES = {1: "24", 2: "25", 3: "30", 4: "48", 5: "50", 6: "60", 7: "29.97", 8: "23.976"}
+# Frame rates of the timestamp's codes.
+RATES = {1: "23.976", 2: "24", 3: "25", 4: "29.97", 5: "30", 6: "50", 7: "59.94", 8: "60"}
 
 
 @dataclass
@@ -31,14 +32,15 @@ def bcd(value: int) -> int:
 
 def timestamp(data: bytes) -> Timestamp | None:
     """The sixteen bytes before a stream's first unit, if they are a timestamp."""
-    if len(data) != 16 or data[:2] != b"\x01\x10" or data[12:14] != b"\x80\x00":
+    if len(data) != 16 or data[:2] != b"\x01\x10" or data[14:] != b"\x80\x00":
         return None
     words = [int.from_bytes(data[i : i + 2], "big") for i in range(2, 12, 2)]
     try:
         hours, minutes, seconds, frames = map(bcd, words[:4])
     except ValueError:
         return None
-    return Timestamp(hours, minutes, seconds, frames, words[4], data[15] & 15, bool(data[15] >> 4 & 1))
+    last = int.from_bytes(data[12:14], "big")
+    return Timestamp(hours, minutes, seconds, frames, words[4], last >> 2 & 15, bool(last & 1))
 
 
 def sync_length(unit: bytes) -> int:

@@ -23,6 +23,8 @@ RESERVED_FLAGS = {FBA: 0x27FF, FBB: 0x3FFF}
 PROTECTION_BYTES = (0, 1, 4, 16)
 # The legal substream layouts of FBA, as bits 2 to 6 of the info byte.
 LEGAL_INFO = {20 + i for i in range(57) if 76562297473007889 >> i & 1} | {88 + i for i in range(37) if 68987981841 >> i & 1}
+#: What a substream has before any restart header.
+UNSET = {"sync_word": 0, "output_timing": 0, "min_chan": 0, "max_chan": 0, "max_matrix_chan": 0, "dither_shift": 0, "seed": 0, "max_shift": 0, "max_lsbs": 0, "max_bits": 0, "error_protect": 0, "lossless_check": 0, "assign": [0], "restart_digest": None, "digest_before": None}
 GUARDS, HUFF_OFFSET, COEFFS_B, COEFFS_A, QUANTISER, OUTPUT_SHIFT, MATRIXING, BLOCK_SIZE = range(8)
 
 
@@ -359,11 +361,9 @@ class Interval:
                     header["digest_before"] = before.digest
                 out["restarts"].append(header)
             elif index not in self.substreams:
-                raise Stop("restart_header.invalid_restart_sync_word")
+                self.substreams[index] = Substream(dict(UNSET))
             self._header(r, index)
-        elif index not in self.substreams:
-            raise Stop("restart_header.invalid_restart_sync_word")
-        s = self.substreams[index]
+        s = self.substreams.setdefault(index, Substream(dict(UNSET)))
         declared = None
         if s.error_protect:
             declared = r.get(16)

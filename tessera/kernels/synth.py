@@ -103,3 +103,52 @@ def stream(units: int = 32, channels: int = 2, every: int = 8, seed: int = 1, sy
         body = segment(rows, restart, list(coeffs), history)
         out.append(unit(timing, major_sync(sync, rate_code, 1, info, peak) if major else b"", [body], major))
     return b"".join(out), pcm
+
+
+def object_payload(dynamic: int, seed: int, ramp: int = 1) -> bytes:
+    """Object metadata of one low-frequency bed channel and some moving objects, in one block."""
+    rng = random.Random(seed)
+    body = BitWriter().put(0, 1).put(0, 2).put(0, 3).put(0, 6).put(ramp, 2).put(1, 1)
+    for index in range(dynamic + 1):
+        body.put(0, 1).put(2, 2).put(rng.randrange(64), 6).put(0, 1).put(rng.randrange(32), 5)
+        if index:
+            body.put(rng.randrange(63), 6).put(rng.randrange(63), 6).put(rng.randrange(2), 1).put(rng.randrange(16), 4).put(0, 1)
+            body.put(rng.randrange(6), 3).put(rng.randrange(2), 1).put(1, 2).put(rng.randrange(32), 5).put(0, 1).put(rng.randrange(2), 1)
+        body.put(0, 1)
+    body.align(8)
+    size = body.size // 8 - 1
+    w = BitWriter().put(0, 2).put(dynamic, 5).put(1, 1).put(1, 1).put(0, 1).put(1, 4).put(1, 4)
+    if size < 16:
+        w.put(size, 4).put(0, 1)
+    else:
+        w.put((size >> 4) - 1, 4).put(1, 1).put(size & 15, 4).put(0, 1)
+    return w.put(body.value, body.size).align(8).bytes()
+
+
+def evolution(payloads: list[tuple[int, bytes]], before: bytes = b"", key: bytes | None = None) -> bytes:
+    """Extra data with an evolution frame; with a key, its primary word is the keyed digest over ``before`` and the frame."""
+    import hashlib
+    import hmac
+
+    w = BitWriter().put(0, 2).put(0, 3)
+    for kind, data in payloads:
+        w.put(kind, 5).put(0, 4).put(1, 1)
+        if len(data) < 256:
+            w.put(len(data), 8).put(0, 1)
+        else:
+            w.put((len(data) >> 8) - 1, 8).put(1, 1).put(len(data) & 255, 8).put(0, 1)
+        w.put(int.from_bytes(data, "big"), 8 * len(data))
+    w.put(0, 5).put(2 if key else 0, 2).put(0, 2)
+    at = w.size
+    if key:
+        w.put(0, 32)
+    frame = w.align(8).bytes()
+    if key:
+        word = int.from_bytes(hmac.new(key, before + frame, hashlib.sha256).digest()[:4], "big")
+        frame = (int.from_bytes(frame, "big") | word << (8 * len(frame) - at - 32)).to_bytes(len(frame), "big")
+    body = BitWriter().put(0, 4).put(len(frame), 12).bytes() + frame
+    body += bytes((len(body) + 1) % 2)
+    body += bytes([B.parity(body) ^ B.PARITY_SEED])
+    words = len(body) // 2
+    head = BitWriter().put(0, 4).put(words, 12).bytes()
+    return bytes([head[0] | (B.nibble(head) ^ 15) << 4]) + head[1:] + body

@@ -179,11 +179,12 @@ def diagnostics(units: DataFrame, buffers: bool = True) -> DataFrame:
 
 
 def lossless_checks(samples: DataFrame, units: DataFrame) -> DataFrame:
-    """(stream_id, presentation, segment, calculated, stated): each interval's digest against the next restart header of its substream."""
+    """(stream_id, presentation, segment, calculated, stated): the digest of each interval that was read to its end against the next restart header of its substream."""
     last = samples.groupBy("stream_id", "presentation", "segment").agg(F.max_by("digest", "au").alias("digest"))
     word = F.col("digest").bitwiseAND(F.lit(0xFFFFFFFF))
     half = word.bitwiseXOR(F.shiftright(word, 16)).bitwiseAND(F.lit(0xFFFF))
     calculated = half.bitwiseXOR(F.shiftright(half, 8)).bitwiseAND(F.lit(0xFF)).cast("int")
     stated = units.select("stream_id", (F.col("segment") - 1).alias("segment"), F.explode("restarts").alias("r")).where("r.block = 0")
     stated = stated.select("stream_id", "segment", F.col("r.substream").alias("presentation"), F.col("r.lossless_check").alias("stated"))
-    return last.select("stream_id", "presentation", "segment", calculated.alias("calculated")).join(stated, ["stream_id", "presentation", "segment"])
+    whole = units.groupBy("stream_id", "segment").agg(F.every(F.col("stopped").isNull()).alias("whole")).where("whole").drop("whole")
+    return last.select("stream_id", "presentation", "segment", calculated.alias("calculated")).join(stated, ["stream_id", "presentation", "segment"]).join(whole, ["stream_id", "segment"])

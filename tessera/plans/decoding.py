@@ -153,6 +153,70 @@ def q40_huffman_decode(spark, sf_dir):
     return decoded.select("p_partkey", "code", F.size("values").alias("symbols"), F.aggregate("values", F.lit(0), lambda a, x: a + x).alias("total"))
 
 
+def _nation_streams(spark, sf_dir):
+    """A synthetic stream for each nation; its key is the seed."""
+    from tessera.kernels import synth
+
+    def run(batches):
+        for frame in batches:
+            data = [synth.stream(units=16, channels=2, every=8, seed=int(k) + 1, coeffs=(200, -50) if k % 2 else ())[0] for k in frame["n_nationkey"]]
+            yield frame.__class__({"stream_id": frame["n_name"], "data": data})
+
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(run, "stream_id string, data binary")
+
+
+def q41_frame_stream(spark, sf_dir):
+    """The nations' streams, arriving in chunks of 300 bytes, framed by a streaming query."""
+    from tessera.storage import fresh_path
+    from tessera.streaming.framing import frames_stream
+
+    chunks = _nation_streams(spark, sf_dir).select("stream_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / 300).cast("int")), lambda i: F.substring(F.col("data"), i * 300 + 1, F.lit(300)))).alias("seq", "data"))
+    source, sink, state = (fresh_path(spark, name) for name in ("chunks", "frames", "state"))
+    chunks.write.parquet(source)
+    arriving = spark.readStream.schema("stream_id string, seq int, data binary").parquet(source)
+    running = frames_stream(arriving).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema("stream_id string, au long, au_offset long, segment long, is_major boolean, data binary").parquet(sink).select("stream_id", "au", "au_offset", "segment", "is_major", F.sha2("data", 256).alias("digest"))
+
+
+def q42_object_metadata(spark, sf_dir):
+    """Positions and gains of synthetic object payloads, one for each nation and step."""
+    from tessera.kernels import synth
+    from tessera.operators import objects
+
+    def run(batches):
+        for frame in batches:
+            rows = [(name, int(n), synth.object_payload(4, int(key) * 10 + n)) for key, name in zip(frame["n_nationkey"], frame["n_name"], strict=True) for n in range(3)]
+            yield frame.__class__(rows, columns=["stream_id", "au", "data"])
+
+    payloads = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(run, "stream_id string, au long, data binary")
+    found = objects.objects(payloads)
+    scaled = F.transform("pos", lambda x: F.round(x * 10_000).cast("long"))
+    return found.select("stream_id", "au", "object_idx", "active", "gain", F.col("priority"), *[scaled[i].alias(axis) for i, axis in enumerate("xyz")])
+
+
+def q43_verify_streams(spark, sf_dir):
+    """The whole conformance run over the nations' streams, every fifth damaged."""
+    from tessera import api
+
+    streams = _nation_streams(spark, sf_dir)
+    damaged = F.concat(F.substring("data", 1, 1500), F.lit(b"\x5a"), F.substring(F.col("data"), 1502, 1 << 30))
+    run = api.verify(streams.withColumn("data", F.when(F.length("stream_id") % 5 == 0, damaged).otherwise(F.col("data"))))
+    return run.summary.select("stream_id", "syntax", "frequency", "access_units", "channels", "duration", "worst", "verdict", "exit_code")
+
+
+def q44_decode_streams(spark, sf_dir):
+    """Frames, samples and a digest of the PCM of the nations' streams, with the check bytes of all intervals."""
+    from tessera import api
+    from tessera.operators import conformance, frames, units
+
+    streams = _nation_streams(spark, sf_dir)
+    samples = api.decode(streams, [0])
+    checks = conformance.lossless_checks(samples, units.units(frames.frames(streams)))
+    good = checks.groupBy("stream_id").agg(F.every(F.col("calculated") == F.col("stated")).alias("lossless"))
+    return api.decode_summary(samples).join(good, "stream_id")
+
+
 QUERIES = {
     "q22_lossless_check": (q22_lossless_check, Q22),
     "q27_bed_conform": (q27_bed_conform, Q27),
@@ -160,4 +224,8 @@ QUERIES = {
     "q29_fir_predictor": (q29_fir_predictor, Q29),
     "q30_iir_predictor": (q30_iir_predictor, Q30),
     "q40_huffman_decode": (q40_huffman_decode, None),
+    "q41_frame_stream": (q41_frame_stream, None),
+    "q42_object_metadata": (q42_object_metadata, None),
+    "q43_verify_streams": (q43_verify_streams, None),
+    "q44_decode_streams": (q44_decode_streams, None),
 }
