@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import streams as S
-from tessera.operators import tally, timing
+from tessera.operators import splices, tally, timing
+from tessera.storage import materialise
 
 FBA, FBB = S.FBA, S.FBB
 
@@ -126,12 +127,18 @@ def contributions(units: DataFrame) -> DataFrame:
     return units.withColumns(columns)
 
 
-def buffer_depths(units: DataFrame) -> DataFrame:
-    """(stream_id, au, accumulator, bytes, depth, underrun, cap): the buffer model of each decoder."""
-    start = F.first(F.when(F.col("output_timing").isNotNull(), F.col("output_timing")), ignorenulls=True).over(timing.so_far())
-    # the output clock starts at the first unit's output time, not before its input time
-    ready = timing.unwrapped(contributions(units)).withColumn("first_output", start.cast("long"))
-    ready = ready.withColumn("first_output", F.when(F.col("first_output") < F.first("unwrapped").over(timing.so_far()), F.col("first_output") + 65_536).otherwise(F.col("first_output")))
+def buffer_depths(units: DataFrame, follow: DataFrame) -> DataFrame:
+    """(stream_id, au, au_offset, accumulator, bytes, depth, underrun, cap): the buffer model of each decoder.
+
+    ``follow`` is what splices.followed gives: each epoch is modelled as a
+    stream of its own, with an output clock from its first output time on.
+    """
+    joined = contributions(units).join(follow.select("stream_id", "au", "epoch", "unwrapped"), ["stream_id", "au"])
+    within = Window.partitionBy("stream_id", "epoch")
+    starts = joined.withColumns({"begin": F.min("au").over(within), "first_input": F.min_by("unwrapped", "au").over(within), "first_timing": F.min_by("output_timing", "au").over(within)})
+    first = F.col("first_timing") + F.when(F.col("first_timing") < F.col("first_input").bitwiseAND(F.lit(0xFFFF)), 65_536).otherwise(0)
+    ready = starts.withColumns({"first_output": first.cast("long"), "name": F.col("stream_id"), "place": F.col("au")})
+    ready = ready.withColumns({"stream_id": F.struct("name", "epoch"), "au": F.col("au") - F.col("begin"), "unwrapped": F.col("unwrapped")})
     now = F.col("now")
     index = (now["info"].bitwiseAND(F.lit(15)) - 4).cast("int")
     table = lambda values: F.coalesce(F.get(F.array(*[F.lit(v) for v in values]), F.when(index >= 0, index)), F.lit(0))
@@ -142,9 +149,8 @@ def buffer_depths(units: DataFrame) -> DataFrame:
         fba_cap = F.lit(S.FBA_CAPS[name])
         if name == "sixteench":
             fba_cap = F.when((now["info"].bitwiseAND(F.lit(0x80)) != 0) & (now["substreams"] > 3), fba_cap)
-        one = ready.withColumn("bytes", F.col(name)).withColumn("cap", F.when(fbb, fbb_cap).otherwise(fba_cap))
-        part = timing.depths(one.withColumn("unit_samples", F.col("now.samples")), F.col("unit_samples"))
-        part = part.select("stream_id", "au", "au_offset", F.lit(name).alias("accumulator"), "bytes", "depth", "underrun", "cap")
+        one = ready.withColumn("bytes", F.col(name)).withColumn("cap", F.when(fbb, fbb_cap).otherwise(fba_cap)).withColumn("unit_samples", F.col("now.samples"))
+        part = timing.depths(one, F.col("unit_samples")).select(F.col("name").alias("stream_id"), F.col("place").alias("au"), "au_offset", F.lit(name).alias("accumulator"), "bytes", "depth", "underrun", "cap")
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -168,9 +174,14 @@ def noted(units: DataFrame) -> DataFrame:
 def diagnostics(units: DataFrame, buffers: bool = True) -> DataFrame:
     """One row for each violation: (stream_id, au, seq, rule, severity, byte_offset, bit_in_byte)."""
     ready = latency(configured(units))
-    parts = [noted(units), sync_rules(units), timing_rules(ready), latency_rules(ready), drc_rules(ready)]
+    follow = materialise(splices.followed(ready), "followed")
+    offsets = units.select("stream_id", "au", "au_offset")
+    at_splice = follow.select("stream_id", "au", F.posexplode("rules").alias("k", "rule")).join(offsets, ["stream_id", "au"])
+    serial = splices.serial_timing(ready).where("rule is not null").withColumn("k", F.lit(50)).select("stream_id", "au", "k", "rule").join(offsets, ["stream_id", "au"])
+    told = at_splice.unionByName(serial).select("stream_id", "au", "au_offset", (F.col("k") + 600).alias("seq"), "rule", F.lit("warning").alias("severity"), F.lit(None).cast("int").alias("bit"))
+    parts = [noted(units), sync_rules(units), timing_rules(ready), latency_rules(ready), drc_rules(ready), told]
     if buffers:
-        parts.append(buffer_rules(buffer_depths(ready)))
+        parts.append(buffer_rules(buffer_depths(ready, follow)))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)

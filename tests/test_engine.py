@@ -293,3 +293,73 @@ def test_streaming_frames_equal_the_batch(spark, streams, tmp_path):
     batch = frames.frames(streams).drop("smpte").where("stream_id <> 'broken'")
     key = lambda d: sorted((r.stream_id, r.au, r.au_offset, bytes(r.data)) for r in d.collect())
     assert key(got) == key(batch)
+
+
+def test_serial_timing_fields():
+    from tessera.kernels import hires
+
+    samples, bits, expected = 40, [], []
+    at = 0
+    for n in range(6):
+        width = 16
+        start = at + 5
+        position = start * samples * 1000 + 12_345
+        value, low = position >> 16 & 0xFFFF, position & 0xFFFF
+        line = hires.serialise(value, width)[0 if n == 0 else 5 :]
+        start = at + (5 if n == 0 else 0)
+        for k, bit in enumerate(line):
+            bits.append((at + k, bit, low))
+        expected.append((start, value))
+        at += len(line)
+    found = list(hires.fields(bits))
+    assert [(f["au"], f["value"]) for f in found] == expected
+    steady = [{"au": a, "output_timing": (a * 40 + 500) & 0xFFFF, "value": (a * 40 + 500) >> 16} for a in (0, 2000, 4000, 9000)]
+    assert list(hires.check(steady, 40)) == [{"au": 0, "start": 500}]
+    steady[2]["value"] += 1
+    assert {"au": 4000, "rule": "restart_header.invalid_hires_output_timing_sequence"} in list(hires.check(steady, 40))
+    assert "fault" in list(hires.fields([(n, False, 0) for n in range(7)]))[0]
+    assert [f for f in hires.fields([(n, bool(n & 1), 0) for n in range(50)])] == []
+
+
+def _timed(n, start, latency, au=0, every=8, length=20, **more):
+    rows = []
+    for k in range(n):
+        row = {"au": au + k, "input": (start + 40 * k) & 0xFFFF, "length": length, "samples": 40, "frequency": 48_000, "peak": 3000, "variable": True}
+        if k % every == 0:
+            row["output"] = (start + 40 * k + latency) & 0xFFFF
+        rows.append(row | more)
+    return rows
+
+
+def test_splices():
+    from tessera.kernels import splices
+
+    plain = list(splices.follow(_timed(40, 65_000, 200)))
+    assert all(r["valid"] is None and not r["rules"] and r["epoch"] == 0 for r in plain)
+    assert [r["unwrapped"] for r in plain] == [65_000 + 40 * k for k in range(40)]
+    same = list(splices.follow(_timed(16, 1000, 200) + _timed(16, 30_000, 200, au=16)))
+    at = same[16]
+    assert at["valid"] is True and at["epoch"] == 0 and not at["rules"] and at["unwrapped"] - same[15]["unwrapped"] == 40
+    late = list(splices.follow(_timed(16, 1000, 200) + _timed(16, 30_000, 2000, au=16)))
+    assert late[16]["failed"] == ["advance_step", "fifo_duration", "data_rate"] or "advance_step" in late[16]["failed"]
+    assert late[16]["epoch"] == 1 and "restart_header.invalid_seamless_branch" in late[16]["rules"]
+    far = list(splices.follow(_timed(16, 1000, 3590) + _timed(16, 30_000, 3610, au=16)))
+    assert far[16]["failed"] == ["within_75ms"]
+    strict = list(splices.follow(_timed(16, 1000, 200) + _timed(16, 30_000, 200, au=16), tolerant=False))
+    assert "restart_header.invalid_output_timing" in strict[16]["rules"]
+
+
+def test_spliced_streams_end_to_end(spark):
+    a = synth.stream(units=16)[0]
+    good, bad = a + synth.stream(units=16, seed=2, first_timing=30_000)[0], a + synth.stream(units=16, seed=2, first_timing=30_000, latency=2400)[0]
+    frame = spark.createDataFrame([("good", bytearray(good)), ("bad", bytearray(bad))], "stream_id string, data binary")
+    run = api.verify(frame)
+    rules = {(r.stream_id, r.rule) for r in run.diagnostics.collect()}
+    assert ("bad", "restart_header.invalid_seamless_branch") in rules and ("good", "restart_header.invalid_seamless_branch") not in rules
+    from tessera.operators import splices
+
+    ready = conformance.latency(conformance.configured(units.units(frames.frames(frame))))
+    found = {r.stream_id: r for r in splices.branches(splices.followed(ready), ready).collect()}
+    assert found["good"].valid and not found["bad"].valid and found["good"].au == 16 and found["good"].sample == 640
+    depths = conformance.buffer_depths(ready, splices.followed(ready)).where("stream_id = 'bad' and accumulator = 'whole' and au = 16").collect()
+    assert depths[0].depth == depths[0].bytes  # a new epoch begins with an empty buffer
