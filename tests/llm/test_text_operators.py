@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import pii, quality, secrets, toxicity
+from tessera.llm import licences, pii, quality, secrets, toxicity
 from tessera.llm.textkit import blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, score double, classes string, kept string"
@@ -205,3 +205,34 @@ def test_toxicity_on_odd_rows(spark, odd):
     one = spark.createDataFrame([(4, 1), (2, 1)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.train(odd, one), ["doc_id"]).where("score < 0.9").count() == 0
     assert toxicity.score(odd.limit(0), model, ["doc_id"]).count() == 0
+
+
+def _licences(text, threshold=licences.THRESHOLD):
+    """Every statement against every template, without pruning."""
+    low = (text or "").lower()
+    found = {}
+    for statement in re.split(r"[.!?;]+\s+|[\r\n]+", low) + re.split(r"[.!?;]+\s+", re.sub(r"[\r\n]", " ", low)):
+        a = set(licences.bigrams(statement))
+        best = min(((-2 * len(a & set(b)) / (len(a) + len(b)), name) for name, t in licences.TEMPLATES if (b := licences.bigrams(t))), default=(0, ""))
+        if a and -best[0] >= threshold:
+            found[best[1]] = max(found.get(best[1], 0), -best[0])
+    return sorted(found.items())
+
+
+def test_licences_equal_brute_force(spark):
+    rng = random.Random(11)
+    texts = [t for _, t in licences.TEMPLATES]
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            body = rng.choice(licences.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                place = rng.randrange(len(body))
+                body[place : place + rng.randint(0, 2)] = rng.choice([[], ["other"], ["the", "licence"], ["été"]])
+            parts.append((rng.choice(["\n", " ", "  "])).join(body) + rng.choice([".", ". ", "", "\n", "; "]))
+        texts.append(rng.choice(["\n", " ", ". Then more words stand here. "]).join(parts))
+    texts += [None, "", "no licence here", "ALL RIGHTS RESERVED", "Ⅻ All rights reserved é.", "word " * 5000 + "\nReleased under the MIT License.\n" + "word " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("found", F.lit(1))
+    for r in licences.scan(docs).collect():
+        assert [(x.licence, pytest.approx(x.dice)) for x in r.found] == _licences(r.text), r.text
+    assert licences.scan(docs.limit(0)).count() == 0
