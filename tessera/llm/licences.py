@@ -110,14 +110,14 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
 
     def dice(b: Column) -> Column:
-        near = F.filter(known, lambda t: (t["size"] >= F.size(b) * low) & (t["size"] <= F.size(b) * high))
+        near = F.filter(known, lambda t: (t["size"] >= F.size(b) * low - 1e-9) & (t["size"] <= F.size(b) * high + 1e-9))
         return F.array_max(F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + t["size"])).alias("dice"), t["minus"].alias("minus"), t["licence"].alias("licence"))))
 
     out = docs.withColumn(names["low"], lower)
     out = out.withColumn(names["statements"], F.when(F.col(names["low"]).rlike(any_mark), F.filter(cut, lambda s: s.rlike(any_mark))).otherwise(nothing))
     out = out.withColumn(names["words"], F.transform(names["statements"], split_words))
     longest = int(max(sizes) * high) + 1  # a set may hold fewer bigrams than there are words, so length bounds come after it
-    out = out.withColumn(names["bigrams"], F.filter(F.transform(F.filter(names["words"], lambda w: F.size(w) >= 2), pairs), lambda b: (F.size(b) >= min(sizes) * low) & (F.size(b) <= longest)))
+    out = out.withColumn(names["bigrams"], F.filter(F.transform(F.filter(names["words"], lambda w: F.size(w) >= 2), pairs), lambda b: (F.size(b) >= min(sizes) * low - 1e-9) & (F.size(b) <= longest)))
     out = out.withColumn(names["hits"], F.filter(F.transform(names["bigrams"], dice), lambda h: h["dice"] >= threshold))
     licences = F.array_sort(F.array_distinct(F.transform(names["hits"], lambda h: h["licence"])))
     best = lambda name: F.array_max(F.transform(F.filter(names["hits"], lambda h: h["licence"] == name), lambda h: h["dice"]))
