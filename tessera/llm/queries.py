@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import ann, licences, near_dup, packing, pii, quality, secrets, toxicity, warc
+from tessera.llm import ann, licences, near_dup, packing, pieces, pii, quality, secrets, toxicity, warc
 
 #: Exact sets, links and reachability; the operator's own way is in near_dup.
 NEAR_DUPLICATES = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -24,7 +24,7 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 
 
 def queries() -> dict:
-    found = [packing.op1_packing, toxicity.op2_toxicity, near_dup.op3_near_duplicates, ann.op4_nearest, pii.op5_pii, secrets.op7_secret_scan, licences.op8_licence_scan, quality.op9_quality_rules, warc.op10_warc]
+    found = [packing.op1_packing, toxicity.op2_toxicity, near_dup.op3_near_duplicates, ann.op4_nearest, pii.op5_pii, pieces.op6_segmentations, secrets.op7_secret_scan, licences.op8_licence_scan, quality.op9_quality_rules, warc.op10_warc]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
