@@ -363,3 +363,30 @@ def test_spliced_streams_end_to_end(spark):
     assert found["good"].valid and not found["bad"].valid and found["good"].au == 16 and found["good"].sample == 640
     depths = conformance.buffer_depths(ready, splices.followed(ready)).where("stream_id = 'bad' and accumulator = 'whole' and au = 16").collect()
     assert depths[0].depth == depths[0].bytes  # a new epoch begins with an empty buffer
+
+
+def test_framed_source(spark, tmp_path):
+    from tessera.sources import framed
+
+    data = {"a.bin": synth.stream(units=40)[0], "b.bin": b"junk" + synth.stream(units=9, seed=3)[0] + b"\0", "c.txt": b"no stream", "d.bin": b""}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    framed.register(spark)
+    rows = spark.read.format("framed").option("suffix", ".bin").option("chunkBytes", 333).load(f"file://{tmp_path}").collect()
+    for name in ("a.bin", "b.bin"):
+        expected, _ = framing.scan(data[name])
+        got = sorted((r.au, r.au_offset, r.segment, r.is_major, bytes(r.data)) for r in rows if r.stream_id.endswith(name))
+        assert got == expected
+    assert {r.stream_id[-5:] for r in rows} == {"a.bin", "b.bin"}
+
+
+def test_master_document():
+    from tessera.sinks import master
+
+    payload = objects.parse(synth.object_payload(2, 3))
+    text = list(master.lines(payload, "show"))
+    assert text[1] == "presentations:" and "    fps: 24" in text and "    scBedConfiguration: [3]" in text and "      - ID: 10" in text and "      - ID: 11" in text
+    assert text[text.index("      - channels:") + 1 :][:2] == ["          - channel: LFE", "            ID: 3"]
+    payload["trim"] = {"warp": 1, "mode": 2, "bypass": None, "trims": [None] * 8 + [{"automatic": False, "disabled": False, "trim_centre": -3.0, "balance_top": 0.5}]}
+    text = list(master.lines(payload, "show"))
+    assert "    warpMode: warping" in text and "        ManySurroundsManyHeights:" in text and "            centerTrim: -3" in text
