@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import streams as S
+from tessera.kernels import dither
 from tessera.operators import conformance, tally
 from tessera.operators import frames as framing
 from tessera.operators import units as parsing
@@ -108,9 +109,14 @@ def verify(streams: DataFrame, fail_on: str = "error", max_per_rule: int = 10, b
     return Verification(found, counts, tally.limited(found, max_per_rule), judged)
 
 
-def decode(streams: DataFrame, presentations: list[int] | None = None) -> DataFrame:
-    """Samples by stream, presentation and unit; the highest presentation unless some are named."""
-    return parsing.pcm(framing.frames(streams), [3] if presentations is None else presentations)
+def decode(streams: DataFrame, presentations: list[int] | None = None, dither_table: str | None = None) -> DataFrame:
+    """Samples by stream, presentation and unit; the highest presentation unless some are named.
+
+    ``dither_table`` is a text file with the 256 amplitudes that streams of the
+    second and third restart syntax may ask for; it is read on the driver.
+    """
+    table = dither.load(dither_table) if dither_table else None
+    return parsing.pcm(framing.frames(streams), [3] if presentations is None else presentations, table)
 
 
 def parse_presentations(text: str) -> list[int]:

@@ -117,8 +117,8 @@ class Substream:
 class Interval:
     """Reads the units of an interval in order; ``wanted`` presentations are decoded, or none."""
 
-    def __init__(self, wanted: list[int] | None = None):
-        self.wanted = wanted
+    def __init__(self, wanted: list[int] | None = None, dither_table: list[int] | None = None):
+        self.wanted, self.dither_table = wanted, dither_table
         self.sync: dict | None = None
         self.substreams: dict[int, Substream] = {}
         self.notes: list[tuple[str, str, int]] = []
@@ -693,7 +693,9 @@ class Interval:
         mask = self.sync["masks"][index]
         members = [self.substreams[i] for i in range(index + 1) if mask >> i & 1 and i in self.substreams]
         if s.sync_word != SYNC_A and done == 0:
-            s.table, s.seed = dither.sequence(samples, s.seed)
+            s.table, s.seed = dither.indices(samples, s.seed)
+            if self.dither_table is None and any(p.scale for p in s.matrices):
+                raise Stop("other.unclassified")  # dither is asked for, and there is no table of it
         for k, bypass in enumerate(bypassed):
             at = done + k
             row = [0] * 18
@@ -710,7 +712,7 @@ class Interval:
                 total = sum(x * y for x, y in zip(row, primitive.coeffs, strict=True) if y)
                 if s.sync_word != SYNC_A and primitive.scale:
                     place = (len(s.matrices) - p) * (2 * at + 1) + at
-                    total += s.table[place & (len(s.table) - 1)] << (11 + primitive.scale)
+                    total += self.dither_table[s.table[place & (len(s.table) - 1)]] << (11 + primitive.scale)
                 if s.sync_word == SYNC_C:
                     drift = sum(x * y for x, y in zip(row, primitive.deltas, strict=True) if y)
                     total += (drift >> 18) * at * (((1 << 16) // samples) << 2)

@@ -67,11 +67,11 @@ def units(frames: DataFrame) -> DataFrame:
     return _by_interval(frames, schemas.UNITS, rows)
 
 
-def pcm(frames: DataFrame, presentations: list[int]) -> DataFrame:
+def pcm(frames: DataFrame, presentations: list[int], dither_table: list[int] | None = None) -> DataFrame:
     """Samples of each unit and presentation, 24-bit little-endian, interleaved; copies and absent presentations resolve to what carries them."""
 
     def rows(interval: list[dict]) -> Iterator[dict]:
-        reader = syntax.Interval(presentations)
+        reader = syntax.Interval(presentations, dither_table)
         for row in interval:
             unit = reader.unit(row["data"])
             if unit["stopped"]:

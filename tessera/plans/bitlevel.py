@@ -136,21 +136,21 @@ CAST(len(string_split(coalesce(html, ''), '</p>')) AS BIGINT) AS pieces FROM pag
 
 
 def q31_dither_lfsr(spark, sf_dir):
-    """The dither sequence of one seed for each region; the generator is sequential, so a kernel makes each."""
+    """The places in the dither table of one seed for each region; the generator is sequential, so a kernel makes each."""
     regions = table(spark, sf_dir, "region").select("r_regionkey")
 
     def run(batches):
         for frame in batches:
-            rows = [(int(key), n, int(v)) for key in frame["r_regionkey"] for n, v in enumerate(dither.sequence(40, int(key) * 7919 + 1)[0])]
+            rows = [(int(key), n, int(v)) for key in frame["r_regionkey"] for n, v in enumerate(dither.indices(40, int(key) * 7919 + 1)[0])]
             yield frame.__class__(rows, columns=["r_regionkey", "n", "value"])
 
     return regions.mapInPandas(run, "r_regionkey int, n int, value int")
 
 
-Q31 = f"""WITH RECURSIVE lut AS (SELECT {_array_sql(dither.TABLE)} AS t), s(r, n, seed) AS (
+Q31 = """WITH RECURSIVE s(r, n, seed) AS (
  SELECT r_regionkey, 0, CAST(r_regionkey * 7919 + 1 AS BIGINT) FROM region UNION ALL
  SELECT r, n + 1, xor(xor(seed << 8, seed >> 15), (seed >> 15) << 5) & 8388607 FROM s WHERE n < 63)
-SELECT r AS r_regionkey, n, t[(seed >> 15) + 1] AS value FROM s, lut"""
+SELECT r AS r_regionkey, n, seed >> 15 AS value FROM s"""
 
 KEY = b"tessera"
 

@@ -390,3 +390,15 @@ def test_master_document():
     payload["trim"] = {"warp": 1, "mode": 2, "bypass": None, "trims": [None] * 8 + [{"automatic": False, "disabled": False, "trim_centre": -3.0, "balance_top": 0.5}]}
     text = list(master.lines(payload, "show"))
     assert "    warpMode: warping" in text and "        ManySurroundsManyHeights:" in text and "            centerTrim: -3" in text
+
+
+def test_dither_table_is_a_parameter(tmp_path):
+    from tessera.kernels import dither
+
+    (tmp_path / "table").write_text(", ".join(str(v - 128) for v in range(256)))
+    assert dither.load(str(tmp_path / "table")) == list(range(-128, 128))
+    (tmp_path / "short").write_text("1 2 3")
+    with pytest.raises(ValueError):
+        dither.load(str(tmp_path / "short"))
+    places, seed = dither.indices(40, 1)
+    assert len(places) == 64 and max(places) < 256 and dither.indices(64, 1) == (places, seed)
