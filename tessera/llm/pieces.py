@@ -44,7 +44,7 @@ from tessera.llm.textkit import bounded_batches, map_batches, mix
 MARK = "▁"
 BEST = 3
 #: New words after which a task starts a new generation of those it keeps; it keeps two.
-CACHED = 200_000
+CACHED = 300_000
 #: Words whose lattices are built at once.
 TOGETHER = 4000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +75,7 @@ class Vocabulary:
     def _tables(self) -> None:
         """For each length the hashes of its pieces, ascending, and their numbers."""
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen: list[np.ndarray] = []  # by a hash's upper bits, whether any piece has them
         by_length: dict[int, list[tuple[str, int]]] = {}
         for piece, number in self.ids.items():
             by_length.setdefault(len(piece), []).append((piece, number))
@@ -86,6 +87,9 @@ class Vocabulary:
                 hashes = mix(hashes * _BASE + points[:, k])
             order = np.argsort(hashes)
             self.tables.append((hashes[order], np.array([n for _, n in found], np.int64)[order]))
+            seen = np.zeros(1 << 16, bool)
+            seen[(hashes >> np.uint64(48)).astype(np.int64)] = True
+            self.seen.append(seen)
 
     def words(self, text: str) -> list[str]:
         return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -107,19 +111,21 @@ class Lattices:
         place = np.arange(total) - np.repeat(self.starts, sizes)
         left = np.repeat(sizes, sizes) - place
         most = min(vocabulary.longest, int(sizes.max(initial=0)))
-        self.number = np.full((most + 1, total), -1, np.int64)
+        self.number = np.full((most + 1, total), -1, np.int32)
+        self.score = np.full((most + 1, total), -np.inf)
         hashes = np.zeros(total, np.uint64)
         for length in range(1, most + 1):
             ahead = np.zeros(total, np.uint64)
             ahead[: total - length + 1] = points[length - 1 :]
             hashes = mix(hashes * _BASE + ahead)
             keys, numbers = vocabulary.tables[length - 1]
-            inside = np.flatnonzero(left >= length)
             if len(keys):
-                mine = hashes[inside]
+                maybe = np.flatnonzero(vocabulary.seen[length - 1][(hashes >> np.uint64(48)).astype(np.int64)] & (left >= length))
+                mine = hashes[maybe]
                 at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                self.number[length][inside] = np.where(keys[at] == mine, numbers[at], -1)
-        self.score = np.where(self.number >= 0, vocabulary.scores[np.maximum(self.number, 0)], -np.inf)
+                same = keys[at] == mine
+                self.number[length][maybe[same]] = numbers[at[same]]
+                self.score[length][maybe[same]] = vocabulary.scores[numbers[at[same]]]
         unknown = self.number[1] < 0 if most else np.zeros(0, bool)
         if most:
             self.score[1][unknown] = vocabulary.unknown
