@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import streams as S
+from tessera.kernels import buffers
 from tessera.operators import splices, tally, timing
 from tessera.storage import materialise
 
@@ -143,16 +144,46 @@ def buffer_depths(units: DataFrame, follow: DataFrame) -> DataFrame:
     index = (now["info"].bitwiseAND(F.lit(15)) - 4).cast("int")
     table = lambda values: F.coalesce(F.get(F.array(*[F.lit(v) for v in values]), F.when(index >= 0, index)), F.lit(0))
     fbb = now["format_sync"] == FBB
-    out = None
+    caps = {}
     for name in CAPS:
         fbb_cap = table(S.FBB_SUBSTREAM0_CAPS if name == "substream0" else S.FBB_STREAM_CAPS) if name in ("substream0", "sixch", "whole") else F.lit(None)
         fba_cap = F.lit(S.FBA_CAPS[name])
         if name == "sixteench":
             fba_cap = F.when((now["info"].bitwiseAND(F.lit(0x80)) != 0) & (now["substreams"] > 3), fba_cap)
-        one = ready.withColumn("bytes", F.col(name)).withColumn("cap", F.when(fbb, fbb_cap).otherwise(fba_cap)).withColumn("unit_samples", F.col("now.samples"))
-        part = timing.depths(one, F.col("unit_samples")).select(F.col("name").alias("stream_id"), F.col("place").alias("au"), "au_offset", F.lit(name).alias("accumulator"), "bytes", "depth", "underrun", "cap")
+        caps[name] = F.when(fbb, fbb_cap).otherwise(fba_cap)
+    ready = ready.withColumn("caps", F.array(*[caps[n] for n in CAPS])).withColumn("unit_samples", F.col("now.samples"))
+    narrow = ready.select("stream_id", "name", "place", "au", "au_offset", "unwrapped", "first_output", "unit_samples", "caps", *CAPS)
+    out = None
+    for k, name in enumerate(CAPS):
+        one = narrow.withColumn("bytes", F.col(name)).withColumn("cap", F.col("caps")[k])
+        part = timing.depths(one, F.col("unit_samples")).withColumn("odd", F.col("underrun") | (F.col("au") + 1 - F.col("drained") > buffers.PLACES))
+        part = part.select("stream_id", "name", "place", "au_offset", F.lit(name).alias("accumulator"), "bytes", "depth", "underrun", "cap", "odd")
         out = part if out is None else out.unionAll(part)
-    return out
+    odd = out.where("odd").select("stream_id").distinct()
+    even = out.join(odd, "stream_id", "left_anti").drop("odd")
+    played = _replayed(narrow.join(odd, "stream_id", "left_semi"))
+    return even.unionByName(played).select(F.col("name").alias("stream_id"), F.col("place").alias("au"), "au_offset", "accumulator", "bytes", "depth", "underrun", "cap")
+
+
+REPLAYED = "stream_id struct<name:string,epoch:long>, name string, place long, au_offset long, accumulator string, bytes long, depth long, underrun boolean, cap int"
+
+
+def _replayed(rows: DataFrame) -> DataFrame:
+    """Depths of epochs in which the closed form does not hold, unit by unit."""
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        found = table.sort_by("au").to_pylist()
+        units = ((r["unwrapped"], r["first_output"] + (r["au"] + 1) * r["unit_samples"], tuple(r[n] for n in CAPS)) for r in found)
+        out = []
+        for r, (depths, dry) in zip(found, buffers.replay(units), strict=True):
+            out += [{"stream_id": r["stream_id"], "name": r["name"], "place": r["place"], "au_offset": r["au_offset"], "accumulator": n, "bytes": r[n], "depth": depths[k], "underrun": dry is not None, "cap": r["caps"][k]} for k, n in enumerate(CAPS)]
+        kind = pa.struct([("name", pa.string()), ("epoch", pa.int64())])
+        kinds = (kind, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
+        names = ["stream_id", "name", "place", "au_offset", "accumulator", "bytes", "depth", "underrun", "cap"]
+        return pa.Table.from_arrays([pa.array([r[n] for r in out], k) for n, k in zip(names, kinds, strict=True)], names)
+
+    return rows.groupBy("stream_id").applyInArrow(run, REPLAYED)
 
 
 def buffer_rules(depths: DataFrame) -> DataFrame:
@@ -171,7 +202,7 @@ def noted(units: DataFrame) -> DataFrame:
     return units.select("stream_id", "au", "au_offset", F.posexplode("notes").alias("seq", "n")).select("stream_id", "au", "au_offset", "seq", "n.rule", "n.severity", "n.bit")
 
 
-def diagnostics(units: DataFrame, buffers: bool = True) -> DataFrame:
+def diagnostics(units: DataFrame, depths: bool = True) -> DataFrame:
     """One row for each violation: (stream_id, au, seq, rule, severity, byte_offset, bit_in_byte)."""
     ready = latency(configured(units))
     follow = materialise(splices.followed(ready), "followed")
@@ -180,7 +211,7 @@ def diagnostics(units: DataFrame, buffers: bool = True) -> DataFrame:
     serial = splices.serial_timing(ready).where("rule is not null").withColumn("k", F.lit(50)).select("stream_id", "au", "k", "rule").join(offsets, ["stream_id", "au"])
     told = at_splice.unionByName(serial).select("stream_id", "au", "au_offset", (F.col("k") + 600).alias("seq"), "rule", F.lit("warning").alias("severity"), F.lit(None).cast("int").alias("bit"))
     parts = [noted(units), sync_rules(units), timing_rules(ready), latency_rules(ready), drc_rules(ready), told]
-    if buffers:
+    if depths:
         parts.append(buffer_rules(buffer_depths(ready, follow)))
     found = parts[0]
     for part in parts[1:]:
