@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.textkit import bounded_batches, map_batches
+from tessera.llm.textkit import bounded_batches, kept, map_batches
 from tessera.storage import materialise
 
 CAPACITY = 2048
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, d
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = kept(("words", path), lambda: WordEncoder(path))
         for batch in batches:
             rows = []
             for key, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, d
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, PIECES)
+    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, PIECES, keeps=True)
 
 
 def best_fit(order: np.ndarray, sizes: np.ndarray, bins: np.ndarray, free: list[int], capacity: int) -> None:

@@ -39,7 +39,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import bounded_batches, map_batches, mix
+from tessera.llm.textkit import bounded_batches, kept, map_batches, mix
 
 MARK = "▁"
 BEST = 3
@@ -291,7 +291,7 @@ def segment(docs: DataFrame, n: int = BEST, path: str | None = None, doc_id: str
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path), n)
+        encoder = kept(("pieces", path, n), lambda: Encoder(Vocabulary(path), n))
         for batch in batches:
             keys, ranks, scores, parts, ends = [], [], [], [], [0]
             for key, found in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -308,7 +308,7 @@ def segment(docs: DataFrame, n: int = BEST, path: str | None = None, doc_id: str
             )
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return map_batches(chosen, run, "doc_id long, rank int, score double, n_pieces long, ids array<int>")
+    return map_batches(chosen, run, "doc_id long, rank int, score double, n_pieces long, ids array<int>", keeps=True)
 
 
 def decoded(segments: DataFrame, path: str | None = None) -> DataFrame:
@@ -329,8 +329,8 @@ def op6_segmentations(spark, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
-        encoder, speller = Encoder(vocabulary), Speller(vocabulary)
+        encoder = kept(("pieces", None, BEST), lambda: Encoder(Vocabulary()))
+        speller = Speller(encoder.vocabulary)
         for batch in batches:
             rows = []
             for key, found in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -339,7 +339,7 @@ def op6_segmentations(spark, sf_dir: str) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "text_crc32"])
 
-    return map_batches(docs, run, "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, text_crc32 long")
+    return map_batches(docs, run, "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, text_crc32 long", keeps=True)
 
 
 class Speller:

@@ -72,10 +72,23 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_batches(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` that leaves no memory behind at the end of a task."""
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """An object of bounded size that a worker keeps from one task of an operator to the next, such as a cache of words."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def map_batches(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
+    """``mapInArrow`` that leaves no memory behind at the end of a task, nor at its start what another operator kept; with ``keeps`` it uses :func:`kept`."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _KEPT.clear()
         yield from run(batches)
         release_memory()
 
