@@ -83,12 +83,16 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
+def forget_kept() -> None:
+    _KEPT.clear()
+
+
 def map_batches(frame: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: bool = False) -> DataFrame:
     """``mapInArrow`` that leaves no memory behind at the end of a task, nor at its start what another operator kept; with ``keeps`` it uses :func:`kept`."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps:
-            _KEPT.clear()
+            forget_kept()  # by name: the worker's module holds the objects, not this function's copy of it
         yield from run(batches)
         release_memory()
 
