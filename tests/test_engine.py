@@ -439,3 +439,38 @@ def test_replay_after_an_underrun():
 
     out = list(buffers.replay([(0, 10, (100,)), (50, 20, (70,)), (60, 100, (5,))]))
     assert out == [((100,), None), ((70,), 0), ((75,), None)]  # the second unit's record left before its bytes came
+
+
+def test_reports(spark, streams, tmp_path):
+    from tessera import report
+
+    run = api.verify(streams.where("stream_id in ('short', 'nothing')"))
+    tally, rows = run.tally.collect(), {r.stream_id: r for r in run.summary.collect()}
+    text = report.report_text(rows["short"], tally)
+    assert "restart_gap_invalid" in text and "5 x warning, units 4 to 20" in text and "conformant" in text
+    assert "no major sync found" in report.report_text(rows["nothing"], tally)
+    info = {r.stream_id: r for r in api.info(streams).collect()}
+    assert "48000 Hz" in report.stream_text(info["clean"]) and "CopyOf(0)" in report.stream_text(info["clean"])
+    line = report.decode_json(api.decode_summary(api.decode(streams.where("stream_id = 'six'"), [0]))).collect()[0].line
+    assert line == '{"stream_id":"six","frames":24,"samples":960,"presentations":[{"presentation":0,"frames":24,"samples":960,"channels":6}]}'
+    (tmp_path / "key").write_bytes(b"abc")
+    assert report.parse_key("616263") == report.parse_key(f"@{tmp_path}/key") == b"abc"
+    with pytest.raises(ValueError):
+        report.parse_key("00" * 65)
+    order = report.bed_conformed(["L", "R", "LFE"], ["L", "R", "C", "LFE"])
+    assert order == [0, 1, None, 2] and report.conform_bed(b"aaabbbccc", 3, order) == b"aaabbb\0\0\0ccc"
+
+
+def test_rates_and_output_segments(spark):
+    from tessera import report
+
+    data = synth.stream(units=16)[0] + synth.stream(units=8, channels=2, rate_code=1, first_timing=640)[0]
+    frame = spark.createDataFrame([("s", bytearray(data))], "stream_id string, data binary")
+    parsed = units.units(frames.frames(frame))
+    ready = conformance.configured(parsed)
+    rate = report.max_data_rate(ready).collect()[0]
+    lengths = [r.length for r in parsed.orderBy("au").collect()]
+    expected = max(-(-48_000 * 16 * lengths[n] // 40) for n in range(15))
+    assert rate.max_data_rate >= expected
+    out = report.output_segments(api.decode(frame, [0]), parsed).select("au", "output_segment").orderBy("au").collect()
+    assert [r.output_segment for r in out] == [0] * 16 + [16] * 8
