@@ -34,7 +34,6 @@ DIVERGENCE_CODES = [
     0.996817, 0.99821, 0.998993, 1.0,
 ]
 ZONES = ["all", "no back", "no sides", "center back", "screen only", "surround only"]
-WARPS = ["normal", "warping", "downmix Pro Logic IIx", "downmix LoRo"]
 OBJECT, TRIM, HEADPHONE, DESCRIPTION, EXTENDED = 1, 2, 3, 4, 5
 TRIM_NAMES = ["trim_centre", "trim_surround", "trim_height", "balance_top", "balance_listener"]
 

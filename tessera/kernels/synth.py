@@ -6,7 +6,7 @@ import random
 
 from tessera.kernels import bits as B
 from tessera.kernels.bits import BitWriter
-from tessera.kernels.syntax import FBA, FBB, SIGNATURE, SYNC_A, folded
+from tessera.kernels.syntax import FBA, SIGNATURE, SYNC_A, folded
 
 
 def major_sync(sync: int, rate_code: int, substreams: int, info: int, peak: int = 3000, flags: int | None = None, variable: bool = True) -> bytes:
