@@ -46,29 +46,73 @@ def sync_rules(units: DataFrame) -> DataFrame:
     return _rules(_majors(units), rules, 100)
 
 
-def timing_rules(units: DataFrame) -> DataFrame:
-    """Gaps, intervals and data rates; ``units`` as from :func:`configured`."""
-    now = F.col("now")
+def timing_rules(units: DataFrame, follow: DataFrame, tolerant: bool = True) -> DataFrame:
+    """Gaps, intervals and data rates; ``units`` as from :func:`configured`, ``follow`` as from splices.followed.
+
+    After a valid splice a unit is compared with the one before the splice.
+    With tolerance, an interval rule is silent at a major sync, where a splice
+    may be; after a valid splice its twin speaks.
+    """
+    now, order = F.col("now"), timing.in_order()
     fbb = now["format_sync"] == FBB
     samples, peak = now["samples"], now["peak"]
     duration = F.when(peak > 0, timing.ceil_div(F.col("length").cast("long") * 256, peak)).otherwise(0)
-    interval = (F.col("input_timing") - F.lag("input_timing").over(timing.in_order())).bitwiseAND(F.lit(0xFFFF))
-    before = F.lag("length").over(timing.in_order())
-    rows = units.withColumns({"interval": interval, "before": before, "before_duration": F.lag(duration).over(timing.in_order())})
+    rows = units.join(follow.select("stream_id", "au", "unwrapped", F.coalesce("valid", F.lit(False)).alias("spliced")), ["stream_id", "au"]).withColumn("duration", duration)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(~F.col("spliced"), F.struct("input_timing", "length", "duration", "unwrapped")), ignorenulls=True).over(earlier)
+    rows = rows.withColumns({"p": last, "after": F.coalesce(F.lag("spliced").over(order), F.lit(False)), "sent": F.sum(F.col("length").cast("long")).over(earlier), "start": F.first("input_timing").over(timing.so_far())})
+    plain = (F.col("input_timing") - F.col("p.input_timing")).bitwiseAND(F.lit(0xFFFF))
+    interval = F.when(F.col("after"), F.col("unwrapped") - F.col("p.unwrapped")).otherwise(plain)
+    rows = rows.withColumn("interval", interval)
     limit = F.when(fbb, 153_600_000).otherwise(288_000_000)
+    said = ~F.col("is_major") if tolerant else F.lit(True)
+    broken = {
+        "timing_too_short": F.col("interval") < F.floor(samples / 4),
+        "timing_shorter_than_previous": F.col("interval") < F.col("p.duration"),
+        "data_rate_exceeded": now["variable_rate"] & (F.col("p.length").cast("long") * 256 > F.col("interval").cast("long") * peak),
+        "timing_too_long": F.col("interval") > S.samples_per_75ms(now["frequency"]),
+    }
+    drift = F.abs((F.col("unwrapped") - F.col("start")) * peak - F.col("sent") * 256)
     rules = {
         "access_unit.restart_gap_invalid": ("warning", (F.col("gap") != 1) & (F.col("gap") < 8)),
         "access_unit.fbb_sync_too_far": ("warning", fbb & (F.col("distance") > 32)),
         "access_unit.fba_sync_too_far": ("warning", ~fbb & (F.col("distance") > 128)),
         "access_unit.peak_data_rate_too_high": ("warning", peak.cast("long") * now["frequency"] > limit),
-        "access_unit.timing_too_short": ("warning", F.col("interval") < F.floor(samples / 4)),
-        "access_unit.timing_shorter_than_previous": ("warning", F.col("interval") < F.col("before_duration")),
-        "access_unit.data_rate_exceeded": ("warning", now["variable_rate"] & (F.col("before").cast("long") * 256 > F.col("interval").cast("long") * peak)),
-        "access_unit.timing_too_long": ("warning", F.col("interval") > S.samples_per_75ms(now["frequency"])),
     }
+    for name, condition in broken.items():
+        rules[f"access_unit.{name}"] = ("warning", condition & said)
+        rules[f"access_unit.{name}_after_jump"] = ("warning", condition & F.col("after"))
+    rules["access_unit.fixed_rate_mismatch"] = ("warning", ~now["variable_rate"] & (drift >= 256))
     return _rules(rows, rules, 200)
 
 
+def start_up_rules(units: DataFrame) -> DataFrame:
+    """Start-up gains that exceed the gain a substream already runs at; gains are logarithms, so they compare as they are."""
+    updates = units.select("stream_id", "au", F.posexplode("directory").alias("substream", "d")).where("d.drc_gain is not null").select("stream_id", "au", "substream", F.col("d.drc_gain").alias("gain"), F.lit(False).alias("heavy"))
+    heavy = units.select("stream_id", "au", F.explode("restarts").alias("r")).where("r.heavy_gain is not null").select("stream_id", "au", F.col("r.substream").alias("substream"), F.col("r.heavy_gain").alias("gain"), F.lit(True).alias("heavy"))
+    asks = units.where("config.start_gain is not null and au > 0").select("stream_id", "au", "au_offset", F.col("config.start_gain").alias("light"), F.col("config.heavy_start_gain").alias("strong"), F.explode(F.sequence(F.lit(0), F.col("config.substreams") - 1)).alias("substream"))
+    asked = asks.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("heavy"))
+    both = asked.withColumn("gain", F.lit(None).cast("int")).withColumn("place", F.lit(0)).unionByName(updates.unionAll(heavy).withColumn("place", F.lit(1)), allowMissingColumns=True)
+    before = Window.partitionBy("stream_id", "substream", "heavy").orderBy("au", "place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("running", F.last("gain", ignorenulls=True).over(before)).where("place = 0")
+    rules = {
+        "channel.drc_start_up_gain_too_large": ("warning", ~F.col("heavy") & (F.col("light") * 4 > F.col("running"))),
+        "channel.heavy_drc_start_up_gain_too_large": ("warning", F.col("heavy") & (F.col("strong") * 8 > F.col("running"))),
+    }
+    return _rules(rows, rules, 450)
+
+
+def heavy_drc_rules(units: DataFrame) -> DataFrame:
+    """Heavy gain updates that come later, counted in restart headers, than they promised."""
+    rows = units.where(F.col("now.format_sync") == FBA).where(F.col("now.flags").bitwiseAND(F.lit(0x2000)) != 0)
+    headers = rows.select("stream_id", "au", "au_offset", F.explode("restarts").alias("r")).select("stream_id", "au", "au_offset", F.col("r.substream").alias("substream"), F.col("r.block").alias("block"), F.col("r.heavy_time").alias("time"))
+    order = Window.partitionBy("stream_id", "substream").orderBy("au", "block")
+    numbered = headers.withColumn("n", F.row_number().over(order))
+    update = F.when(F.col("time").isNotNull(), F.struct("n", "time"))
+    late = numbered.withColumn("last", F.last(update, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return _rules(late, {"restart_header.heavy_drc_time_update_exceeded": ("warning", F.col("n") - F.col("last.n") > F.call_function("shiftleft", F.lit(1), F.col("last.time")))}, 470)
+
+
 def latency(units: DataFrame) -> DataFrame:
     """Adds ``output_timing`` of the last restart of substream 0 and the unit's ``latency``."""
     first = F.get(F.filter("restarts", lambda r: r["substream"] == 0), F.lit(0))["output_timing"]
@@ -210,7 +254,7 @@ def diagnostics(units: DataFrame, depths: bool = True) -> DataFrame:
     at_splice = follow.select("stream_id", "au", F.posexplode("rules").alias("k", "rule")).join(offsets, ["stream_id", "au"])
     serial = splices.serial_timing(ready).where("rule is not null").withColumn("k", F.lit(50)).select("stream_id", "au", "k", "rule").join(offsets, ["stream_id", "au"])
     told = at_splice.unionByName(serial).select("stream_id", "au", "au_offset", (F.col("k") + 600).alias("seq"), "rule", F.lit("warning").alias("severity"), F.lit(None).cast("int").alias("bit"))
-    parts = [noted(units), sync_rules(units), timing_rules(ready), latency_rules(ready), drc_rules(ready), told]
+    parts = [noted(units), sync_rules(units), timing_rules(ready, follow), latency_rules(ready), drc_rules(ready), start_up_rules(ready), heavy_drc_rules(ready), told]
     if depths:
         parts.append(buffer_rules(buffer_depths(ready, follow)))
     found = parts[0]
@@ -230,3 +274,16 @@ def lossless_checks(samples: DataFrame, units: DataFrame) -> DataFrame:
     stated = stated.select("stream_id", "segment", F.col("r.substream").alias("presentation"), F.col("r.lossless_check").alias("stated"))
     whole = units.groupBy("stream_id", "segment").agg(F.every(F.col("stopped").isNull()).alias("whole")).where("whole").drop("whole")
     return last.select("stream_id", "presentation", "segment", calculated.alias("calculated")).join(stated, ["stream_id", "presentation", "segment"]).join(whole, ["stream_id", "segment"])
+
+
+def decode_diagnostics(samples: DataFrame, units: DataFrame) -> DataFrame:
+    """(stream_id, au, rule, severity): what only decoding can tell: intervals whose check byte differs, and outputs wider than stated.
+
+    Kept apart from the conformance run, which does not decode.
+    """
+    checks = lossless_checks(samples, units).where("calculated <> stated")
+    firsts = units.where("is_major").select("stream_id", (F.col("segment") - 1).alias("segment"), "au")
+    wrong = checks.join(firsts, ["stream_id", "segment"]).select("stream_id", "au", F.lit("restart_header.lossless_check_mismatch").alias("rule"), F.lit("warning").alias("severity"))
+    stated = units.select("stream_id", "segment", F.explode("restarts").alias("r")).where("r.block = 0").select("stream_id", "segment", F.col("r.substream").alias("presentation"), F.col("r.max_bits").alias("max_bits"))
+    wide = samples.join(stated, ["stream_id", "segment", "presentation"]).where(F.call_function("shiftright", F.col("width"), F.col("max_bits")) != 0)
+    return wrong.unionAll(wide.select("stream_id", "au", F.lit("decode.outputs_exceed_max_bits").alias("rule"), F.lit("warning").alias("severity")))

@@ -474,3 +474,41 @@ def test_rates_and_output_segments(spark):
     assert rate.max_data_rate >= expected
     out = report.output_segments(api.decode(frame, [0]), parsed).select("au", "output_segment").orderBy("au").collect()
     assert [r.output_segment for r in out] == [0] * 16 + [16] * 8
+
+
+def test_more_rules(spark):
+    fixed = synth.stream(units=16)[0]
+    head = synth.major_sync(syntax.FBA, 0, 1, 0x14, 3000, variable=False)
+    found, _ = framing.scan(fixed)
+    rebuilt = b"".join(d[:4] + head + d[4 + len(head) :] if m else d for _, _, _, m, d in found)
+    loud = [synth.major_sync(syntax.FBA, 0, 1, 0x14)] * 2
+    frame = spark.createDataFrame([("fixed", bytearray(rebuilt))], "stream_id string, data binary")
+    rules = {r.rule for r in api.verify(frame).tally.collect()}
+    assert "access_unit.fixed_rate_mismatch" in rules and len(loud[0]) == 28
+    spliced = synth.stream(units=16, peak=100)[0] + synth.stream(units=16, seed=2, first_timing=30_000)[0]
+    quiet = api.verify(spark.createDataFrame([("s", bytearray(spliced))], "stream_id string, data binary")).tally.collect()
+    assert {r.rule: r["count"] for r in quiet}["access_unit.data_rate_exceeded"] == 14  # silent at the major syncs 8 and 16
+
+
+def test_decode_diagnostics(spark):
+    good, pcm = synth.stream(units=24)
+    found, _ = framing.scan(good)
+    # a second interval whose header states another check byte, with its checksum repaired
+    body = bytearray(found[8][4])
+    history = [[0] * 8, [0] * 8]
+    rows = pcm[8 * 40 : 9 * 40]
+    header = synth.restart_header(2, (8 * 40 + 200) & 0xFFFF, 1 + syntax.folded(synth.digest_of(pcm[: 8 * 40])) & 0xFF)
+    body = synth.unit(8 * 40, synth.major_sync(syntax.FBA, 0, 1, 0x14), [synth.segment(rows, header, [], history)], True)
+    data = b"".join(body if n == 8 else d for n, _, _, _, d in found)
+    frame = spark.createDataFrame([("wrong", bytearray(data)), ("good", bytearray(good))], "stream_id string, data binary")
+    out = conformance.decode_diagnostics(api.decode(frame, [0]), units.units(frames.frames(frame))).collect()
+    assert [(r.stream_id, r.au, r.rule) for r in out] == [("wrong", 8, "restart_header.lossless_check_mismatch")]
+
+
+def test_start_up_gains(spark):
+    rows = [("s", 0, 0, [(5,)], None, 10, 0), ("s", 4, 0, [(None,)], None, 2, 0), ("s", 8, 0, [(None,)], None, 1, 0)]
+    config = "struct<start_gain:int,heavy_start_gain:int,substreams:int>"
+    schema = f"stream_id string, au long, au_offset long, directory array<struct<drc_gain:int>>, restarts array<struct<substream:int,heavy_gain:int>>, config {config}"
+    frame = spark.createDataFrame([(a, b, c, d, e, (f, g, 1)) for a, b, c, d, e, f, g in rows], schema)
+    out = conformance.start_up_rules(frame).collect()
+    assert [(r.au, r.rule) for r in out] == [(4, "channel.drc_start_up_gain_too_large")]
