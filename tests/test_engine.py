@@ -481,10 +481,9 @@ def test_more_rules(spark):
     head = synth.major_sync(syntax.FBA, 0, 1, 0x14, 3000, variable=False)
     found, _ = framing.scan(fixed)
     rebuilt = b"".join(d[:4] + head + d[4 + len(head) :] if m else d for _, _, _, m, d in found)
-    loud = [synth.major_sync(syntax.FBA, 0, 1, 0x14)] * 2
     frame = spark.createDataFrame([("fixed", bytearray(rebuilt))], "stream_id string, data binary")
     rules = {r.rule for r in api.verify(frame).tally.collect()}
-    assert "access_unit.fixed_rate_mismatch" in rules and len(loud[0]) == 28
+    assert "access_unit.fixed_rate_mismatch" in rules
     spliced = synth.stream(units=16, peak=100)[0] + synth.stream(units=16, seed=2, first_timing=30_000)[0]
     quiet = api.verify(spark.createDataFrame([("s", bytearray(spliced))], "stream_id string, data binary")).tally.collect()
     assert {r.rule: r["count"] for r in quiet}["access_unit.data_rate_exceeded"] == 14  # silent at the major syncs 8 and 16
