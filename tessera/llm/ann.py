@@ -36,7 +36,7 @@ from tessera.storage import materialise
 SHARD = 8192
 QUERY_BLOCK = 2048
 #: Links a node makes, links it keeps on the lowest layer, candidates for links, width of the search.
-LINKS, LOWEST_LINKS, CANDIDATES, BEAM = 12, 24, 48, 96
+LINKS, LOWEST_LINKS, CANDIDATES, BEAM = 16, 32, 48, 128
 
 INDEX = "shard long, dim int, vectors binary, ids array<array<long>>, entry int, layers array<struct<nodes:binary,links:binary>>"
 
