@@ -2,10 +2,19 @@
 
 Two models, of toxic and of ordinary text, are counted from labelled
 documents.  As Kneser-Ney smoothing asks, an expression counts once for each
-document that uses it, not for each use; counts are discounted, and the
-discounted mass goes to one backoff distribution that both classes share.  An
-expression too rare in either class is therefore as likely under both and
-decides nothing.  Word pairs back off to words, words to their first letters
+document that uses it, not for each use; counts are discounted, and the mass
+discounted in a class goes to one backoff distribution that both classes share.
+From each log-likelihood ratio goes what the same estimate gives at the counts
+expected of an expression that is as likely in both classes, so that smoothing
+itself speaks for neither class whatever the balance of the labels, and an
+expression under the discount decides nothing.
+Counts are samples, and most expressions are as likely in both classes: each
+ratio is weighted by the posterior probability that the classes differ in that
+expression at all (one common share of toxic uses against a share of its own
+under a symmetric beta prior; the prior's width and the part of expressions
+that differ are those of the largest marginal likelihood).  The weights are
+smooth, no expression is left out, and both sides count.
+Word pairs back off to words, words to their first letters
 (so a new ending of a marked stem is recognised).  A text's score compares the
 two log-likelihoods, normalised by length (and, as a second feature, by its
 square root), through a logistic curve fitted on labelled documents that the
@@ -36,11 +45,10 @@ from tessera.storage import materialise
 
 ROWS = 16_000
 ENTRIES = 200_000
-#: Discount, in documents, and weight of the shared backoff distribution.
+#: Discount, in documents.
 DISCOUNT = 2.5
-BACKOFF = 0.3
-#: Log-likelihood ratio under which an expression counts as equally likely.
-LEAST_EVIDENCE = 2.0
+#: Widths of the beta prior that the marginal likelihood chooses from.
+WIDTHS = (1.0, 0.5, 0.25, 0.1, 0.05, 0.02)
 #: Every fourth sampled document fits the curve, the others the counts.
 CURVE_PART = 4
 
@@ -134,6 +142,43 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, fl
     return tuple(float(v) for v in w)
 
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(math.lgamma, 1, 1)(x).astype(float)
+
+
+def _chance_of_difference(t: np.ndarray, o: np.ndarray, share: float, steps: int = 100) -> np.ndarray:
+    """For each expression the posterior probability that its share of toxic uses isn't the common ``share``."""
+    cells, at, n = np.unique(np.stack([t, o], axis=1), axis=0, return_inverse=True, return_counts=True)
+    a, b = cells.T
+    same = a * math.log(share) + b * math.log1p(-share)
+    best, chance = -np.inf, np.zeros(len(n))
+    for width in WIDTHS:
+        gain = _log_gamma(a + width) + _log_gamma(b + width) - _log_gamma(a + b + 2 * width) - 2 * math.lgamma(width) + math.lgamma(2 * width) - same
+        part = 0.01
+        for _ in range(steps):
+            posterior = 1 / (1 + np.exp(-np.clip(gain + math.log(part / (1 - part)), -700, 700)))
+            part = min(max(float((posterior * n).sum() / n.sum()), 1e-9), 0.5)
+        likelihood = float((n * np.logaddexp(math.log1p(-part), math.log(part) + gain)).sum())
+        if likelihood > best:
+            best, chance = likelihood, posterior
+    return chance[at.ravel()]
+
+
+def evidence_of(t: np.ndarray, o: np.ndarray, documents: tuple[float, float], weights: tuple[float, float]) -> np.ndarray:
+    """Weighted log-likelihood ratios of expressions with ``t`` toxic and ``o`` ordinary documents.
+
+    ``documents`` are the documents of each class, ``weights`` the classes' backoff weights.
+    """
+    shared = (t + o) / sum(documents)
+
+    def ratio(*counts: np.ndarray) -> np.ndarray:
+        own = [np.maximum(c - DISCOUNT, 0) / n + weight * shared for c, n, weight in zip(counts, documents, weights, strict=True)]
+        return np.log(own[0] / own[1])
+
+    expected = [n * shared for n in documents]
+    return (ratio(t, o) - ratio(*expected)) * _chance_of_difference(t, o, documents[0] / sum(documents))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -154,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            found, marks = [], []
+            # the key 0, of no expression, counts the documents
+            found, marks = [np.zeros(len(y), np.uint64)], [y]
             for block in blocks(batch.column(0)):
                 orders, limits = _expressions(block)
                 owner = text_of(limits).astype(np.uint64)
@@ -163,28 +209,28 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                     at = at[hashes[at] != 0]
                     found.append(hashes[at])
                     marks.append(y[block.first + owner[at].astype(np.int64)])
-            if not found:
-                continue
             keys, where = np.unique(np.concatenate(found), return_inverse=True)
             toxic = np.bincount(where, weights=np.concatenate(marks), minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(np.bincount(where, minlength=len(keys)) - toxic)], ["key", "toxic", "ordinary"])
 
     counts = map_batches(sample.where("not fits").select("text", "y"), count, "key long, toxic long, ordinary long")
     counts = counts.groupBy("key").agg(F.sum("toxic").cast("double").alias("t"), F.sum("ordinary").cast("double").alias("o"))
-
-
-    frequent = materialise(counts.where(F.col("t") + F.col("o") > DISCOUNT), "expressions")
-    sums = frequent.agg(F.sum("t"), F.sum("o")).head()
-    n_t, n_o = float(sums[0] or 0), float(sums[1] or 0)
+    counts = materialise(counts, "expressions")
+    documents = counts.where("key = 0").select("t", "o").head() or (0.0, 0.0)
+    counts = counts.where("key <> 0")
+    taken = [F.try_divide(F.sum(F.least(F.col(c), F.lit(DISCOUNT))), F.sum(c)) for c in ("t", "o")]
+    weights = counts.agg(*taken).head()
     keys = ratios = np.empty(0)
-    if n_t and n_o:
-        shared = BACKOFF * (F.col("t") + F.col("o")) / (n_t + n_o)
-        own = lambda c, n: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / n + shared
-        ratio = F.log(own("t", n_t) / own("o", n_o))
-        top = frequent.select("key", ratio.alias("ratio")).where(F.abs("ratio") > LEAST_EVIDENCE).orderBy(F.abs("ratio").desc(), "key").limit(entries).toArrow()
-        keys = top["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, ratios = keys[order], top["ratio"].to_numpy()[order]
+    if all(documents) and all(weights):
+        # an expression of fewer documents has the ratio 0
+        known = counts.where(F.col("t") + F.col("o") > DISCOUNT).toArrow()
+        keys = known["key"].to_numpy().view(np.uint64)
+        if len(keys):
+            ratios = evidence_of(known["t"].to_numpy(), known["o"].to_numpy(), tuple(documents), tuple(weights))
+        keys, ratios = keys[ratios != 0], ratios[ratios != 0]
+        strongest = np.lexsort((keys, -np.abs(ratios)))[:entries]
+        order = strongest[np.argsort(keys[strongest])]
+        keys, ratios = keys[order], ratios[order]
     model = Model(keys.astype(np.uint64), ratios.astype(float), (0.0, 0.0, 0.0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

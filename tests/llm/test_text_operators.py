@@ -198,6 +198,22 @@ def test_toxicity_score_equals_its_definition(spark):
     assert scores[0] > 0.9 and scores[1] > 0.9 and scores[2] < 0.5 and scores[3] == scores[4] == scores[5] < 0.5
 
 
+def test_toxicity_learns_both_sides_at_an_even_balance(spark):
+    docs = spark.createDataFrame([(i, f"common words here {'awful' if i % 2 else 'fine'} number{i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert (model.ratios > 0).any() and (model.ratios < 0).any()
+    marked, plain, unseen = model.score(pa.array(["awful", "fine", "unseen"]))
+    assert marked > 0.9 and plain < 0.1 and marked > unseen > plain
+
+
+def test_toxicity_evidence_counts_every_expression():
+    # an expression of ordinary texts, one of toxic texts, one as common in both, a rarer one in a few more toxic texts
+    t, o = np.array([0.0, 60.0, 11.0, 3.0]), np.array([200.0, 0.0, 89.0, 2.0])
+    found = toxicity.evidence_of(t, o, (110.0, 890.0), (0.7, 0.5))
+    assert found[0] < -0.5 and found[1] > 1 and abs(found[2]) < 1e-12 and found[3] > 0
+
+
 def test_toxicity_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, none)
