@@ -2,8 +2,10 @@
 
 A document is described by two histograms: its code points by character class
 and its words by common word (everything else in one bucket).  A language
-reference is the mean of the normalised histograms of all documents of that
-language that pass the base rules.  A document is judged by the
+reference is the mean of the normalised histograms of all distinct texts of
+that language that pass the base rules, so copies have no weight; the mean over
+the distinct texts of all languages takes part like a few texts more, so one
+odd text under a language of its own is no reference.  A document is judged by the
 Jensen-Shannon distance to the nearest reference; texts under a minimum length
 carry too little evidence for a histogram and are left to the base rules.
 
@@ -34,6 +36,8 @@ COMMON_WORDS = {
 }
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
+#: Texts of a language that the mean over all languages stands for.
+PRIOR_TEXTS = 3
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a kept document: a limit for long
 #: texts, and an allowance over the square root of the word count for the noise of short ones.
 MAX_CLASS_DISTANCE = (0.11, 1.0)
@@ -178,21 +182,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def references(measured: DataFrame, lang: str = "lang") -> dict[str, dict[str, list[float]]]:
-    """For each language the mean normalised histograms over all its documents that pass the base rules.
+def references(measured: DataFrame, lang: str = "lang", copy: str = "__copy") -> dict[str, dict[str, list[float]]]:
+    """For each language the mean normalised histograms over all its distinct texts that pass the base rules.
 
-    The result holds one vector for each language and histogram, whatever the
-    number of documents.
+    Rows with the same ``copy`` are one text.  The result holds one vector for
+    each language and histogram, whatever the number of documents.
     """
-    passing = measured.where(~base_failed()).select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), "classes", "common")
+    shapes = (("classes", len(CLASSES)), ("common", len(common_words()) + 1))
+    passing = measured.where(~base_failed()).groupBy(copy).agg(F.first("classes").alias("classes"), F.first("common").alias("common"), F.collect_set(F.coalesce(F.col(lang).cast("string"), F.lit(""))).alias("langs"))
     sums = []
-    for name, size in (("classes", len(CLASSES)), ("common", len(common_words()) + 1)):
+    for name, size in shapes:
         total = F.aggregate(name, F.lit(0), lambda a, x: a + x)
         passing = passing.withColumn(f"n_{name}", total)
         sums += [F.avg(F.col(name)[i] / F.col(f"n_{name}")).alias(f"{name}_{i}") for i in range(size)]
+    # the null language is the mean over all
+    each = passing.withColumn("lang", F.explode(F.concat("langs", F.array(F.lit(None).cast("string")))))
+    rows = {row["lang"]: row for row in each.groupBy("lang").agg(F.count("*").alias("n"), *sums).collect()}
+    overall = rows.pop(None, None)
     out = {}
-    for row in passing.groupBy("lang").agg(F.count("*").alias("n"), *sums).collect():
-        out[row["lang"]] = {name: [row[f"{name}_{i}"] or 0.0 for i in range(size)] for name, size in (("classes", len(CLASSES)), ("common", len(common_words()) + 1))}
+    for key, row in rows.items():
+        mix_in = lambda c, n=row["n"], row=row: (n * (row[c] or 0.0) + PRIOR_TEXTS * (overall[c] or 0.0)) / (n + PRIOR_TEXTS)
+        out[key] = {name: [mix_in(f"{name}_{i}") for i in range(size)] for name, size in shapes}
     return out
 
 
@@ -245,8 +255,9 @@ def quality(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "l
     both the references and the verdicts come from that narrow table.
     """
     columns = list(dict.fromkeys([*keep, lang]))
-    measured = materialise(features(docs, columns, text), "quality")
-    return judge(measured, references(measured, lang))
+    marked = docs.withColumn("__copy", F.xxhash64(F.col(text).cast("string")))
+    measured = materialise(features(marked, [*columns, "__copy"], text), "quality")
+    return judge(measured, references(measured, lang)).drop("__copy")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

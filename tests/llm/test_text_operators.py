@@ -95,6 +95,22 @@ def test_quality_keeps_prose_and_rejects_junk(spark):
     assert sum(bad) <= 0.5 * len(bad)
 
 
+def test_copies_and_lone_languages_are_no_reference(spark):
+    rng = random.Random(5)
+
+    def text(lang=None, n=400):
+        other = lambda: "".join(rng.choice("bcdfghklmnprstaeiou") for _ in range(rng.randint(4, 9)))
+        return " ".join(rng.choice(quality.COMMON_WORDS[lang].split()) if lang and rng.random() < 0.45 else other() for _ in range(n))
+
+    copied, lone = text(), text()
+    rows = [("en", text("en"), 1) for _ in range(60)] + [("es", text("es"), 1) for _ in range(12)]
+    rows += [("es", copied, 0)] * 36 + [("xx", lone, 0), ("en", lone, 0)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string, good int")
+    judged = quality.quality(docs, ["doc_id", "good"]).collect()
+    assert len(judged) == len(rows) and not any(r.base_failed for r in judged)
+    assert all(r.kept == bool(r.good) for r in judged)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
