@@ -21,7 +21,8 @@ square root), through a logistic curve fitted on labelled documents that the
 counts have not seen.
 
 Bounds: at most about ``rows`` labelled documents are sampled (by hash, so the
-same ones each time), and at most ``entries`` expressions make the model.
+same ones each time), and the model holds all of their expressions that are in
+more documents than the discount.
 
 Defined cases: null and empty texts score as texts without evidence; rows
 whose label or identifier is null are not learnt from; repeated label rows
@@ -44,7 +45,6 @@ from tessera.llm.textkit import Block, blocks, bounded_batches, map_batches, mix
 from tessera.storage import materialise
 
 ROWS = 16_000
-ENTRIES = 200_000
 #: Discount, in documents.
 DISCOUNT = 2.5
 #: Widths of the beta prior that the marginal likelihood chooses from.
@@ -183,7 +183,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS, entries: int = ENTRIES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS) -> Model:
     """The model of the labelled documents; ``labels`` (doc_id, label) holds only rows that may be learnt from."""
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
@@ -228,8 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         if len(keys):
             ratios = evidence_of(known["t"].to_numpy(), known["o"].to_numpy(), tuple(documents), tuple(weights))
         keys, ratios = keys[ratios != 0], ratios[ratios != 0]
-        strongest = np.lexsort((keys, -np.abs(ratios)))[:entries]
-        order = strongest[np.argsort(keys[strongest])]
+        order = np.argsort(keys)
         keys, ratios = keys[order], ratios[order]
     model = Model(keys.astype(np.uint64), ratios.astype(float), (0.0, 0.0, 0.0))
 

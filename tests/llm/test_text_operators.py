@@ -230,6 +230,13 @@ def test_toxicity_evidence_counts_every_expression():
     assert found[0] < -0.5 and found[1] > 1 and abs(found[2]) < 1e-12 and found[3] > 0
 
 
+def test_toxicity_keeps_every_expression(spark):
+    long = " ".join(f"{i * 2654435761 % 4294967296:08x}" for i in range(110_000))
+    docs = spark.createDataFrame([(i, long if i < 12 else "other words") for i in range(24)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 12)) for i in range(24)], "doc_id long, toxic int")
+    assert len(toxicity.train(docs, labels).keys) > 219_000
+
+
 def test_toxicity_on_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd, none)
