@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from tessera.kernels import bits as B
 from tessera.kernels.bits import BitWriter
@@ -78,42 +79,54 @@ def digest_of(rows: list[list[int]]) -> int:
     return out
 
 
+def encode(blocks: list[list[list[int]]], every: int = 8, sync: int = FBA, rate_code: int = 0, coeffs: tuple[int, ...] = (), first_timing: int = 0, latency: int = 200, peak: int = 3000) -> bytes:
+    """A stream of one substream that holds the given samples, a block a unit, with a major sync ``every`` so many units."""
+    info = 0x14 if sync == FBA else 0x05
+    out, digest, history = [], 0, []
+    for n, rows in enumerate(blocks):
+        major = n % every == 0
+        timing = (first_timing + n * len(rows)) & 0xFFFF
+        restart = None
+        if major:
+            restart = restart_header(len(rows[0]), (timing + latency) & 0xFFFF, folded(digest))
+            history, digest = [[0] * 8 for _ in rows[0]], 0
+        digest ^= digest_of(rows)
+        body = segment(rows, restart, list(coeffs), history)
+        out.append(unit(timing, major_sync(sync, rate_code, 1, info, peak) if major else b"", [body], major))
+    return b"".join(out)
+
+
 def stream(units: int = 32, channels: int = 2, every: int = 8, seed: int = 1, sync: int = FBA, rate_code: int = 0, coeffs: tuple[int, ...] = (), first_timing: int = 0, latency: int = 200, peak: int = 3000) -> tuple[bytes, list[list[int]]]:
-    """A stream of one substream with a major sync ``every`` so many units, and its samples."""
+    """A stream of random samples, and these."""
     rng = random.Random(seed)
     frequency = 48_000 << rate_code if rate_code < 8 else 44_100 << (rate_code - 8)
     size = frequency // 44_100 * 40
-    info = 0x14 if sync == FBA else 0x05
     level = [0] * channels
-    out, pcm, digest = [], [], 0
-    history = [[0] * 8 for _ in range(channels)]
-    for n in range(units):
+    blocks = []
+    for _ in range(units):
         rows = []
         for _ in range(size):
             level = [max(-60_000, min(60_000, v + rng.randint(-500, 500))) for v in level]
             rows.append(list(level))
-        pcm.extend(rows)
-        major = n % every == 0
-        timing = (first_timing + n * size) & 0xFFFF
-        restart = None
-        if major:
-            restart = restart_header(channels, (timing + latency) & 0xFFFF, folded(digest))
-            history, digest = [[0] * 8 for _ in range(channels)], 0
-        digest ^= digest_of(rows)
-        body = segment(rows, restart, list(coeffs), history)
-        out.append(unit(timing, major_sync(sync, rate_code, 1, info, peak) if major else b"", [body], major))
-    return b"".join(out), pcm
+        blocks.append(rows)
+    return encode(blocks, every, sync, rate_code, coeffs, first_timing, latency, peak), [row for rows in blocks for row in rows]
+
 
+def object_payload(dynamic: int, seed: int, ramp: int = 1, pick: Callable[[int, int, int], int] | None = None) -> bytes:
+    """Object metadata of one low-frequency bed channel and some moving objects, in one block.
 
-def object_payload(dynamic: int, seed: int, ramp: int = 1) -> bytes:
-    """Object metadata of one low-frequency bed channel and some moving objects, in one block."""
+    ``pick`` gives the value, below a limit, of an object's field by number:
+    gain, priority, x, y, sign of z, z, zones, elevation, size, snap; random
+    without it.
+    """
     rng = random.Random(seed)
+    pick = pick or (lambda index, field, limit: rng.randrange(limit))
     body = BitWriter().put(0, 1).put(0, 2).put(0, 3).put(0, 6).put(ramp, 2).put(1, 1)
     for index in range(dynamic + 1):
-        body.put(0, 1).put(2, 2).put(rng.randrange(64), 6).put(0, 1).put(rng.randrange(32), 5)
+        body.put(0, 1).put(2, 2).put(pick(index, 0, 64), 6).put(0, 1).put(pick(index, 1, 32), 5)
         if index:
-            body.put(rng.randrange(63), 6).put(rng.randrange(63), 6).put(rng.randrange(2), 1).put(rng.randrange(16), 4).put(0, 1)
-            body.put(rng.randrange(6), 3).put(rng.randrange(2), 1).put(1, 2).put(rng.randrange(32), 5).put(0, 1).put(rng.randrange(2), 1)
+            body.put(pick(index, 2, 63), 6).put(pick(index, 3, 63), 6).put(pick(index, 4, 2), 1).put(pick(index, 5, 16), 4).put(0, 1)
+            body.put(pick(index, 6, 6), 3).put(pick(index, 7, 2), 1).put(1, 2).put(pick(index, 8, 32), 5).put(0, 1).put(pick(index, 9, 2), 1)
         body.put(0, 1)
     body.align(8)
     size = body.size // 8 - 1

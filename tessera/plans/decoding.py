@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tessera.functions import streams as S
 from tessera.kernels import huffman
 from tessera.plans.bitlevel import _labels_sql
-from tessera.plans.common import table
+from tessera.plans.common import table, units
 
 
 def folded(digest):
@@ -153,68 +153,137 @@ def q40_huffman_decode(spark, sf_dir):
     return decoded.select("p_partkey", "code", F.size("values").alias("symbols"), F.aggregate("values", F.lit(0), lambda a, x: a + x).alias("total"))
 
 
-def _nation_streams(spark, sf_dir):
-    """A synthetic stream for each nation; its key is the seed."""
+Q40 = """WITH RECURSIVE c(code, base, width) AS (VALUES (1, 4, 2), (2, 2, 1), (3, 1, 0)),
+b AS (SELECT p_partkey, CAST(CAST(encode(p_name) AS BIT) AS VARCHAR) AS bits FROM part),
+r(p_partkey, code, base, width, bits, place, symbols, total) AS (
+  SELECT p_partkey, code, base, width, bits, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM b, c UNION ALL
+  SELECT p_partkey, code, base, width, bits, place + size, symbols + 1, total + value FROM (
+    SELECT *, CASE WHEN w[1] = '1' THEN 1 + width ELSE 3 + zeros END AS size,
+      CASE WHEN w[1] = '1' THEN (CASE width WHEN 2 THEN 2 * CAST(w[2] AS BIGINT) + CAST(w[3] AS BIGINT) WHEN 1 THEN CAST(w[2] AS BIGINT) ELSE 0 END) WHEN w[2] = '1' THEN base + zeros ELSE -1 - zeros END AS value
+    FROM (SELECT *, least(6, length(regexp_extract(w[3:9], '^0*'))) AS zeros FROM (SELECT *, rpad(substr(bits, CAST(place + 1 AS INTEGER), 9), 9, '0') AS w FROM r WHERE place < length(bits))))
+  WHERE place + size <= length(bits))
+SELECT p_partkey, code, CAST(max(symbols) AS INTEGER) AS symbols, CAST(arg_max(total, symbols) AS INTEGER) AS total FROM r GROUP BY p_partkey, code"""
+
+#: Units between major syncs, and bytes of a unit of 40 samples in two channels with and without one.
+EVERY, MAJOR_BYTES, MINOR_BYTES = 8, 298, 250
+
+
+def _event_streams(spark, sf_dir):
+    """A stream for each user: an event is a unit, whose samples rise on the left and fall on the right from its value on."""
     from tessera.kernels import synth
 
-    def run(batches):
-        for frame in batches:
-            data = [synth.stream(units=16, channels=2, every=8, seed=int(k) + 1, coeffs=(200, -50) if k % 2 else ())[0] for k in frame["n_nationkey"]]
-            yield frame.__class__({"stream_id": frame["n_name"], "data": data})
+    def run(frame):
+        levels = [int(v) for v in frame.sort_values("au")["level"]]
+        data = synth.encode([[[v + i, 2 * i - v] for i in range(40)] for v in levels], every=EVERY)
+        return frame.__class__({"stream_id": [str(frame["stream_id"].iloc[0])], "data": [data]})
+
+    events = units(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
+    levels = events.select("stream_id", "au", (F.floor(F.col("value") * 10) % 60_000).cast("long").alias("level"))
+    return levels.groupBy("stream_id").applyInPandas(run, "stream_id string, data binary")
 
-    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(run, "stream_id string, data binary")
+
+_LEVELS = """levels AS (SELECT CAST(user_id AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS au, CAST(floor(value * 10) AS BIGINT) % 60000 AS level FROM events)"""
 
 
 def q41_frame_stream(spark, sf_dir):
-    """The nations' streams, arriving in chunks of 300 bytes, framed by a streaming query."""
+    """The users' streams, arriving in chunks of 300 bytes, framed by a streaming query."""
     from tessera.storage import fresh_path
     from tessera.streaming.framing import frames_stream
 
-    chunks = _nation_streams(spark, sf_dir).select("stream_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / 300).cast("int")), lambda i: F.substring(F.col("data"), i * 300 + 1, F.lit(300)))).alias("seq", "data"))
+    chunks = _event_streams(spark, sf_dir).select("stream_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / 300).cast("int")), lambda i: F.substring(F.col("data"), i * 300 + 1, F.lit(300)))).alias("seq", "data"))
     source, sink, state = (fresh_path(spark, name) for name in ("chunks", "frames", "state"))
     chunks.write.parquet(source)
     arriving = spark.readStream.schema("stream_id string, seq int, data binary").parquet(source)
     running = frames_stream(arriving).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.read.schema("stream_id string, au long, au_offset long, segment long, is_major boolean, data binary").parquet(sink).select("stream_id", "au", "au_offset", "segment", "is_major", F.sha2("data", 256).alias("digest"))
+    found = spark.read.schema("stream_id string, au long, au_offset long, segment long, is_major boolean, data binary").parquet(sink)
+    return found.select("stream_id", "au", "au_offset", "segment", "is_major", F.octet_length("data").cast("long").alias("bytes"))
+
+
+Q41 = f"""WITH {_LEVELS}
+SELECT stream_id, au, au * {MINOR_BYTES} + (au + {EVERY - 1}) // {EVERY} * {MAJOR_BYTES - MINOR_BYTES} AS au_offset, au // {EVERY} + 1 AS segment, au % {EVERY} = 0 AS is_major,
+CASE WHEN au % {EVERY} = 0 THEN {MAJOR_BYTES} ELSE {MINOR_BYTES} END AS bytes FROM levels"""
+
+#: Objects that move, beside the bed channel.
+MOVING = 4
 
 
 def q42_object_metadata(spark, sf_dir):
-    """Positions and gains of synthetic object payloads, one for each nation and step."""
+    """Positions and gains of the objects of a payload made from each event."""
     from tessera.kernels import synth
     from tessera.operators import objects
 
     def run(batches):
         for frame in batches:
-            rows = [(name, int(n), synth.object_payload(4, int(key) * 10 + n)) for key, name in zip(frame["n_nationkey"], frame["n_name"], strict=True) for n in range(3)]
-            yield frame.__class__(rows, columns=["stream_id", "au", "data"])
+            data = [synth.object_payload(MOVING, 0, pick=lambda index, field, limit, k=int(k): (k * (7 + field) + index * 13 + field * 5) % limit) for k in frame["au"]]
+            yield frame.assign(data=data)
 
-    payloads = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(run, "stream_id string, au long, data binary")
+    payloads = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("au")).mapInPandas(run, "stream_id string, au long, data binary")
     found = objects.objects(payloads)
     scaled = F.transform("pos", lambda x: F.round(x * 10_000).cast("long"))
-    return found.select("stream_id", "au", "object_idx", "active", "gain", F.col("priority"), *[scaled[i].alias(axis) for i, axis in enumerate("xyz")])
+    return found.select("stream_id", "au", "object_idx", "active", "in_bed", "gain", F.round(F.col("priority") * 32).cast("int").alias("priority"), "zones", "elevation", "snap", *[scaled[i].alias(axis) for i, axis in enumerate("xyz")])
+
+
+def _q42() -> str:
+    pick = lambda field, limit: f"(au * {7 + field} + i * 13 + {5 * field}) % {limit}"
+    moving = lambda value, still: f"CASE WHEN i = 0 THEN {still} ELSE {value} END"
+    gain, z = pick(0, 64), f"CAST(round((CASE WHEN {pick(4, 2)} = 1 THEN 1 ELSE -1 END) * ({pick(5, 16)}) / 15.0 * 10000) AS BIGINT)"
+    return f"""SELECT CAST(user_id AS VARCHAR) AS stream_id, au, CAST(i AS INTEGER) AS object_idx, true AS active, i = 0 AS in_bed, CAST(CASE WHEN {gain} <= 14 THEN 15 - {gain} ELSE 14 - {gain} END AS INTEGER) AS gain, CAST({pick(1, 32)} AS INTEGER) AS priority,
+CAST({moving(pick(6, 6), 0)} AS INTEGER) AS zones, {moving(pick(7, 2) + ' = 1', 'true')} AS elevation, {moving(pick(9, 2) + ' = 1', 'false')} AS snap,
+{moving(f'CAST(round((({pick(2, 63)}) / 62.0 - 0.5) * 20000) AS BIGINT)', 0)} AS x, {moving(f'CAST(round((0.5 - ({pick(3, 63)}) / 62.0) * 20000) AS BIGINT)', 0)} AS y, {moving(z, 0)} AS z
+FROM (SELECT user_id, event_id AS au, unnest(range({MOVING + 1})) AS i FROM events)"""
 
 
 def q43_verify_streams(spark, sf_dir):
-    """The whole conformance run over the nations' streams, every fifth damaged."""
+    """The whole conformance run over the users' streams; of every fifth the last byte, a checksum, is damaged."""
     from tessera import api
 
-    streams = _nation_streams(spark, sf_dir)
-    damaged = F.concat(F.substring("data", 1, 1500), F.lit(b"\x5a"), F.substring(F.col("data"), 1502, 1 << 30))
-    run = api.verify(streams.withColumn("data", F.when(F.length("stream_id") % 5 == 0, damaged).otherwise(F.col("data"))))
-    return run.summary.select("stream_id", "syntax", "frequency", "access_units", "channels", "duration", "worst", "verdict", "exit_code")
+    streams = _event_streams(spark, sf_dir)
+    size = F.octet_length("data")
+    last = F.conv(F.hex(F.substring(F.col("data"), size, F.lit(1))), 16, 10).cast("int")
+    damaged = F.concat(F.substring(F.col("data"), F.lit(1), size - 1), F.unhex(F.lpad(F.hex(last.bitwiseXOR(F.lit(255))), 2, "0")))
+    run = api.verify(streams.withColumn("data", F.when(F.col("stream_id").cast("long") % 5 == 0, damaged).otherwise(F.col("data"))))
+    return run.summary.select("stream_id", "syntax", "frequency", "substreams", "access_units", "channels", "duration", "bytes", "worst", "verdict", "exit_code")
+
+
+#: The encoder writes no serial output times; the rule on them speaks with the sixth restart.
+Q43 = f"""WITH {_LEVELS},
+n AS (SELECT stream_id, count(*) AS n, CAST(stream_id AS BIGINT) % 5 = 0 AS bad FROM levels GROUP BY stream_id),
+t AS (SELECT *, n * 40 * 1000 // 48000 AS ms FROM n)
+SELECT stream_id, 'FBA' AS syntax, 48000 AS frequency, 1 AS substreams, n AS access_units, 2 AS channels,
+printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS duration, n * {MINOR_BYTES} + (n + {EVERY - 1}) // {EVERY} * {MAJOR_BYTES - MINOR_BYTES} AS bytes,
+CASE WHEN bad THEN 'fatal' WHEN n > {5 * EVERY} THEN 'warning' END AS worst, CASE WHEN bad THEN 'unparseable' ELSE 'conformant' END AS verdict, CASE WHEN bad THEN 4 ELSE 0 END AS exit_code FROM t"""
 
 
 def q44_decode_streams(spark, sf_dir):
-    """Frames, samples and a digest of the PCM of the nations' streams, with the check bytes of all intervals."""
+    """The samples of the users' streams, decoded and added up unit by unit, with the number of intervals whose check byte agrees."""
+    import numpy as np
+    import pyarrow as pa
+
     from tessera import api
-    from tessera.operators import conformance, frames, units
+    from tessera.operators import conformance, frames
+    from tessera.operators import units as parsing
 
-    streams = _nation_streams(spark, sf_dir)
+    streams = _event_streams(spark, sf_dir)
     samples = api.decode(streams, [0])
-    checks = conformance.lossless_checks(samples, units.units(frames.frames(streams)))
-    good = checks.groupBy("stream_id").agg(F.every(F.col("calculated") == F.col("stated")).alias("lossless"))
-    return api.decode_summary(samples).join(good, "stream_id")
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for data in batch.column("pcm").to_pylist():
+                three = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int64)
+                value = three @ np.array([1, 256, 65536])
+                sums.append((value - (value >> 23 << 24)).reshape(-1, 2).sum(axis=0).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("stream_id", "au", "samples", "channels")] + [pa.array([x[k] for x in sums], pa.int64()) for k in (0, 1)], ["stream_id", "au", "samples", "channels", "left", "right"])
+
+    added = samples.select("stream_id", "au", "samples", "channels", "pcm").mapInArrow(run, "stream_id string, au long, samples int, channels int, left long, right long")
+    checks = conformance.lossless_checks(samples, parsing.units(frames.frames(streams)))
+    good = checks.groupBy("stream_id").agg(F.count_if(F.col("calculated") == F.col("stated")).alias("lossless"))
+    return added.join(good, "stream_id", "left").withColumn("lossless", F.coalesce("lossless", F.lit(0).cast("long")))
+
+
+Q44 = f"""WITH {_LEVELS}
+SELECT stream_id, au, 40 AS samples, 2 AS channels, 40 * level + 780 AS "left", 1560 - 40 * level AS "right", (count(*) OVER (PARTITION BY stream_id) - 1) // {EVERY} AS lossless FROM levels"""
 
 
 QUERIES = {
@@ -223,9 +292,9 @@ QUERIES = {
     "q28_matrix_remap": (q28_matrix_remap, _q28()),
     "q29_fir_predictor": (q29_fir_predictor, Q29),
     "q30_iir_predictor": (q30_iir_predictor, Q30),
-    "q40_huffman_decode": (q40_huffman_decode, None),
-    "q41_frame_stream": (q41_frame_stream, None),
-    "q42_object_metadata": (q42_object_metadata, None),
-    "q43_verify_streams": (q43_verify_streams, None),
-    "q44_decode_streams": (q44_decode_streams, None),
+    "q40_huffman_decode": (q40_huffman_decode, Q40),
+    "q41_frame_stream": (q41_frame_stream, Q41),
+    "q42_object_metadata": (q42_object_metadata, _q42()),
+    "q43_verify_streams": (q43_verify_streams, Q43),
+    "q44_decode_streams": (q44_decode_streams, Q44),
 }
