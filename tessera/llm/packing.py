@@ -7,8 +7,10 @@ injects whole well-filled bins of one parent into the other, dissolves the
 bins that hold the same pieces twice, and puts the displaced pieces back by
 best fit; mutation dissolves the emptiest bins and some others.  Several
 islands evolve each shard in separate tasks from different starts; between
-epochs each island's elite migrates to the next.  A shard stops when it reaches
-the lower bound of its total length.
+epochs each island's elite migrates to the next.  The first solution of a shard
+is best fit by falling length; where that already meets the lower bound of the
+total length it is proven best, and the shard takes no part in the evolution
+(so it is with many short documents).
 
 All state between epochs is in tables of the shared folder, one row an island
 (the lengths and a few groupings of one shard, so of bounded size).  Random
@@ -29,104 +31,230 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.textkit import bounded_batches, kept, map_batches
+from tessera.llm.textkit import Block, blocks, bounded_batches, kept, map_batches, mix
 from tessera.storage import materialise
 
 CAPACITY = 2048
 SHARD = 16_384
-ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2, 2, 6, 4, 1
+ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2, 2, 20, 6, 1
 #: Times that badly filled sequences of all shards are dealt anew, at most.
 ROUNDS = 4
 #: A bin counts as well filled from this share of the capacity.
 WELL_FILLED = 0.995
-#: Words after which a task starts a new generation of those whose ids it keeps; it keeps two.
-CACHED = 300_000
-#: Words encoded as one text.
+#: Units whose ids a task keeps at most; when full, those seen in one block only go.
+CACHED = 1_000_000
+#: Units encoded as one text.
 TOGETHER = 200
-#: Marks that the tokenizer takes by themselves after a letter.
-MARKS = ".,;:!?"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
+_U = np.uint64
+SPACE, LETTER, MARK, DIGIT, OTHER = range(5)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, OTHER, np.uint8)
+    kinds[0x21:0x7F] = MARK
+    for low, high in (("a", "z"), ("A", "Z")):
+        kinds[ord(low) : ord(high) + 1] = LETTER
+    kinds[ord("0") : ord("9") + 1] = DIGIT
+    kinds[ord("'")] = OTHER
+    kinds[[0x20, 9, 10, 11, 12, 13]] = SPACE
+    kinds[0xC3] = LETTER  # with the byte behind it, looked at below
+    return kinds
+
+
+_KIND = _kinds()
+_OTHER_BYTE = mix(np.arange(1001, 1257, dtype=np.uint64) * _U(0x9FB21C651E98DF25))
+
+
+def units(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and whole-word flags of a block's units, the n+1 limits, and the bytes that name them.
+
+    A unit is what the tokenizer takes by itself: a run of letters, a run of
+    marks, a digit; lower-cased.  Words with anything but ASCII and Latin-1
+    letters, or with an apostrophe, are one unit each, as written.
+    """
+    data = block.data
+    kind = _KIND[data]
+    low = block.lowered().data
+    if len(data) and data.max() >= 0x80:
+        before = np.concatenate([[0], data[:-1]])
+        inner = (data & 0xC0) == 0x80
+        latin = inner & (before == 0xC3) & (data != 0x97) & (data != 0xB7)
+        kind[inner] = OTHER
+        kind[latin] = LETTER
+        low[latin & (data < 0x9F)] += 0x20
+    edge = np.zeros(len(data) + 1, bool)
+    edge[block.bounds] = True
+    word = kind != SPACE
+    previous = np.concatenate([np.zeros(1, np.uint8), kind[:-1]]) if len(kind) else kind
+    starts = word & ((kind != previous) | (kind == DIGIT) | edge[:-1])
+    whole = np.zeros(len(data), bool)
+    if (kind == OTHER).any():
+        first, last, _ = block.spans()
+        running = np.concatenate([[0], np.cumsum(kind == OTHER)])
+        odd = running[last] > running[first]
+        first, last = first[odd], last[odd]
+        length = last - first
+        inside = np.arange(length.sum()) + np.repeat(first - (np.cumsum(length) - length), length)
+        starts[inside] = False
+        starts[first] = whole[first] = True
+        low[inside] = data[inside]
+    ends = word & np.concatenate([starts[1:] | ~word[1:], [True]]) if len(data) else word
+    if len(data):
+        ends |= word & edge[1:]
+    starts = np.flatnonzero(starts)
+    return starts, np.flatnonzero(ends) + 1, whole[starts], np.searchsorted(starts, block.bounds), low
+
+
 class WordEncoder:
-    """Ids of whole texts, encoding each distinct word once.
+    """Ids of whole texts, encoding each distinct unit (see :func:`units`) once.
 
-    The tokenizer works inside white space, lower-cases, and takes a mark after
-    a letter by itself, so a text's ids are its words' ids in order.  Texts in
-    which that can't be seen from the words (its special strings, separators
-    that Python and the tokenizer see differently) are encoded whole.
+    The ids of a text are those of its units in order.  Units are known by a
+    96-bit hash in an open table; their ids lie in one flat array.  Texts that
+    hold the tokenizer's special strings are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = {mark: self._ids(mark) for mark in MARKS}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.is_special = np.zeros(len(self.ends_word), bool)
         self.is_special[self.tokenizer.token_to_id(self.special[0])] = True
-        # two generations: what is still in use moves from the old one to the young one
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word_ids(self, words: list[str], separator: str, is_end: np.ndarray, inside: int) -> list[bytes]:
-        """Ids of many words, encoded some hundred to a text; ``inside`` is 1 if the id that ends a word belongs to it, else 0."""
-        out: list[bytes] = []
-        parts = [words[low : low + TOGETHER] for low in range(0, len(words), TOGETHER)]
-        for encoded in self.tokenizer.encode_batch_fast([separator.join(part) + separator for part in parts], add_special_tokens=False):
-            ids = np.array(encoded.ids, "<u4")
-            ends = np.flatnonzero(is_end[ids])
-            data, starts = ids.tobytes(), [0, *((ends + 1) * 4).tolist()]
-            out += [data[a:b] for a, b in zip(starts[:-1], ((ends + inside) * 4).tolist(), strict=True)]
+        self.side = 1 << max(4, (2 * CACHED).bit_length())
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot = np.full(self.side, -1, np.int32)
+        self.count, self.filled = 0, 0
+        self.key, self.check = np.empty(1024, np.uint64), np.empty(1024, np.uint32)
+        self.start, self.length, self.often = np.empty(1024, np.int64), np.empty(1024, np.int32), np.zeros(1024, bool)
+        self.ids = np.empty(4096, np.uint32)
+
+    def _find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The entry of each unit, -1 where there is none."""
+        out = np.full(len(key), -1, np.int64)
+        at = (key & _U(self.side - 1)).astype(np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            entry = self.slot[at[left]]
+            left, entry = left[entry >= 0], entry[entry >= 0]
+            same = (self.key[entry] == key[left]) & (self.check[entry] == check[left])
+            out[left[same]] = entry[same]
+            left = left[~same]
+            at[left] = (at[left] + 1) & (self.side - 1)
+        return out
+
+    def _place(self, entries: np.ndarray) -> None:
+        at = (self.key[entries] & _U(self.side - 1)).astype(np.int64)
+        while len(entries):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = entries[free]
+            lost = self.slot[at] != entries
+            entries, at = entries[lost], (at[lost] + 1) & (self.side - 1)
+
+    def _add(self, key: np.ndarray, check: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """New entries; the caller has seen that there is room."""
+        entries = np.arange(self.count, self.count + len(key))
+        self.count += len(key)
+        for name in ("key", "check", "start", "length", "often"):
+            old = getattr(self, name)
+            if len(old) < self.count:
+                setattr(self, name, np.concatenate([old, np.zeros(max(self.count, 2 * len(old)) - len(old), old.dtype)]))
+        if len(self.ids) < self.filled + len(ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(ids), len(self.ids)), np.uint32)])
+        self.key[entries], self.check[entries], self.length[entries], self.often[entries] = key, check, lengths, False
+        self.start[entries] = self.filled + np.cumsum(lengths) - lengths
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        self._place(entries)
+        return entries
+
+    def _make_room(self) -> None:
+        """Leaves the entries that more than one block asked for, if they are not too many."""
+        keep = np.flatnonzero(self.often[: self.count])
+        key, check, lengths = self.key[keep], self.check[keep], self.length[keep]
+        ids = self.ids[_ranges(self.start[keep], lengths)]
+        self._clear()
+        if len(keep) <= CACHED // 2:
+            self._add(key, check, lengths, ids)
+
+    def _encoded(self, texts: list[str], separator: str, is_end: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of many units, encoded some hundred to a text; ``inside`` is 1 if the id that ends a unit belongs to it, else 0."""
+        lengths, found = [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+        parts = [separator.join(texts[low : low + TOGETHER]) + separator for low in range(0, len(texts), TOGETHER)]
+        for encoded in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False):
+            ids = np.array(encoded.ids, np.uint32)
+            end = is_end[ids]
+            lengths.append(np.diff(np.concatenate([[-1], np.flatnonzero(end)])) + inside - 1)
+            found.append(ids if inside else ids[~end])
+        return np.concatenate(lengths), np.concatenate(found)
+
+    def _learn(self, key: np.ndarray, check: np.ndarray, whole: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Entries of new units."""
+        out = np.empty(len(key), np.int64)
+        for flag, separator, is_end, inside in ((False, " ", self.ends_word, 1), (True, self.special[0], self.is_special, 0)):
+            these = np.flatnonzero(whole == flag)
+            lengths, ids = self._encoded([texts[i] for i in these.tolist()], separator, is_end, inside)
+            out[these] = self._add(key[these], check[these], lengths, ids)
+        return out
+
+    def _block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's texts and their n+1 limits."""
+        starts, ends, whole, limits, low = units(block)
+        named = Block(block.first, low, block.bounds)
+        key = named.span_hashes(starts, ends) + whole.astype(np.uint64)
+        check = (named.span_hashes(starts, ends, _OTHER_BYTE) >> _U(32)).astype(np.uint32)
+        entry = self._find(key, check)
+        new = np.flatnonzero(entry < 0)
+        _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+        if self.count + len(first) > CACHED:
+            self._make_room()
+            entry = self._find(key, check)
+            new = np.flatnonzero(entry < 0)
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            if 2 * (self.count + len(first)) > self.side:  # a text of very many distinct units
+                self.side = 1 << (4 * (self.count + len(first))).bit_length()
+                self.slot = np.full(self.side, -1, np.int32)
+                self._place(np.arange(self.count))
+        self.often[entry[entry >= 0]] = True
+        if len(new):
+            at = new[first]
+            body = low.tobytes()
+            texts = [body[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            entry[new] = self._learn(key[at], check[at], whole[at], texts)[back]
+        lengths = self.length[entry].astype(np.int64)
+        return self.ids[_ranges(self.start[entry], lengths)], np.concatenate([[0], np.cumsum(lengths)])[limits]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (null: empty) as unsigned 32-bit numbers."""
+        texts = texts.fill_null("")
+        odd = pc.match_substring(texts, self.special[0])
+        for special in self.special[1:]:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        out: list[np.ndarray] = []
+        for block in blocks(pc.if_else(odd, "", texts)):
+            ids, limits = self._block(block)
+            out += [ids[a:b] for a, b in zip(limits[:-1].tolist(), limits[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
         return out
 
-    def _learn(self, words: set[str], latin: bool) -> None:
-        """Puts all ``words`` into the young generation; ``latin``: they hold Latin-1 characters only, in lower case."""
-        for word in words & self.old.keys():
-            self.young[word] = self.old[word]
-        words = words.difference(self.young)
-        marks = self.marks
-        cores = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in marks and w[-2] < "\u0100" and w[-2].isalpha()}
-        new = words.difference(cores).union(cores.values()).difference(self.young)
-        # letters alone end with the one id that ends a word; others are told apart by a special string
-        plain = [w for w in new if w.isalpha()] if latin else []
-        self.young.update(zip(plain, self._word_ids(plain, " ", self.ends_word, 1), strict=True))
-        other = list(new.difference(plain))
-        self.young.update(zip(other, self._word_ids(other, self.special[0], self.is_special, 0), strict=True))
-        for word, core in cores.items():
-            self.young[word] = self.young[core] + marks[word[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split: list[list[str] | None] = []
-        wanted: dict[bool, set[str]] = {True: set(), False: set()}
-        for text in texts:
-            if any(s in text for s in self.special) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                split.append(None)
-                continue
-            try:  # in Latin-1, lower case does not depend on neighbours
-                text.encode("latin-1")
-                words, latin = text.lower().split(), True
-            except UnicodeEncodeError:
-                words, latin = text.split(), False
-            wanted[latin].update(words)
-            split.append(words)
-        if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        for latin, words in wanted.items():
-            self._learn(words.difference(self.young), latin)
-        return [self._ids(text) if words is None else b"".join(map(self.young.__getitem__, words)) for text, words in zip(texts, split, strict=True)]
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all ranges, one after the other."""
+    return np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,8 +266,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, d
         encoder = kept(("words", path), lambda: WordEncoder(path))
         for batch in batches:
             rows = []
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids += b"\0\0\0\0"
+            for key, found in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
+                ids = found.astype("<u4").tobytes() + b"\0\0\0\0"
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((key, number, at // 4, len(part) // 4, zlib.crc32(part)))
@@ -229,8 +357,8 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed:
     rng = np.random.default_rng(seed)
     bound = math.ceil(sizes.sum() / capacity)
     rank = lambda p: fitness(p, sizes, capacity)
-    while len(population) < POPULATION:
-        spread = 0 if not population and seed[-2:] == (0, 0) else capacity // 16
+    while len(population) < (POPULATION if generations else 1):
+        spread = 0 if not population else capacity // 16
         order = np.argsort(-(sizes + rng.integers(0, spread + 1, len(sizes))), kind="stable")
         bins: np.ndarray = np.full(len(sizes), -1, np.int32)
         best_fit(order, sizes, bins, [], capacity)
@@ -250,13 +378,15 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed:
     return population
 
 
-def _islands(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
+def _islands(state: DataFrame, capacity: int, epoch: int, generations: int = GENERATIONS) -> DataFrame:
+    """Each island's population after some generations; after none, the best fit of the shard alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for shard, island, lengths, groupings in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sizes = np.array(lengths, np.int64)
-                found = evolve(sizes, [np.frombuffer(g, np.int32).copy() for g in groupings], capacity, (shard, epoch, island))
+                found = evolve(sizes, [np.frombuffer(g, np.int32).copy() for g in groupings], capacity, (shard, epoch, island), generations)
                 out.append((shard, island, lengths, [f.astype(np.int32).tobytes() for f in found], fitness(found[0], sizes, capacity)[0]))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.int32())
@@ -271,14 +401,20 @@ def _packed(small: DataFrame, level: int, shards: int, capacity: int, islands: i
     dealt = small.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(level)), F.lit(shards)))
     rows = F.array_sort(F.collect_list(F.struct((-F.col("length")).alias("minus"), "doc_id", "piece", "start", "ids_crc32")))
     grouped = materialise(dealt.repartition(shards, "shard").groupBy("shard").agg(rows.alias("rows")), "shards")
-    start = grouped.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.transform("rows", lambda r: (-r["minus"]).cast("int")).alias("lengths"))
-    state = start.withColumn("groupings", F.expr("cast(array() as array<binary>)"))
-    for epoch in range(epochs):
-        state = materialise(_islands(state.repartition(shards * islands, "shard", "island"), capacity, epoch), "islands")
+    start = grouped.select("shard", F.lit(0).alias("island"), F.transform("rows", lambda r: (-r["minus"]).cast("int")).alias("lengths"), F.expr("cast(array() as array<binary>)").alias("groupings"))
+    first = materialise(_islands(start, capacity, 0, 0), "islands")
+    bound = F.ceil(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x) / capacity)
+    best = first.select("shard", "bins", "island", F.get("groupings", F.lit(0)).alias("grouping"))
+    state = first.where(F.col("bins") > bound).withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    hard = state.count()
+    for epoch in range(epochs if hard else 0):
+        state = materialise(_islands(state.repartition(hard, "shard", "island"), capacity, epoch), "islands")
         if epoch < epochs - 1:  # the elite of each island joins the next one's population
             guests = state.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.slice("groupings", 1, ELITE).alias("guests"))
             state = state.join(guests, ["shard", "island"]).withColumn("groupings", F.concat("guests", "groupings"))
-    best = state.groupBy("shard").agg(F.min_by(F.get("groupings", F.lit(0)), F.struct("bins", "island")).alias("grouping"))
+    if hard:
+        best = best.unionAll(state.select("shard", "bins", "island", F.get("groupings", F.lit(0))))
+    best = best.groupBy("shard").agg(F.min_by("grouping", F.struct("bins", "island")).alias("grouping"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -128,11 +128,11 @@ class Block:
         ends = np.flatnonzero(~space & (after | edge[1:])) + 1
         return starts, ends, np.searchsorted(starts, self.bounds)
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each byte span, by differences of one running polynomial."""
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+        """A 64-bit hash of each byte span, by differences of one running polynomial in the bytes' ``values``."""
         up, down = _power_tables(len(self.data) + 1)
         running = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=running[1:])
+        np.cumsum(values[self.data] * up[: len(self.data)], out=running[1:])
         return mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xA24BAED4963EE407))
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
