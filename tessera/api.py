@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import report
 from tessera.functions import streams as S
 from tessera.kernels import dither
-from tessera.operators import conformance, tally
+from tessera.operators import carry, conformance, facts, tally
 from tessera.operators import frames as framing
 from tessera.operators import units as parsing
 from tessera.storage import materialise
@@ -86,37 +87,51 @@ class Verification:
         return diag.unionAll(hidden).unionAll(last).orderBy("stream_id", "part", "place", "seq")
 
 
-def disc_validity(facts: DataFrame) -> DataFrame:
-    """Adds ``bluray`` and ``hd``: whether a disc may carry the stream."""
-    fbb, high = F.col("syntax") == "FBB", F.col("frequency").isin(176_400, 192_000)
-    sound = F.col("restart_sync_word") == 0x31EA
-    cd = F.col("frequency").isin(44_100, 88_200, 176_400)
-    hd = F.when(fbb, F.col("substream_info").bitwiseAND(F.lit(1)) != 0).when(high, F.col("channels") <= 2).otherwise(True)
-    bluray = F.when(fbb, False).when(high, F.col("channels") <= 6).otherwise(True) & ~cd
-    return facts.withColumns({"bluray": F.coalesce(sound & bluray, F.lit(False)), "hd": F.coalesce(sound & hd, F.lit(False))})
+def verify(streams: DataFrame, fail_on: str = "error", max_per_rule: int = 10, buffers: bool = True, strict: bool = False, tolerant: bool = True) -> Verification:
+    """Every rule over every stream.
 
-
-def verify(streams: DataFrame, fail_on: str = "error", max_per_rule: int = 10, buffers: bool = True) -> Verification:
-    """Every rule over every stream; ``fail_on`` is the least severity that fails one, a limit of 0 shows all."""
-    units = materialise(parsing.units(framing.frames(streams)), "units")
-    found = materialise(conformance.diagnostics(units, buffers), "diagnostics")
+    ``fail_on`` is the least severity that fails a stream; ``strict`` lowers it
+    to a warning, and never ends a unit.  A limit of 0 shows all diagnostics of
+    a rule.  ``tolerant`` takes a break at a major sync for a splice.
+    """
+    framed = framing.frames(streams)
+    units = materialise(parsing.units(framed), "units")
+    shared = conformance.follow(units, buffers, tolerant)
+    found = materialise(conformance.diagnostics(units, buffers, tolerant, shared), "diagnostics")
     counts = tally.tally(found, max_per_rule)
     totals = tally.severity_totals(found)
-    facts = disc_validity(summary(units, framing.stream_sizes(streams)))
-    joined = facts.join(totals, "stream_id", "left")
-    name = S.verdict(F.col("access_units"), F.col("stopped"), F.col("trailing_bytes"), S.severity_rank(F.col("worst")), F.lit(S.SEVERITIES.index(fail_on)), F.col("bluray") | F.col("hd") | (F.col("syntax") == "FBB"))
-    judged = joined.withColumn("verdict", name).withColumn("exit_code", S.exit_code(F.col("verdict")))
+    config = shared.units.where("config is not null").groupBy("stream_id").agg(F.min_by("config", "au").alias("config"))
+    by_rule = counts.groupBy("stream_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "count")))).alias("by_rule"), F.sum("count").alias("diagnostics"))
+    joined = summary(units, framing.stream_sizes(streams)).join(totals, "stream_id", "left").join(by_rule, "stream_id", "left").join(config, "stream_id", "left")
+    parts = [facts.sizes_and_latency(shared.units), report.max_data_rate(shared.units), facts.substream_properties(shared), facts.branch_list(shared)]
+    if buffers:
+        parts.append(facts.buffer_peaks(shared.depths))
+    for part in parts:
+        joined = joined.join(part, "stream_id", "left")
+    joined = facts.disc_validity(joined)
+    joined = joined.withColumn("max_fifo_latency_ms", F.col("max_fifo_latency_samples") * 1000.0 / F.col("frequency")).withColumn("invalid_branches", F.coalesce("invalid_branches", F.lit(0).cast("long")))
+    joined = joined.withColumns({"diagnostics": F.coalesce("diagnostics", F.lit(0).cast("long"))} | {s: F.coalesce(s, F.lit(0).cast("long")) for s in S.SEVERITIES})
+    any_disc = F.coalesce(F.col("dvd_audio") | F.col("hd_dvd_video") | F.col("bluray"), F.lit(False))
+    threshold = min(S.SEVERITIES.index(fail_on), S.SEVERITIES.index("warning")) if strict else S.SEVERITIES.index(fail_on)
+    name = S.verdict(F.col("access_units"), F.col("stopped"), F.col("trailing_bytes"), S.severity_rank(F.col("worst")), F.lit(threshold), any_disc)
+    judged = materialise(joined.withColumn("verdict", name).withColumn("exit_code", S.exit_code(F.col("verdict"))).drop("config"), "summary")
     return Verification(found, counts, tally.limited(found, max_per_rule), judged)
 
 
-def decode(streams: DataFrame, presentations: list[int] | None = None, dither_table: str | None = None) -> DataFrame:
+def decode(streams: DataFrame, presentations: list[int] | None = None, dither_table: str | None = None, keep_repeated: bool = False) -> DataFrame:
     """Samples by stream, presentation and unit; the highest presentation unless some are named.
 
+    Units that a splice repeats are left out unless ``keep_repeated``; samples
+    are written once, so that leaving out costs no second decoding.
     ``dither_table`` is a text file with the 256 amplitudes that streams of the
     second and third restart syntax may ask for; it is read on the driver.
     """
     table = dither.load(dither_table) if dither_table else None
-    return parsing.pcm(framing.frames(streams), [3] if presentations is None else presentations, table)
+    samples = parsing.pcm(framing.frames(streams), [3] if presentations is None else presentations, table)
+    if keep_repeated:
+        return samples
+    samples = materialise(samples, "samples")
+    return samples.join(carry.repeated_units(samples), ["stream_id", "presentation", "au"], "left_anti").select(*samples.columns)
 
 
 def parse_presentations(text: str) -> list[int]:
@@ -135,5 +150,5 @@ def parse_presentations(text: str) -> list[int]:
 
 
 def decode_summary(samples: DataFrame) -> DataFrame:
-    """Frames, samples and channels of each stream and presentation."""
+    """Decoded units, samples and channels of each stream and presentation."""
     return samples.groupBy("stream_id", "presentation").agg(F.count("*").alias("frames"), F.sum("samples").alias("samples"), F.max("channels").alias("channels"))

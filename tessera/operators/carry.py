@@ -54,6 +54,21 @@ def duplicates(units: DataFrame, *same: str) -> DataFrame:
     return units.withColumn("is_duplicate", equal)
 
 
+def repeated_units(samples: DataFrame) -> DataFrame:
+    """(stream_id, presentation, au) of the units that repeat the one before, as a splice may: a restart at the same output time, and samples of the same digest.
+
+    ``samples`` as from units.pcm, whose digests run through an interval.
+    """
+    rows = samples.select("stream_id", "presentation", "segment", "au", "digest", "output_timing")
+    order = Window.partitionBy("stream_id", "presentation").orderBy("au")
+    inside = Window.partitionBy("stream_id", "presentation", "segment").orderBy("au")
+    own = F.col("digest").bitwiseXOR(F.coalesce(F.lag("digest").over(inside), F.lit(0).cast("long")))
+    earlier = F.last("output_timing", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumns({"own": own, "earlier": earlier})
+    same = (F.col("output_timing") == F.col("earlier")) & (F.col("own") == F.lag("own").over(order))
+    return marked.withColumn("same", same).where("same").select("stream_id", "presentation", "au")
+
+
 def merged_branches(restarts: DataFrame, conditions: list[str]) -> DataFrame:
     """One row for each unit with branches: the conditions that any of its restarts failed, and whether none did."""
     failed = F.array_compact(F.array(*[F.when(~F.every(c), F.lit(c)) for c in conditions]))

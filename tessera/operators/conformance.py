@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,6 +150,8 @@ def drc_rules(units: DataFrame) -> DataFrame:
 
 
 CAPS = ("substream0", "sixch", "eightch", "sixteench", "whole")
+#: The substreams' own bytes within the buffers, and by substream.
+HELD, OWN = tuple(f"held_{name}" for name in CAPS), tuple(f"own_{i}" for i in range(S.PRESENTATIONS))
 
 
 def contributions(units: DataFrame) -> DataFrame:
@@ -159,21 +163,28 @@ def contributions(units: DataFrame) -> DataFrame:
     base = 32 + F.when(F.col("is_major"), 224 + F.when(fba, extension).otherwise(0)).otherwise(0)
     extra = F.when(F.coalesce(F.col("extra.length"), F.lit(0)) != 0, F.col("extra.length") * 16 + 16).otherwise(0)
     size = lambda i: F.get("directory", F.lit(i))
-    region = []
+    region, payload = [], []
     for i in range(4):
         before = F.coalesce(size(i - 1)["end_ptr"], F.lit(0)) if i else F.lit(0)
-        region.append(F.when(size(i)["end_ptr"].isNotNull(), F.when(size(i)["extra_word"], 32).otherwise(16) + 16 * (size(i)["end_ptr"] - before)).otherwise(0))
+        own = 16 * (size(i)["end_ptr"] - before)
+        payload.append(F.coalesce(own, F.lit(0)))
+        region.append(F.when(size(i)["end_ptr"].isNotNull(), F.when(size(i)["extra_word"], 32).otherwise(16) + own).otherwise(0))
     columns = {}
     for k, name in enumerate(CAPS[:4]):
         kept = (masks[k] != 0) & (fba | F.lit(k < 2)) & (F.lit(k < 3) | (now["substreams"] >= 4))
-        total = sum((F.when(F.shiftright(masks[k], i).bitwiseAND(F.lit(1)) == 1, region[i]).otherwise(0) for i in range(4)), F.lit(0))
-        columns[name] = F.when(kept, F.floor((total + base + extra) / 8)).otherwise(0).cast("long")
+        among = lambda bits, k=k: sum((F.when(F.shiftright(masks[k], i).bitwiseAND(F.lit(1)) == 1, bits[i]).otherwise(0) for i in range(4)), F.lit(0))
+        columns[name] = F.when(kept, F.floor((among(region) + base + extra) / 8)).otherwise(0).cast("long")
+        columns[f"held_{name}"] = F.when(kept, F.floor(among(payload) / 8)).otherwise(0).cast("long")
     columns["whole"] = (F.col("length") * 2).cast("long")
+    columns["held_whole"] = F.floor(sum(payload, F.lit(0)) / 8).cast("long")
+    columns |= {name: F.floor(payload[i] / 8).cast("long") for i, name in enumerate(OWN)}
     return units.withColumns(columns)
 
 
 def buffer_depths(units: DataFrame, follow: DataFrame) -> DataFrame:
-    """(stream_id, au, au_offset, accumulator, bytes, depth, underrun, cap): the buffer model of each decoder.
+    """(stream_id, au, au_offset, accumulator, bytes, depth, held, underrun, cap): the buffer model of each decoder, and each substream's own bytes.
+
+    ``held`` is what of the depth are the substreams' own bytes.
 
     ``follow`` is what splices.followed gives: each epoch is modelled as a
     stream of its own, with an output clock from its first output time on.
@@ -196,20 +207,22 @@ def buffer_depths(units: DataFrame, follow: DataFrame) -> DataFrame:
             fba_cap = F.when((now["info"].bitwiseAND(F.lit(0x80)) != 0) & (now["substreams"] > 3), fba_cap)
         caps[name] = F.when(fbb, fbb_cap).otherwise(fba_cap)
     ready = ready.withColumn("caps", F.array(*[caps[n] for n in CAPS])).withColumn("unit_samples", F.col("now.samples"))
-    narrow = ready.select("stream_id", "name", "place", "au", "au_offset", "unwrapped", "first_output", "unit_samples", "caps", *CAPS)
-    out = None
-    for k, name in enumerate(CAPS):
-        one = narrow.withColumn("bytes", F.col(name)).withColumn("cap", F.col("caps")[k])
-        part = timing.depths(one, F.col("unit_samples")).withColumn("odd", F.col("underrun") | (F.col("au") + 1 - F.col("drained") > buffers.PLACES))
-        part = part.select("stream_id", "name", "place", "au_offset", F.lit(name).alias("accumulator"), "bytes", "depth", "underrun", "cap", "odd")
-        out = part if out is None else out.unionAll(part)
-    odd = out.where("odd").select("stream_id").distinct()
-    even = out.join(odd, "stream_id", "left_anti").drop("odd")
-    played = _replayed(narrow.join(odd, "stream_id", "left_semi"))
-    return even.unionByName(played).select(F.col("name").alias("stream_id"), F.col("place").alias("au"), "au_offset", "accumulator", "bytes", "depth", "underrun", "cap")
+    narrow = ready.select("stream_id", "name", "place", "au", "au_offset", "unwrapped", "first_output", "unit_samples", "caps", *SIZES)
+    depths = timing.depths(narrow, F.col("unit_samples"), **{f"depth_{n}": n for n in SIZES})
+    # before its first unit's records can leave, an epoch has no underrun and no ring that is full
+    depths = depths.withColumn("odd", F.max(F.col("underrun") | (F.col("au") + 1 - F.col("drained") > buffers.PLACES)).over(Window.partitionBy("stream_id")))
+    columns = ("stream_id", "name", "place", "au_offset", "underrun", "caps", *SIZES, *(f"depth_{n}" for n in SIZES))
+    played = _replayed(depths.where("odd").select("stream_id", "name", "place", "au", "au_offset", "unwrapped", "first_output", "unit_samples", "caps", *SIZES))
+    both = depths.where(~F.col("odd")).select(*columns).unionByName(played)
+    none = F.lit(None).cast("long")
+    rows = [(n, F.col(n), F.col(f"depth_{n}"), F.col(f"depth_{h}"), F.col("caps")[k]) for k, (n, h) in enumerate(zip(CAPS, HELD, strict=True))]
+    rows += [(n, F.col(n), F.col(f"depth_{n}"), F.col(f"depth_{n}"), none) for n in OWN]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("accumulator"), size.alias("bytes"), depth.alias("depth"), held.alias("held"), cap.cast("int").alias("cap")) for n, size, depth, held, cap in rows]))
+    return both.select(F.col("name").alias("stream_id"), F.col("place").alias("au"), "au_offset", each.alias("d"), "underrun").select("stream_id", "au", "au_offset", "d.accumulator", "d.bytes", "d.depth", "d.held", "underrun", "d.cap")
 
 
-REPLAYED = "stream_id struct<name:string,epoch:long>, name string, place long, au_offset long, accumulator string, bytes long, depth long, underrun boolean, cap int"
+SIZES = (*CAPS, *HELD, *OWN)
+REPLAYED = "stream_id struct<name:string,epoch:long>, name string, place long, au_offset long, underrun boolean, caps array<int>, " + ", ".join(f"{n} long" for n in (*SIZES, *(f"depth_{n}" for n in SIZES)))
 
 
 def _replayed(rows: DataFrame) -> DataFrame:
@@ -217,15 +230,17 @@ def _replayed(rows: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(table: pa.Table) -> pa.Table:
-        found = table.sort_by("au").to_pylist()
-        units = ((r["unwrapped"], r["first_output"] + (r["au"] + 1) * r["unit_samples"], tuple(r[n] for n in CAPS)) for r in found)
-        out = []
-        for r, (depths, dry) in zip(found, buffers.replay(units), strict=True):
-            out += [{"stream_id": r["stream_id"], "name": r["name"], "place": r["place"], "au_offset": r["au_offset"], "accumulator": n, "bytes": r[n], "depth": depths[k], "underrun": dry is not None, "cap": r["caps"][k]} for k, n in enumerate(CAPS)]
-        kind = pa.struct([("name", pa.string()), ("epoch", pa.int64())])
-        kinds = (kind, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())
-        names = ["stream_id", "name", "place", "au_offset", "accumulator", "bytes", "depth", "underrun", "cap"]
-        return pa.Table.from_arrays([pa.array([r[n] for r in out], k) for n, k in zip(names, kinds, strict=True)], names)
+        table = table.sort_by("au")
+        found = table.to_pylist()
+        units = ((r["unwrapped"], r["first_output"] + (r["au"] + 1) * r["unit_samples"], tuple(r[n] for n in SIZES)) for r in found)
+        played = list(buffers.replay(units, len(HELD) + len(OWN)))
+        out = table.select(["stream_id", "name", "place", "au_offset"])
+        out = out.append_column("underrun", pa.array([dry is not None for _, dry in played], pa.bool_())).append_column("caps", table["caps"])
+        for n in SIZES:
+            out = out.append_column(n, table[n])
+        for k, n in enumerate(SIZES):
+            out = out.append_column(f"depth_{n}", pa.array([d[k] for d, _ in played], pa.int64()))
+        return out
 
     return rows.groupBy("stream_id").applyInArrow(run, REPLAYED)
 
@@ -246,17 +261,37 @@ def noted(units: DataFrame) -> DataFrame:
     return units.select("stream_id", "au", "au_offset", F.posexplode("notes").alias("seq", "n")).select("stream_id", "au", "au_offset", "seq", "n.rule", "n.severity", "n.bit")
 
 
-def diagnostics(units: DataFrame, depths: bool = True) -> DataFrame:
+#: What the rules over whole streams read of a unit.
+NARROW = ("stream_id", "au", "au_offset", "segment", "length", "input_timing", "is_major", "config", "directory", "restarts", "now", "gap", "distance", "output_timing", "latency")
+
+
+@dataclass
+class Followed:
+    """Tables that rules and summaries share, each written once: narrow units, their epochs and splices, and buffer depths."""
+
+    units: DataFrame
+    follow: DataFrame
+    depths: DataFrame | None
+
+
+def follow(units: DataFrame, depths: bool = True, tolerant: bool = True) -> Followed:
+    narrow = latency(configured(units)).withColumn("extra", F.struct(F.col("extra.length").alias("length")))
+    ready = materialise(narrow.select(*NARROW, "extra"), "narrow")
+    found = materialise(splices.followed(ready, tolerant), "followed")
+    return Followed(ready, found, materialise(buffer_depths(ready, found), "depths") if depths else None)
+
+
+def diagnostics(units: DataFrame, depths: bool = True, tolerant: bool = True, followed: Followed | None = None) -> DataFrame:
     """One row for each violation: (stream_id, au, seq, rule, severity, byte_offset, bit_in_byte)."""
-    ready = latency(configured(units))
-    follow = materialise(splices.followed(ready), "followed")
-    offsets = units.select("stream_id", "au", "au_offset")
-    at_splice = follow.select("stream_id", "au", F.posexplode("rules").alias("k", "rule")).join(offsets, ["stream_id", "au"])
+    shared = followed or follow(units, depths, tolerant)
+    ready = shared.units
+    offsets = ready.select("stream_id", "au", "au_offset")
+    at_splice = shared.follow.select("stream_id", "au", F.posexplode("rules").alias("k", "rule")).join(offsets, ["stream_id", "au"])
     serial = splices.serial_timing(ready).where("rule is not null").withColumn("k", F.lit(50)).select("stream_id", "au", "k", "rule").join(offsets, ["stream_id", "au"])
     told = at_splice.unionByName(serial).select("stream_id", "au", "au_offset", (F.col("k") + 600).alias("seq"), "rule", F.lit("warning").alias("severity"), F.lit(None).cast("int").alias("bit"))
-    parts = [noted(units), sync_rules(units), timing_rules(ready, follow), latency_rules(ready), drc_rules(ready), start_up_rules(ready), heavy_drc_rules(ready), told]
-    if depths:
-        parts.append(buffer_rules(buffer_depths(ready, follow)))
+    parts = [noted(units), sync_rules(ready), timing_rules(ready, shared.follow, tolerant), latency_rules(ready), drc_rules(ready), start_up_rules(ready), heavy_drc_rules(ready), told]
+    if shared.depths is not None:
+        parts.append(buffer_rules(shared.depths))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)

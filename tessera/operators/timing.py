@@ -75,22 +75,25 @@ def broken(rows: DataFrame, rules: dict[str, Column], *more: str) -> DataFrame:
     return rows.select("stream_id", "au", *more, F.explode(fired).alias("rule"))
 
 
-def depths(units: DataFrame, samples: int | Column) -> DataFrame:
-    """Adds ``drained`` (records that have left the buffer) and ``depth`` (bytes in it after this unit's).
+def depths(units: DataFrame, samples: int | Column, **sizes: str) -> DataFrame:
+    """Adds ``drained`` (records that have left the buffer), ``underrun`` and ``depth`` (bytes in it after this unit's).
 
     Closed form of the drain: a record leaves once the unwrapped input clock has
     passed its output time by more than one unit, so the number that has left
     is a running maximum, and the depth a difference of two prefix sums.
-    ``units`` needs unwrapped, bytes and ``first_output``.  A unit that would
-    have drained records that have not arrived is an underrun.
+    ``units`` needs unwrapped, bytes and ``first_output``; with ``sizes``
+    (depth's name = column of bytes) all these depths come from one pass.  A
+    unit that would have drained records that have not arrived is an underrun.
     """
+    sizes = sizes or {"depth": "bytes"}
     passed = F.greatest(F.lit(0), ceil_div(F.col("unwrapped") - F.col("first_output"), samples) - 1)
-    with_prefix = units.withColumns({"__passed": passed, "__prefix": F.sum("bytes").over(so_far())}).withColumn("drained", F.max("__passed").over(so_far()))
-    # the prefix sum at the last drained record: both rows of one stream, so the same partitioning serves the join
+    sums = F.struct(*[F.sum(column).over(so_far()).alias(name) for name, column in sizes.items()])
+    with_prefix = units.withColumns({"__passed": passed, "__prefix": sums}).withColumn("drained", F.max("__passed").over(so_far()))
+    # the prefix sums at the last drained record: both rows of one stream, so the same partitioning serves the join
     ends = with_prefix.select(F.col("stream_id").alias("__s"), F.col("au").alias("__a"), F.col("__prefix").alias("__gone"))
     joined = with_prefix.join(ends, (F.col("stream_id") == F.col("__s")) & (F.col("drained") - 1 == F.col("__a")), "left")
-    depth = F.when(F.col("drained") <= F.col("au"), F.col("__prefix") - F.coalesce("__gone", F.lit(0)))
-    return joined.withColumn("depth", depth).withColumn("underrun", F.col("drained") > F.col("au")).drop("__s", "__a", "__gone", "__passed", "__prefix")
+    held = lambda name: F.when(F.col("drained") <= F.col("au"), F.col("__prefix")[name] - F.coalesce(F.col("__gone")[name], F.lit(0)))
+    return joined.withColumns({name: held(name) for name in sizes} | {"underrun": F.col("drained") > F.col("au")}).drop("__s", "__a", "__gone", "__passed", "__prefix")
 
 
 def peak_depth(buffered: DataFrame) -> DataFrame:

@@ -76,9 +76,10 @@ def pcm(frames: DataFrame, presentations: list[int], dither_table: list[int] | N
             unit = reader.unit(row["data"])
             if unit["stopped"]:
                 return
+            restarted = next((r["output_timing"] for r in unit["restarts"] if r["block"] == 0), None)
             for presentation, samples in sorted(unit["pcm"].items()):
                 data = b"".join((v & 0xFFFFFF).to_bytes(3, "little") for sample in samples for v in sample)
                 substream = reader.substreams[presentation]
-                yield {k: row[k] for k in ("stream_id", "segment", "au")} | {"presentation": presentation, "samples": len(samples), "channels": substream.max_matrix_chan + 1, "pcm": data, "digest": substream.digest, "width": substream.width}
+                yield {k: row[k] for k in ("stream_id", "segment", "au")} | {"presentation": presentation, "samples": len(samples), "channels": substream.max_matrix_chan + 1, "pcm": data, "digest": substream.digest, "width": substream.width, "output_timing": restarted}
 
     return _by_interval(frames, schemas.PCM, rows)

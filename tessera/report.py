@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import carry, timing
 
+#: Of the reports' layout.
+VERSION = "1"
+
 
 def parse_key(text: str) -> bytes:
     """A protection key: hexadecimal, or ``@`` and a file that holds its bytes; at most 64 bytes."""
@@ -70,14 +73,35 @@ def protection_summary(statuses: DataFrame, units: DataFrame) -> DataFrame:
     return counts.join(second, "stream_id")
 
 
-def decode_json(summary: DataFrame, written: DataFrame | None = None) -> DataFrame:
-    """(stream_id, line): a JSON object for each stream with its presentations' frames, samples and channels, and the files written."""
-    each = F.struct("presentation", "frames", "samples", "channels")
-    out = summary.groupBy("stream_id").agg(F.max("frames").alias("frames"), F.max("samples").alias("samples"), F.array_sort(F.collect_list(each)).alias("presentations"))
-    if written is not None:
-        files = written.groupBy("stream_id").agg(F.array_sort(F.collect_list("path")).alias("files"))
-        out = out.join(files, "stream_id", "left")
-    return out.select("stream_id", F.to_json(F.struct(*[c for c in out.columns])).alias("line"))
+def decode_json(summary: DataFrame, written: DataFrame | None = None, verified: DataFrame | None = None, protection: DataFrame | None = None) -> DataFrame:
+    """(stream_id, line): a JSON object for each stream of a decoding.
+
+    ``written`` names the files (stream_id, presentation, path); ``verified`` is
+    a verification's summary, for what was skipped, branches and the rate;
+    ``protection`` counts checked words (stream_id, checked, failed).  What was
+    not given is null.
+    """
+    each = summary.select("stream_id", F.col("presentation").alias("index"), "frames", "samples", "channels")
+    if written is None:
+        each = each.withColumns({"files": F.array().cast("array<string>"), "format": F.lit("pcm")})
+    else:
+        ending = F.regexp_extract("path", r"\.([^.]+)$", 1)
+        files = written.groupBy("stream_id", F.col("presentation").alias("index")).agg(F.array_sort(F.collect_list("path")).alias("files"), F.min(ending).alias("format"))
+        each = each.join(files, ["stream_id", "index"], "left")
+    out = each.groupBy("stream_id").agg(F.max("frames").alias("frames"), F.max("samples").alias("samples"), F.array_sort(F.collect_list(F.struct("index", "format", "channels", "files"))).alias("presentations"))
+    none = F.lit(None).cast("long")
+    if verified is not None:
+        out = out.join(verified.select("stream_id", "access_units", F.coalesce(F.size("branches"), F.lit(0)).cast("long").alias("n"), "invalid_branches", "frequency"), "stream_id", "left")
+        out = out.withColumns({"skippedFrames": F.col("access_units") - F.col("frames"), "branches": F.greatest("n", F.lit(0)), "invalidBranches": F.col("invalid_branches"), "sampleRate": F.col("frequency")})
+    else:
+        out = out.withColumns({n: none for n in ("skippedFrames", "branches", "invalidBranches", "sampleRate")})
+    if protection is not None:
+        out = out.join(protection.select("stream_id", F.col("checked").alias("evoChecked"), F.col("failed").alias("evoFailed")), "stream_id", "left")
+    else:
+        out = out.withColumns({"evoChecked": none, "evoFailed": none})
+    names = ("frames", "skippedFrames", "branches", "invalidBranches", "evoChecked", "evoFailed", "samples", "sampleRate", "presentations")
+    line = F.to_json(F.struct(F.lit(VERSION).alias("version"), F.col("stream_id").alias("input"), *names), {"ignoreNullFields": "false"})
+    return out.select("stream_id", line.alias("line"))
 
 
 def _table(title: str, rows: list[tuple[str, object]]) -> list[str]:
@@ -94,10 +118,70 @@ def stream_text(row: Row) -> str:
     return "\n".join(lines)
 
 
+def _columns(title: str, headings: list[str], rows: list[tuple[str, list[object] | str]]) -> list[str]:
+    """A table with headings; a row's text in place of its cells stands alone."""
+    width = [max(len(str(x)) for x in [h, *(cells[k] for _, cells in rows if not isinstance(cells, str))]) + 2 for k, h in enumerate(headings)]
+    label = max(len(name) for name, _ in rows) + 2 if rows else 2
+    out = [title, " " * (label + 2) + "".join(f"{h:>{w}}" for h, w in zip(headings, width, strict=True))]
+    for name, cells in rows:
+        out.append(f"  {name:<{label}}" + (cells if isinstance(cells, str) else "".join(f"{c!s:>{w}}" for c, w in zip(cells, width, strict=True))))
+    return [*out, ""]
+
+
+BUFFERS = ("2-channel decoder", "6-channel decoder", "8-channel decoder", "16-channel decoder", "Whole stream")
+
+
+def _buffer_rows(s: Row) -> list[tuple[str, list[object] | str]]:
+    """The five buffers; one that the stream does not keep gives the reason."""
+    out: list[tuple[str, list[object] | str]] = []
+    info, first = s.substream_info or 0, (s.substream_properties or [None])[0]
+    for k, name in enumerate(BUFFERS):
+        shown = k
+        if k == 0 and first is not None and first.max_chan - first.min_chan != 1:
+            out.append((name, ["-"] * 4))
+            continue
+        if k == 1 and not info & 8:  # that decoder reads substream 0 alone
+            name, shown = "6-channel decoder (substream 0)", 0
+        elif k in (2, 3) and s.syntax == "FBB":
+            out.append((name, "not checked"))
+            continue
+        elif k == 3 and not (info & 0x80 and (s.substreams or 0) >= 4):
+            out.append((name, "no 16-channel presentation"))
+            continue
+        cap = s.fifo_caps[k]
+        out.append((name, [s.fifo_stream_bytes[shown], s.fifo_overhead_bytes[shown], s.fifo_peaks[shown], "not checked" if cap is None else cap]))
+    return out
+
+
 def report_text(summary: Row, tally: list[Row]) -> str:
-    """What ``verify`` prints of one stream: facts, the tally by rule, severities and the verdict."""
-    lines = _table("Stream", [("Input", summary.stream_id), ("Syntax", summary.syntax or "no major sync found"), ("Sampling rate", summary.frequency and f"{summary.frequency} Hz"), ("Units", summary.access_units), ("Frames", summary.frames if summary.frames != summary.access_units else None), ("Duration", summary.duration), ("Longest", summary.longest and f"{2 * summary.longest} bytes")])
-    rows = sorted((r for r in tally if r.stream_id == summary.stream_id), key=lambda r: r.rule)
+    """What ``verify`` prints of one stream: facts, measurements, substreams, buffers, discs, branches, the tally by rule and the verdict."""
+    s = summary
+    lines = _table("Stream", [("Input", s.stream_id), ("Syntax", s.syntax or "no major sync found"), ("Sampling rate", s.frequency and f"{s.frequency} Hz"), ("Substreams", s.substreams), ("Substream info", None if s.substream_info is None else f"{s.substream_info:#04X}")])
+    size = s.max_access_unit_size and f"{s.average_access_unit_size:.2f} bytes on average, {s.max_access_unit_size} at most"
+    rate = s.max_data_rate and f"{s.max_data_rate / 1000:.1f} kbps, at unit {s.max_data_rate_au}"
+    latency = None if s.max_fifo_latency_samples is None else f"{s.max_fifo_latency_samples} samples ({s.max_fifo_latency_ms:.3f} ms)"
+    lines += _table("Measurements", [("Units", s.access_units), ("Frames", s.frames if s.frames != s.access_units else None), ("Duration", s.duration), ("Unit size", size), ("Highest data rate", rate), ("Longest latency", latency)])
+    if s.syntax:
+        subs = s.substream_properties or []
+        if subs:
+            rows = [("Restart sync word", [x.restart_sync_word for x in subs]), ("Channels", [f"{x.min_chan}..{x.max_chan}" for x in subs]), ("Highest matrix channel", [x.max_matrix_chan for x in subs]), ("Deepest", [x.fifo_peak for x in subs]), ("Allowed", [x.fifo_cap for x in subs])]
+            lines += _columns("Substreams", [str(x.index) for x in subs], rows)
+        else:
+            lines += _table("Substreams", [("none", "reached a restart header")])
+        if "fifo_peaks" in s and s.fifo_peaks:
+            lines += _columns("Cumulative buffers", ["stream", "overhead", "total", "allowed"], _buffer_rows(s))
+        yes = lambda x: "yes" if x else "no"
+        if s.bluray is not None:
+            lines += _table("Disc validity", [("DVD-Audio", "yes, if the 6-channel downmix does not clip" if s.dvd_audio and s.dvd_audio_needs_decode else yes(s.dvd_audio)), ("HD DVD-Video", yes(s.hd_dvd_video)), ("BluRay", yes(s.bluray))])
+    if s.branches:
+        rows = []
+        for k, b in enumerate(s.branches):
+            rows.append((f"Branch {k}", [b.au, f"{b.byte_offset:#X}", b.sample, b.advance, "valid" if b.valid else "invalid"]))
+            if b.failed:
+                rows.append(("  failed", ", ".join(b.failed)))
+        rows.append(("Total", f"{len(s.branches)} branches, {s.invalid_branches} invalid"))
+        lines += _columns("Branch points", ["unit", "offset", "sample", "advance", "status"], rows)
+    rows = sorted((r for r in tally if r.stream_id == s.stream_id), key=lambda r: r.rule)
     lines += _table("Rules", [(r.rule, f"{r['count']} x {r.worst}, units {r.first_au} to {r.last_au}" + (f", {r['count'] - r.shown} not shown" if r["count"] > r.shown else "")) for r in rows] or [("none", "fired")])
-    lines += _table("Verdict", [(s, summary[s] or 0) for s in ("fatal", "error", "warning", "info")] + [("verdict", summary.verdict), ("exit code", summary.exit_code)])
+    lines += _table("Verdict", [(name, s[name] or 0) for name in ("fatal", "error", "warning", "info")] + [("verdict", s.verdict), ("exit code", s.exit_code)])
     return "\n".join(lines)

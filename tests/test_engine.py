@@ -434,6 +434,60 @@ def test_replay_equals_the_closed_form_where_it_holds(spark):
     assert seen > 300
 
 
+def test_decoding_leaves_out_what_a_splice_repeats(spark):
+    import json
+
+    from tessera import report
+
+    blocks = [[[100 * n + i, 7 * i - n] for i in range(40)] for n in range(20)]
+    data = synth.encode(blocks[:13], every=1) + synth.encode(blocks[12:], every=1, first_timing=12 * 40)
+    frame = spark.createDataFrame([("twice", bytearray(data)), ("once", bytearray(synth.encode(blocks, every=1)))], "stream_id string, data binary")
+    every = api.decode(frame, [0], keep_repeated=True)
+    assert {r.stream_id: r["count"] for r in every.groupBy("stream_id").count().collect()} == {"twice": 21, "once": 20}
+    left = api.decode(frame, [0])
+    pcm = {name: b"".join(bytes(r.pcm) for r in left.where(F.col("stream_id") == name).orderBy("au").collect()) for name in ("twice", "once")}
+    assert pcm["twice"] == pcm["once"] and len(pcm["once"]) == 20 * 40 * 6
+    run = api.verify(frame)
+    lines = {r.stream_id: json.loads(r.line) for r in report.decode_json(api.decode_summary(left), verified=run.summary).collect()}
+    assert (lines["twice"]["frames"], lines["twice"]["skippedFrames"], lines["twice"]["samples"], lines["twice"]["sampleRate"]) == (20, 1, 800, 48_000)
+    assert lines["once"]["skippedFrames"] == 0 and lines["once"]["presentations"] == [{"index": 0, "format": "pcm", "channels": 2, "files": []}]
+
+
+def test_summary_states_what_was_measured(spark):
+    fbb = synth.stream(units=24, channels=2, sync=syntax.FBB)[0]
+    spliced = synth.stream(units=16)[0] + synth.stream(units=16, seed=2, first_timing=30_000)[0]
+    six = synth.stream(units=24, channels=6, rate_code=2, every=8, seed=5)[0]
+    frame = spark.createDataFrame([("two", bytearray(TWO_UNITS)), ("fbb", bytearray(fbb)), ("spliced", bytearray(spliced)), ("six", bytearray(six))], "stream_id string, data binary")
+    run = api.verify(frame, strict=True)
+    rows = {r.stream_id: r for r in run.summary.collect()}
+    two = rows["two"]
+    assert list(two.fifo_peaks) == [104, 104, 104, 0, 104] and list(two.fifo_caps) == [30_000, 90_000, 120_000, None, 120_000]
+    assert [a + b for a, b in zip(two.fifo_stream_bytes, two.fifo_overhead_bytes, strict=True)] == list(two.fifo_peaks)
+    # end pointers of 24 and 7 words
+    assert two.fifo_stream_bytes[4] == 62 and two.substream_properties[0].fifo_peak == 62
+    assert (two.substream_properties[0].restart_sync_word, two.substream_properties[0].min_chan, two.substream_properties[0].max_chan, two.substream_properties[0].fifo_cap) == ("31EA", 0, 1, 30_000)
+    assert (two.max_access_unit_size, two.average_access_unit_size, two.bluray, two.hd_dvd_video, two.dvd_audio) == (84, 52.0, True, True, False)
+    assert (rows["fbb"].dvd_audio, rows["fbb"].dvd_audio_needs_decode, rows["fbb"].bluray) == (True, True, False)
+    assert (rows["six"].bluray, rows["six"].hd_dvd_video) == (True, False)  # six channels at 192 kHz
+    assert [(b.au, b.valid) for b in rows["spliced"].branches] == [(16, True)] and rows["spliced"].invalid_branches == 0
+    for r in rows.values():
+        assert r.diagnostics == sum((r.by_rule or {}).values()) == r.info + r.warning + r.error + r.fatal
+        assert r.verdict == ("conformant" if not r.diagnostics else "non_conformant")
+    from tessera import report
+
+    text = report.report_text(two, run.tally.collect())
+    for line in ("Cumulative buffers", "Substreams", "Disc validity", "2-channel decoder", "no 16-channel presentation", "BluRay"):
+        assert line in text
+    assert "Branch points" not in text and "Branch points" in report.report_text(rows["spliced"], [])
+
+
+def test_parts_of_buffers_are_followed_beside_them():
+    from tessera.kernels import buffers
+
+    out = list(buffers.replay([(0, 10, (100, 60, 9)), (50, 20, (70, 50, 9)), (60, 100, (5, 5, 9))], 2))
+    assert [d for d, _ in out] == [(100, 60, 9), (70, 50, 9), (75, 55, 18)] and [x for _, x in out] == [None, 0, None]
+
+
 def test_replay_after_an_underrun():
     from tessera.kernels import buffers
 
@@ -447,12 +501,12 @@ def test_reports(spark, streams, tmp_path):
     run = api.verify(streams.where("stream_id in ('short', 'nothing')"))
     tally, rows = run.tally.collect(), {r.stream_id: r for r in run.summary.collect()}
     text = report.report_text(rows["short"], tally)
-    assert "restart_gap_invalid" in text and "5 x warning, units 4 to 20" in text and "conformant" in text
+    assert "restart_gap_invalid" in text and "5 x warning, units 4 to 20" in text and "conformant" in text and "Measurements" in text
     assert "no major sync found" in report.report_text(rows["nothing"], tally)
     info = {r.stream_id: r for r in api.info(streams).collect()}
     assert "48000 Hz" in report.stream_text(info["clean"]) and "CopyOf(0)" in report.stream_text(info["clean"])
     line = report.decode_json(api.decode_summary(api.decode(streams.where("stream_id = 'six'"), [0]))).collect()[0].line
-    assert line == '{"stream_id":"six","frames":24,"samples":960,"presentations":[{"presentation":0,"frames":24,"samples":960,"channels":6}]}'
+    assert line == '{"version":"1","input":"six","frames":24,"skippedFrames":null,"branches":null,"invalidBranches":null,"evoChecked":null,"evoFailed":null,"samples":960,"sampleRate":null,"presentations":[{"index":0,"format":"pcm","channels":6,"files":[]}]}'
     (tmp_path / "key").write_bytes(b"abc")
     assert report.parse_key("616263") == report.parse_key(f"@{tmp_path}/key") == b"abc"
     with pytest.raises(ValueError):
