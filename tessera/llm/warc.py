@@ -2,21 +2,24 @@
 
 Writing: one gzip member a record.  Of rows with equal payloads (of at least
 ``least_bytes`` bytes) the one with the smallest identifier becomes a response
-record, the others revisit records that refer to it.  Which is which is decided
-on a narrow table of identifiers and digests, so payloads cross the network
-once, by identifier, and a payload that very many rows share makes no hot task.
+record, the others revisit records that refer to it.  Which is which is settled
+on a narrow table of identifiers, addresses and digests, with the number of
+rows of each, so rows that repeat and payloads that very many rows share make
+no hot task; a revisit record has no payload and is written from that table.
+Payloads cross the network once, by identifier, address and digest.
 Each task writes archives of bounded size under names of its own into a folder
 on a file system that all executors share, and returns their names; only
 archives that successful tasks named are read.
 
 Reading: archives are decompressed incrementally, member by member; each
 record is framed by its Content-Length, must end where its member ends, and
-its payload is checked against its digest.
+its payload is checked against its digest.  As many tasks read as there are
+archives.
 
-Defined cases: a null payload is empty; null identifiers come last, so they
-are responses only where no other row has the payload; repeated rows are
-separate records, the first of them the response; an empty table gives no
-archive and an empty result; extra columns are not read.
+Defined cases: a null payload is empty; null identifiers and then null
+addresses come last, so they are responses only where no other row has the
+payload; repeated rows are separate records, one of them the response; an
+empty table gives no archive and an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ from tessera.storage import fresh_path, materialise
 
 ARCHIVE_BYTES = 32_000_000
 CHUNK = 1 << 16
+#: A payload or row is frequent from this many rows, and from this part of all; copies are dealt to tasks by so many.
+FREQUENT_ROWS, FREQUENT_PART, COPIES = 1_000, 1_000, 1_000
 LEVEL = 5
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -44,32 +49,32 @@ MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def _record_id(page_id: int | None, digest: str, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{copy}')}>"
+def _record_id(page_id: int | None, url: str | None, digest: str, copy: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{copy}/{url}')}>"
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, copy: int, first: int | None, revisit: bool, date: str) -> bytes:
-    """One gzip member."""
-    block = _HTTP if revisit else _HTTP + payload
+def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, copy: int = 0, original: tuple[int | None, str | None] | None = None, size: int | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One gzip member: a response, or with ``original`` (its identifier and address) a revisit of a payload of ``size`` bytes."""
+    block = _HTTP if original else _HTTP + payload
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {_record_id(page_id, digest, copy)}",
+        f"WARC-Type: {'revisit' if original else 'response'}",
+        f"WARC-Record-ID: {_record_id(page_id, url, digest, copy)}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {len(payload) if size is None else size}",
     ]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
-    if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(first, digest, 0)}"]
-        if first is not None:
-            head.append(f"X-Refers-To-Page-ID: {first}")
+    if original:
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(*original, digest, 0)}"]
+        if original[0] is not None:
+            head.append(f"X-Refers-To-Page-ID: {original[0]}")
     squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
 
@@ -114,34 +119,66 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return payload
 
 
+def _records(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int) -> DataFrame:
+    """(page_id, url, payload, sha1, copy, revisit, first_page_id, first_url, size) of every record; revisits have no payload."""
+    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("sha1", F.unhex(F.sha1("payload")))
+    small = rows.where(F.col("size") < least_bytes)
+    rows = rows.where(F.col("size") >= least_bytes)
+    # one name for equal rows, never null
+    name = F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.hex("sha1"), F.coalesce(F.concat(F.lit("+"), "url"), F.lit("-")))
+    rows = rows.withColumn("key", F.unhex(F.sha1(name.cast("binary"))))
+    narrow = materialise(rows.groupBy("key").agg(F.any_value("page_id").alias("page_id"), F.any_value("url").alias("url"), F.any_value("sha1").alias("sha1"), F.any_value("size").alias("size"), F.count("*").alias("rows")), "keys")
+    order = F.struct(F.col("page_id").isNull().alias("p"), "page_id", F.col("url").isNull().alias("u"), "url", "key", "rows")
+    firsts = narrow.groupBy("sha1").agg(F.min(order).alias("first"), F.count("*").alias("keys"))
+    firsts = materialise(firsts.select("sha1", "keys", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("page_id", "url", "key", "rows")]), "firsts")
+    # the few keys of many rows are joined by broadcast: each takes a fixed part of all rows
+    most = max(FREQUENT_ROWS, narrow.agg(F.coalesce(F.sum("rows"), F.lit(0))).head()[0] // FREQUENT_PART)
+    chosen = firsts.select(F.col("first_key").alias("key"), F.col("first_rows").alias("rows"))
+    hot = F.broadcast(narrow.where(F.col("rows") > most).select("key"))
+    wanted = rows.join(F.broadcast(chosen.where(F.col("rows") > most).select("key")), "key").unionByName(
+        rows.join(hot, "key", "left_anti").join(chosen.where(F.col("rows") <= most).select("key"), "key")
+    )
+    copy = F.lit(0).cast("long")
+    none = [F.lit(None).cast("long").alias("first_page_id"), F.lit(None).cast("string").alias("first_url")]
+    responses = wanted.groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("page_id", "url", "payload", "sha1", "size")])
+    responses = responses.select("page_id", "url", "payload", "sha1", copy.alias("copy"), F.lit(False).alias("revisit"), *none, "size")
+    shared = firsts.where("keys > 1 or first_rows > 1").select("sha1", "first_page_id", "first_url", "first_key", "keys")
+    often = F.broadcast(shared.where(F.col("keys") > most))
+    others = narrow.join(often.select("sha1"), "sha1", "left_anti").join(shared.where(F.col("keys") <= most), "sha1")
+    again = narrow.join(often, "sha1").unionByName(others)
+    begin = F.when(F.col("key") == F.col("first_key"), 1).otherwise(0).cast("long")
+    again = again.withColumn("begin", begin).where(F.col("begin") < F.col("rows"))
+    parts = again.withColumn("part", F.explode(F.sequence("begin", F.col("rows") - 1, F.lit(COPIES).cast("long"))))
+    if not again.where(F.col("rows") > COPIES).isEmpty():
+        parts = parts.repartition("key", "part")  # the copies of one row go to many tasks
+    last = F.least(F.col("part") + COPIES, F.col("rows")) - 1
+    revisits = parts.withColumn("copy", F.explode(F.sequence("part", last))).select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "sha1", "copy", F.lit(True).alias("revisit"), "first_page_id", "first_url", "size")
+    out = responses.unionByName(revisits)
+    if least_bytes > 0:
+        out = out.unionByName(small.select("page_id", "url", "payload", "sha1", F.monotonically_increasing_id().alias("copy"), F.lit(False).alias("revisit"), *none, "size"))
+    return out
+
+
 def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Archives of all rows under ``folder``; returns their manifest (path, records, bytes)."""
     bounded_batches(pages.sparkSession)
-    payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
-    large = rows.where(F.octet_length("payload") >= least_bytes)
-    keys = large.groupBy("page_id", "sha1").agg(F.lit(1).alias("one")).select("page_id", "sha1")
-    firsts = large.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    choices = keys.join(firsts, "sha1").select(F.col("page_id").alias("id"), F.col("sha1").alias("key"), "first", F.lit(True).alias("shared"))
-    placed = rows.join(choices, rows["page_id"].eqNullSafe(choices["id"]) & (rows["sha1"] == choices["key"]), "left")
-    placed = placed.sortWithinPartitions("page_id", "sha1").select("page_id", "url", "payload", "sha1", "first", "shared")
+    placed = _records(pages, page_id, url, html, least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = pafs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        out, name, records, written, last, copy, done = None, "", 0, 0, None, 0, []
+        out, name, records, written, done = None, "", 0, 0, []
 
         def close() -> None:
             out.close()
             done.append((name, records, written))
 
         for batch in batches:
-            for i, u, body, sha1, first, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                copy = copy + 1 if (i, sha1) == last else 0
-                last = (i, sha1)
+            for i, u, body, sha1, copy, revisit, first, address, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digest = base64.b32encode(sha1).decode()
-                member = encode_record(i, u, body, digest, copy, first, bool(shared) and (i != first or copy > 0), date)
+                member = encode_record(i, u, body or b"", digest, copy, (first, address) if revisit else None, size, date)
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, records, written = system.open_output_stream(f"{root}/{name}", compression=None), 0, 0
@@ -161,7 +198,8 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """One row for each record of the archives in ``manifest`` (path)."""
+    """One row for each record of the archives in ``manifest`` (path); a task for each archive."""
+    archives = max(1, manifest.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(found):
@@ -184,7 +222,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                             found = []
                 yield table(found)
 
-    return map_batches(manifest.select("path").repartition("path"), run, RECORDS)
+    return map_batches(manifest.select("path").repartition(archives, "path"), run, RECORDS)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
