@@ -1,28 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary text, are counted from labelled
-documents.  As Kneser-Ney smoothing asks, an expression counts once for each
-document that uses it, not for each use; counts are discounted, and the mass
-discounted in a class goes to one backoff distribution that both classes share.
-From each log-likelihood ratio goes what the same estimate gives at the counts
-expected of an expression that is as likely in both classes, so that smoothing
-itself speaks for neither class whatever the balance of the labels, and an
-expression under the discount decides nothing.
-Counts are samples, and most expressions are as likely in both classes: each
-ratio is weighted by the posterior probability that the classes differ in that
-expression at all (one common share of toxic uses against a share of its own
-under a symmetric beta prior; the prior's width and the part of expressions
-that differ are those of the largest marginal likelihood).  The weights are
-smooth, no expression is left out, and both sides count.
-Word pairs back off to words, words to their first letters
-(so a new ending of a marked stem is recognised).  A text's score compares the
-two log-likelihoods, normalised by length (and, as a second feature, by its
-square root), through a logistic curve fitted on labelled documents that the
-counts have not seen.
+Two models, of toxic and of ordinary text, are interpolated from three orders:
+
+    P(w | v, class) = max(n(v, w) - D2, 0) / n(v, .) + g(v) P(w | class)
+    P(w | class)    = max(n(w) - D1, 0) / n(.)       + g    P(w)
+    P(w)            = max(m(w) - D0, 0) / m(.)       + g0 / (words + 1)
+
+n counts in the texts of a class, m in those of both: the lowest order is
+shared, so a rare expression falls back to the same probability in both.  As
+Kneser-Ney smoothing asks, counts are of distinct contexts, not of uses: of a
+pair the words found before it, of a word the documents it is found in.  So
+neither repetition in a text nor copies of a text make evidence of a pair.
+Each g is the mass that the discounts take, so each distribution sums to 1 over
+all words and the unknown one; discounts over 1 (a context or two are no
+evidence) work alike.
+
+Toxic text is mostly ordinary text: its model
+draws one word in 1 / RATE from the toxic distribution and the others from the
+ordinary one, so that a word's log-likelihood ratio r adds
+log(1 - RATE + RATE exp(r)) to the difference of the log-likelihoods.  A text's score is that difference, normalised by length
+(and, as a second feature, by its square root), on a logistic curve fitted on
+labelled documents that the counts have not seen.
 
 Bounds: at most about ``rows`` labelled documents are sampled (by hash, so the
-same ones each time), and the model holds all of their expressions that are in
-more documents than the discount.
+same ones each time).  The model holds all of their words, and the pairs and
+contexts over the discount; those under it change no ratio.
 
 Defined cases: null and empty texts score as texts without evidence; rows
 whose label or identifier is null are not learnt from; repeated label rows
@@ -45,15 +47,14 @@ from tessera.llm.textkit import Block, blocks, bounded_batches, map_batches, mix
 from tessera.storage import materialise
 
 ROWS = 16_000
-#: Discount, in documents.
-DISCOUNT = 2.5
-#: Widths of the beta prior that the marginal likelihood chooses from.
-WIDTHS = (1.0, 0.5, 0.25, 0.1, 0.05, 0.02)
+#: Discounts, in contexts: of pairs, of words in a class, of words in the shared order.
+PAIR_DISCOUNT, WORD_DISCOUNT, SHARED_DISCOUNT = 8.0, 1.5, 0.75
+#: Part of a toxic text's words that are drawn from the toxic distribution.
+RATE = 0.001
 #: Every fourth sampled document fits the curve, the others the counts.
 CURVE_PART = 4
-
-#: Lengths, in bytes, of the beginnings that words back off to.
-STEMS = (5, 4)
+#: Stands before the first word of a text.
+START = np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -61,8 +62,8 @@ _EDGE = np.zeros(256, bool)
 _EDGE[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 
-def _expressions(block: Block) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each word the hashes of its expressions from the highest order down (0: none), and the n+1 limits.
+def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word and of the one before it, and the n+1 limits of the texts.
 
     Words are lower-cased, without punctuation at their ends.
     """
@@ -77,46 +78,62 @@ def _expressions(block: Block) -> tuple[list[np.ndarray], np.ndarray]:
     if len(starts):
         starts = starts + (_EDGE[data[starts]] & (ends - starts > 1))
     words = low.span_hashes(starts, ends)
-    orders = [_pairs(words, limits), words]
-    for size in STEMS:
-        orders.append(np.where(ends - starts > size, mix(low.span_hashes(starts, np.minimum(starts + size, ends)) + np.uint64(size)), np.uint64(0)))
-    return orders, limits
+    before = np.concatenate([[START], words[:-1]]) if len(words) else words
+    before[limits[:-1][np.diff(limits) > 0]] = START
+    return words, before, limits
 
 
-def _pairs(words: np.ndarray, limits: np.ndarray) -> np.ndarray:
-    """For each word the hash of it with the word before; 0 at the first word of a text."""
-    out = np.zeros(len(words), np.uint64)
-    if len(words) > 1:
-        out[1:] = mix(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:])
-        first = limits[:-1][np.diff(limits) > 0]
-        out[first] = 0
-    return out
+def _pair(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9FB21C651E98DF25) + words)
 
 
 @dataclass
-class Model:
-    """Log-likelihood ratios by expression hash, ascending, and the curve (bias, per length, per root of length)."""
+class Part:
+    """Values by hash, ascending; others have none."""
 
     keys: np.ndarray
-    ratios: np.ndarray
-    curve: tuple[float, float, float]
+    values: np.ndarray
 
-    def _look(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are known, and the values (0 for the others)."""
         if not len(self.keys):
-            return np.zeros(len(hashes))
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes))
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ratios[at], 0.0)
+        known = self.keys[at] == hashes
+        return known, np.where(known, self.values[at], 0.0)
+
+
+def _part(keys: np.ndarray, values: np.ndarray) -> Part:
+    order = np.argsort(keys)
+    return Part(keys[order], values[order])
+
+
+@dataclass
+class Model:
+    """Log-likelihood ratios of words and pairs, the log ratios of contexts' backoff weights, that of unknown words, and the curve.
+
+    A pair's ratio stands for itself; any other word's is its own and that of
+    the weights of the word before it.
+    """
+
+    words: Part
+    contexts: Part
+    pairs: Part
+    unknown: float
+    curve: tuple[float, ...]
+
+    def ratios(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        known, own = self.pairs.of(_pair(before, words))
+        seen, alone = self.words.of(words)
+        return np.where(known, own, np.where(seen, alone, self.unknown) + self.contexts.of(before)[1])
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """For each text the difference of the log-likelihoods over its length and over the length's root."""
         out = []
         for block in blocks(texts):
-            orders, limits = _expressions(block)
-            evidence = np.zeros(len(orders[0]))
-            for hashes in reversed(orders):  # a higher order, where known, replaces a lower one
-                ratio = self._look(hashes)
-                evidence = np.where(ratio != 0, ratio, evidence)
-            total = np.bincount(text_of(limits), weights=evidence, minlength=block.n)
+            words, before, limits = _words(block)
+            gain = np.log1p(RATE * np.expm1(np.minimum(self.ratios(words, before), 50.0)))
+            total = np.bincount(text_of(limits), weights=gain, minlength=block.n)
             length = np.maximum(np.diff(limits), 1)
             out.append(np.stack([total / length, total / np.sqrt(length)], axis=1))
         return np.concatenate(out) if out else np.empty((0, 2))
@@ -126,12 +143,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(bias + self.features(texts) @ np.array(weights), -500, 500)))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float, float]:
-    """Logistic regression by Newton's method, with a little shrinkage of the slopes."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, ...]:
+    """Logistic regression on standardised features by Newton's method, with a little shrinkage of the slopes."""
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0)
-    design = np.column_stack([np.ones(len(x)), x])
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread == 0] = 1
+    design = np.column_stack([np.ones(len(x)), (x - mean) / spread])
     w, ridge = np.zeros(3), np.diag([0.0, 1e-3, 1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
@@ -139,48 +158,63 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, fl
         w = w + np.clip(step, -20, 20)
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(v) for v in w)
-
+    slopes = w[1:] / spread
+    return (float(w[0] - slopes @ mean), *(float(v) for v in slopes))
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    return np.frompyfunc(math.lgamma, 1, 1)(x).astype(float)
 
+def class_probabilities(counts: np.ndarray, own_total: float, own_taken: float, shared: np.ndarray) -> np.ndarray:
+    """P(w | class) of words with ``counts`` documents; ``own_taken`` is the sum of what the discount takes from all counts."""
+    return np.maximum(counts - WORD_DISCOUNT, 0) / own_total + own_taken / own_total * shared
 
-def _chance_of_difference(t: np.ndarray, o: np.ndarray, share: float, steps: int = 100) -> np.ndarray:
-    """For each expression the posterior probability that its share of toxic uses isn't the common ``share``."""
-    cells, at, n = np.unique(np.stack([t, o], axis=1), axis=0, return_inverse=True, return_counts=True)
-    a, b = cells.T
-    same = a * math.log(share) + b * math.log1p(-share)
-    best, chance = -np.inf, np.zeros(len(n))
-    for width in WIDTHS:
-        gain = _log_gamma(a + width) + _log_gamma(b + width) - _log_gamma(a + b + 2 * width) - 2 * math.lgamma(width) + math.lgamma(2 * width) - same
-        part = 0.01
-        for _ in range(steps):
-            posterior = 1 / (1 + np.exp(-np.clip(gain + math.log(part / (1 - part)), -700, 700)))
-            part = min(max(float((posterior * n).sum() / n.sum()), 1e-9), 0.5)
-        likelihood = float((n * np.logaddexp(math.log1p(-part), math.log(part) + gain)).sum())
-        if likelihood > best:
-            best, chance = likelihood, posterior
-    return chance[at.ravel()]
 
+def shared_probabilities(both: np.ndarray, total: float, taken: float, words: int) -> np.ndarray:
+    """P(w) of words with ``both`` documents; that of the unknown word is that of 0."""
+    return np.maximum(both - SHARED_DISCOUNT, 0) / total + taken / total / (words + 1)
 
-def evidence_of(t: np.ndarray, o: np.ndarray, documents: tuple[float, float], weights: tuple[float, float]) -> np.ndarray:
-    """Weighted log-likelihood ratios of expressions with ``t`` toxic and ``o`` ordinary documents.
-
-    ``documents`` are the documents of each class, ``weights`` the classes' backoff weights.
-    """
-    shared = (t + o) / sum(documents)
 
-    def ratio(*counts: np.ndarray) -> np.ndarray:
-        own = [np.maximum(c - DISCOUNT, 0) / n + weight * shared for c, n, weight in zip(counts, documents, weights, strict=True)]
-        return np.log(own[0] / own[1])
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
-    expected = [n * shared for n in documents]
-    return (ratio(t, o) - ratio(*expected)) * _chance_of_difference(t, o, documents[0] / sum(documents))
 
+def _parts(counts: DataFrame) -> tuple[Part, Part, Part, float]:
+    """The parts of a model from the contexts (t toxic, o ordinary, b of both) of each word (v = 0) and pair (v, w).
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    What reaches the driver is at most what the sampled documents hold: their
+    words, and pairs over the discount with their contexts.
+    """
+    empty = Part(np.empty(0, np.uint64), np.empty(0))
+    taken = lambda c, discount: F.coalesce(F.sum(F.least(F.col(c), F.lit(discount))), F.lit(0.0))
+    words = counts.where("v = 0")
+    sums = words.agg(F.sum("t"), F.sum("o"), F.sum("b"), taken("t", WORD_DISCOUNT), taken("o", WORD_DISCOUNT), taken("b", SHARED_DISCOUNT), F.count("*")).head()
+    totals, lost = (sums[0] or 0.0, sums[1] or 0.0), (sums[3], sums[4])
+    if not all(totals):
+        return empty, empty, empty, 0.0
+    number = lambda table, c: table[c].to_numpy().view(np.uint64)
+    known = words.toArrow()
+    keys, t, o, b = number(known, "w"), known["t"].to_numpy(), known["o"].to_numpy(), known["b"].to_numpy()
+    order = np.argsort(keys)
+    keys, t, o, b = keys[order], t[order], o[order], b[order]
+    shared = shared_probabilities(b, sums[2], sums[5], sums[6])
+    toxic, ordinary = (class_probabilities(c, n, g, shared) for c, n, g in zip((t, o), totals, lost, strict=True))
+    own, unknown = Part(keys, np.log(toxic / ordinary)), float(np.log(lost[0] / totals[0]) - np.log(lost[1] / totals[1]))
+    pairs = counts.where("v <> 0")
+    contexts = pairs.groupBy("v").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), taken("t", PAIR_DISCOUNT).alias("lt"), taken("o", PAIR_DISCOUNT).alias("lo"), F.max(F.greatest("t", "o")).alias("most"))
+    weights = contexts.where(F.col("most") > PAIR_DISCOUNT).toArrow()
+    before = number(weights, "v")
+    order = np.argsort(before)
+    before = before[order]
+    n, g = [], []
+    for c in ("t", "o"):
+        total, gone = weights[c].to_numpy()[order], weights["l" + c].to_numpy()[order]
+        n.append(np.where(total > 0, total, 1.0))
+        g.append(np.where(total > 0, gone / n[-1], 1.0))
+    found = pairs.where(F.greatest("t", "o") > PAIR_DISCOUNT).toArrow()
+    v, w = number(found, "v"), number(found, "w")
+    if not len(v):
+        return own, empty, empty, unknown
+    at, i = np.searchsorted(before, v), np.searchsorted(keys, w)
+    high = [np.maximum(found[c].to_numpy() - PAIR_DISCOUNT, 0) / n[k][at] + g[k][at] * p[i] for k, (c, p) in enumerate((("t", toxic), ("o", ordinary)))]
+    return own, Part(before, np.log(g[0] / g[1])), _part(_pair(v, w), np.log(high[0] / high[1])), unknown
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS) -> Model:
@@ -199,38 +233,35 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            # the key 0, of no expression, counts the documents
-            found, marks = [np.zeros(len(y), np.uint64)], [y]
+            # (before, word, context): a word (0 before it) in a document, a pair behind a word
+            found, marks = [np.empty((0, 3), np.uint64)], [np.empty(0, y.dtype)]
             for block in blocks(batch.column(0)):
-                orders, limits = _expressions(block)
-                owner = text_of(limits).astype(np.uint64)
-                for hashes in orders:
-                    _, at = np.unique(mix(hashes + owner * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-                    at = at[hashes[at] != 0]
-                    found.append(hashes[at])
-                    marks.append(y[block.first + owner[at].astype(np.int64)])
-            keys, where = np.unique(np.concatenate(found), return_inverse=True)
-            toxic = np.bincount(where, weights=np.concatenate(marks), minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(np.bincount(where, minlength=len(keys)) - toxic)], ["key", "toxic", "ordinary"])
-
-    counts = map_batches(sample.where("not fits").select("text", "y"), count, "key long, toxic long, ordinary long")
-    counts = counts.groupBy("key").agg(F.sum("toxic").cast("double").alias("t"), F.sum("ordinary").cast("double").alias("o"))
-    counts = materialise(counts, "expressions")
-    documents = counts.where("key = 0").select("t", "o").head() or (0.0, 0.0)
-    counts = counts.where("key <> 0")
-    taken = [F.try_divide(F.sum(F.least(F.col(c), F.lit(DISCOUNT))), F.sum(c)) for c in ("t", "o")]
-    weights = counts.agg(*taken).head()
-    keys = ratios = np.empty(0)
-    if all(documents) and all(weights):
-        # an expression of fewer documents has the ratio 0
-        known = counts.where(F.col("t") + F.col("o") > DISCOUNT).toArrow()
-        keys = known["key"].to_numpy().view(np.uint64)
-        if len(keys):
-            ratios = evidence_of(known["t"].to_numpy(), known["o"].to_numpy(), tuple(documents), tuple(weights))
-        keys, ratios = keys[ratios != 0], ratios[ratios != 0]
-        order = np.argsort(keys)
-        keys, ratios = keys[order], ratios[order]
-    model = Model(keys.astype(np.uint64), ratios.astype(float), (0.0, 0.0, 0.0))
+                words, before, limits = _words(block)
+                earlier = np.concatenate([[START], before[:-1]]) if len(before) else before
+                earlier[before == START] = START
+                owner = text_of(limits)
+                place = (np.uint64(block.first) + owner.astype(np.uint64)) * np.uint64(2) + np.uint64(1)
+                found += [np.stack([np.zeros_like(words), words, place], axis=1), np.stack([before, words, earlier], axis=1)]
+                marks += [y[block.first + owner]] * 2
+            every, mark = np.concatenate(found), np.concatenate(marks)
+            name = _pair(_pair(every[:, 0], every[:, 1]), every[:, 2])
+            _, first = np.unique(name * np.uint64(2) + mark.astype(np.uint64), return_index=True)
+            every, mark = every[first], mark[first]
+            alone = every[:, 0] == 0
+            # documents of one batch are told apart from those of others by being counted here
+            _, at, where = np.unique(every[alone, 1], return_index=True, return_inverse=True)
+            t = np.bincount(where, weights=mark[alone], minlength=len(at))
+            o = np.bincount(where, minlength=len(at)) - t
+            rows = np.concatenate([every[alone][at] * np.array([1, 1, 0], np.uint64), every[~alone]]).view(np.int64)
+            t, o = np.concatenate([t, mark[~alone] == 1]), np.concatenate([o, mark[~alone] == 0])
+            yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k]) for k in range(3)), pa.array(t, pa.float64()), pa.array(o, pa.float64())], ["v", "w", "u", "t", "o"])
+
+    found = map_batches(sample.where("not fits").select("text", "y"), count, "v long, w long, u long, t double, o double")
+    words = found.where("v = 0").groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).withColumn("b", F.col("t") + F.col("o"))
+    once = found.where("v <> 0").groupBy("v", "w", "u").agg(F.max("t").alias("t"), F.max("o").alias("o"))
+    pairs = once.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").cast("double").alias("b"))
+    *parts, unknown = _parts(materialise(words.unionByName(pairs), "expressions"))
+    model = Model(*parts, unknown, (0.0, 0.0, 0.0))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
