@@ -21,6 +21,19 @@ def load(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return framing.read_streams(spark, path, glob)
 
 
+def _framed(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Frames and sizes of streams (stream_id, data), or of what the source ``framed`` reads, which are frames already.
+
+    Of the latter, what follows the last frame and resynchronisations aren't known.
+    """
+    if "au_offset" not in streams.columns:
+        return framing.frames(streams), framing.stream_sizes(streams)
+    end = F.max(F.col("au_offset") + F.octet_length("data"))
+    none = F.lit(0).cast("long")
+    sizes = streams.groupBy("stream_id").agg(F.count("*").alias("frames"), end.cast("long").alias("bytes"))
+    return streams, sizes.withColumns({"trailing_bytes": none, "resyncs": none})
+
+
 def summary(units: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row a stream: its configuration, counts, rates and duration."""
     first = units.groupBy("stream_id").agg(
@@ -66,8 +79,9 @@ def summary(units: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def info(streams: DataFrame) -> DataFrame:
-    """What each stream is: one row, without looking at its blocks' contents again."""
-    return summary(parsing.units(framing.frames(streams)), framing.stream_sizes(streams))
+    """What each stream is: one row.  ``streams`` are whole (stream_id, data), or frames as the source ``framed`` reads them from files of any length."""
+    framed, sizes = _framed(streams)
+    return summary(parsing.units(framed), sizes)
 
 
 @dataclass
@@ -88,13 +102,13 @@ class Verification:
 
 
 def verify(streams: DataFrame, fail_on: str = "error", max_per_rule: int = 10, buffers: bool = True, strict: bool = False, tolerant: bool = True) -> Verification:
-    """Every rule over every stream.
+    """Every rule over every stream; ``streams`` as for :func:`info`.
 
     ``fail_on`` is the least severity that fails a stream; ``strict`` lowers it
     to a warning, and never ends a unit.  A limit of 0 shows all diagnostics of
     a rule.  ``tolerant`` takes a break at a major sync for a splice.
     """
-    framed = framing.frames(streams)
+    framed, sizes = _framed(streams)
     units = materialise(parsing.units(framed), "units")
     shared = conformance.follow(units, buffers, tolerant)
     found = materialise(conformance.diagnostics(units, buffers, tolerant, shared), "diagnostics")
@@ -102,7 +116,7 @@ def verify(streams: DataFrame, fail_on: str = "error", max_per_rule: int = 10, b
     totals = tally.severity_totals(found)
     config = shared.units.where("config is not null").groupBy("stream_id").agg(F.min_by("config", "au").alias("config"))
     by_rule = counts.groupBy("stream_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "count")))).alias("by_rule"), F.sum("count").alias("diagnostics"))
-    joined = summary(units, framing.stream_sizes(streams)).join(totals, "stream_id", "left").join(by_rule, "stream_id", "left").join(config, "stream_id", "left")
+    joined = summary(units, sizes).join(totals, "stream_id", "left").join(by_rule, "stream_id", "left").join(config, "stream_id", "left")
     parts = [facts.sizes_and_latency(shared.units), report.max_data_rate(shared.units), facts.substream_properties(shared), facts.branch_list(shared)]
     if buffers:
         parts.append(facts.buffer_peaks(shared.depths))
@@ -127,7 +141,7 @@ def decode(streams: DataFrame, presentations: list[int] | None = None, dither_ta
     second and third restart syntax may ask for; it is read on the driver.
     """
     table = dither.load(dither_table) if dither_table else None
-    samples = parsing.pcm(framing.frames(streams), [3] if presentations is None else presentations, table)
+    samples = parsing.pcm(_framed(streams)[0], [3] if presentations is None else presentations, table)
     if keep_repeated:
         return samples
     samples = materialise(samples, "samples")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,14 +11,16 @@ from pyspark.sql import functions as F
 from tessera.kernels import hires, splices
 
 FOLLOWED = "stream_id string, au long, epoch long, unwrapped long, advance int, failed array<string>, valid boolean, rules array<string>"
+#: Rows handed on at once.
+FLUSHED = 2_000
 HIRES = "stream_id string, substream int, au long, start long, rule string"
 
 
 def followed(units: DataFrame, tolerant: bool = True) -> DataFrame:
     """Each unit's epoch and clock, and splices; ``units`` as from conformance.configured.
 
-    The state runs through a whole stream, so one task follows one stream; a
-    row is some fifty bytes, whatever the unit holds.
+    The state runs through a whole stream, so one task follows one stream, in
+    memory of bounded size; a row is some fifty bytes, whatever the unit holds.
     """
     first = F.get(F.filter("restarts", lambda r: (r["substream"] == 0) & (r["block"] == 0)), F.lit(0))["output_timing"]
     now = F.col("now")
@@ -24,24 +28,15 @@ def followed(units: DataFrame, tolerant: bool = True) -> DataFrame:
         "stream_id", "au", F.col("input_timing").alias("input"), "length", now["samples"].alias("samples"), now["frequency"].alias("frequency"), now["peak"].alias("peak"), now["variable_rate"].alias("variable"), first.alias("output")
     )
 
+    names = [f.split()[0] for f in FOLLOWED.split(", ")]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.string()))
+
     def run(batches):
-        stream, buffer = None, []
-
-        def flush():
-            found = [{"stream_id": stream} | r for r in splices.follow(buffer, tolerant)]
-            names = [f.split()[0] for f in FOLLOWED.split(", ")]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in found], k) for n, k in zip(names, kinds, strict=True)], names)
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["stream_id"] != stream:
-                    if buffer:
-                        yield flush()
-                    stream, buffer = row["stream_id"], []
-                buffer.append(row)
-        if buffer:
-            yield flush()
+        # row by row: what is held is the state and one batch, however long the stream
+        every = (row for batch in batches for row in batch.to_pylist())
+        found = ({"stream_id": stream} | r for stream, rows in itertools.groupby(every, lambda r: r["stream_id"]) for r in splices.follow(rows, tolerant))
+        while part := list(itertools.islice(found, FLUSHED)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in part], k) for n, k in zip(names, kinds, strict=True)], names)
 
     return rows.repartition("stream_id").sortWithinPartitions("stream_id", "au").mapInArrow(run, FOLLOWED)
 

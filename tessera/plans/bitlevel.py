@@ -124,7 +124,7 @@ x AS (SELECT p_partkey, labels, unnest(range(1, len(labels) + 1)) AS i FROM l)
 SELECT p_partkey, CAST(i - 1 AS INTEGER) AS channel, labels[i] AS label FROM x"""
 
 
-def q8_sync_scan(spark, sf_dir):
+def q8_marker_scan(spark, sf_dir):
     """The first marker from the fifth byte on, by whole bytes, and how many there are."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     after = F.instr(F.substring("html", 5, 1 << 30), "</p>")
@@ -225,7 +225,7 @@ QUERIES = {
     "q5_presentation_map": (q5_presentation_map, Q5),
     "q6_presentation_type": (q6_presentation_type, Q6),
     "q7_labels_from_bitmask": (q7_labels_from_bitmask, Q7),
-    "q8_sync_scan": (q8_sync_scan, Q8),
+    "q8_marker_scan": (q8_marker_scan, Q8),
     "q31_dither_lfsr": (q31_dither_lfsr, Q31),
     "q32_hmac_verify": (q32_hmac_verify, Q32),
     "q33_bcd_timestamp": (q33_bcd_timestamp, Q33),

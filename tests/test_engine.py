@@ -378,6 +378,13 @@ def test_framed_source(spark, tmp_path):
         got = sorted((r.au, r.au_offset, r.segment, r.is_major, bytes(r.data)) for r in rows if r.stream_id.endswith(name))
         assert got == expected
     assert {r.stream_id[-5:] for r in rows} == {"a.bin", "b.bin"}
+    # its frames go where whole streams go
+    read = spark.read.format("framed").option("suffix", ".bin").load(f"file://{tmp_path}").where("stream_id like '%a.bin'")
+    whole = api.load(spark, str(tmp_path), "a.bin")
+    columns = ["syntax", "access_units", "frames", "bytes", "duration", "fifo_peaks", "by_rule", "verdict"]
+    assert api.verify(read).summary.select(*columns).collect() == api.verify(whole).summary.select(*columns).collect()
+    pcm = [b"".join(bytes(r.pcm) for r in api.decode(x, [0]).orderBy("au").collect()) for x in (read, whole)]
+    assert pcm[0] == pcm[1] and api.info(read).head().access_units == 40
 
 
 def test_master_document():
