@@ -4,13 +4,16 @@ A document is described by two histograms: its code points by character class
 and its words by common word (everything else in one bucket).  A language
 reference is the mean of the normalised histograms of all distinct texts of
 that language that pass the base rules, so copies have no weight; the mean over
-the distinct texts of all languages takes part like a few texts more, so one
-odd text under a language of its own is no reference.  A document is judged by the
-Jensen-Shannon distance to the nearest reference; texts under a minimum length
+the distinct texts of all languages takes part like a few texts more.  A
+language has a reference if it has MIN_TEXTS distinct texts and 1 / MOST_LANGUAGES
+of all texts, so there are at most MOST_LANGUAGES, whatever the column holds.
+A document is judged by the Jensen-Shannon distances to the reference of its
+own language; where that has none, or the document is far from it (its language
+may be given wrongly), by those to the nearest reference of all.  Texts under a minimum length
 carry too little evidence for a histogram and are left to the base rules.
 
 Defined cases: a null or empty text has no words, zero counts and fails the
-base rules; a null language takes part under its own name and never fails;
+base rules; a null language is one like others; without any reference the base rules decide;
 repeated rows and ties are judged row by row; an empty table gives an empty
 result; extra columns of the input are not read, so their names cannot clash.
 """
@@ -38,6 +41,8 @@ SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 50
 #: Texts of a language that the mean over all languages stands for.
 PRIOR_TEXTS = 3
+#: Distinct texts that make a reference, and the most references there are.
+MIN_TEXTS, MOST_LANGUAGES = 8, 1024
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a kept document: a limit for long
 #: texts, and an allowance over the square root of the word count for the noise of short ones.
 MAX_CLASS_DISTANCE = (0.11, 1.0)
@@ -183,27 +188,29 @@ def base_failed() -> Column:
 
 
 def references(measured: DataFrame, lang: str = "lang", copy: str = "__copy") -> dict[str, dict[str, list[float]]]:
-    """For each language the mean normalised histograms over all its distinct texts that pass the base rules.
+    """For each language with enough texts the mean normalised histograms over all its distinct texts that pass the base rules.
 
-    Rows with the same ``copy`` are one text.  The result holds one vector for
-    each language and histogram, whatever the number of documents.
+    Rows with the same ``copy`` are one text.  At most MOST_LANGUAGES vectors
+    reach the driver, whatever the number of documents and languages.
     """
     shapes = (("classes", len(CLASSES)), ("common", len(common_words()) + 1))
-    passing = measured.where(~base_failed()).groupBy(copy).agg(F.first("classes").alias("classes"), F.first("common").alias("common"), F.collect_set(F.coalesce(F.col(lang).cast("string"), F.lit(""))).alias("langs"))
-    sums = []
-    for name, size in shapes:
-        total = F.aggregate(name, F.lit(0), lambda a, x: a + x)
-        passing = passing.withColumn(f"n_{name}", total)
-        sums += [F.avg(F.col(name)[i] / F.col(f"n_{name}")).alias(f"{name}_{i}") for i in range(size)]
-    # the null language is the mean over all
-    each = passing.withColumn("lang", F.explode(F.concat("langs", F.array(F.lit(None).cast("string")))))
-    rows = {row["lang"]: row for row in each.groupBy("lang").agg(F.count("*").alias("n"), *sums).collect()}
-    overall = rows.pop(None, None)
-    out = {}
-    for key, row in rows.items():
-        mix_in = lambda c, n=row["n"], row=row: (n * (row[c] or 0.0) + PRIOR_TEXTS * (overall[c] or 0.0)) / (n + PRIOR_TEXTS)
-        out[key] = {name: [mix_in(f"{name}_{i}") for i in range(size)] for name, size in shapes}
-    return out
+    passing = measured.where(~base_failed()).select(F.col(copy).alias("copy"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), "classes", "common")
+    texts = passing.groupBy("copy", "lang").agg(F.any_value("classes").alias("classes"), F.any_value("common").alias("common"))
+    counts = materialise(texts.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    least = max(MIN_TEXTS, -(-(counts.agg(F.sum("n")).head()[0] or 0) // MOST_LANGUAGES))
+    large = F.broadcast(counts.where(F.col("n") >= least).select("lang"))
+
+    def means(frame: DataFrame, *by: str) -> list:
+        sums = []
+        for name, size in shapes:
+            frame = frame.withColumn(f"n_{name}", F.aggregate(name, F.lit(0), lambda a, x: a + x))
+            sums += [F.avg(F.col(name)[i] / F.col(f"n_{name}")).alias(f"{name}_{i}") for i in range(size)]
+        return frame.groupBy(*by).agg(F.count("*").alias("n"), *sums).collect()
+
+    rows = means(texts.join(large, "lang"), "lang")
+    overall = means(passing.groupBy("copy").agg(F.any_value("classes").alias("classes"), F.any_value("common").alias("common")))[0]
+    mixed = lambda row, c: (row["n"] * (row[c] or 0.0) + PRIOR_TEXTS * (overall[c] or 0.0)) / (row["n"] + PRIOR_TEXTS)
+    return {row["lang"]: {name: [mixed(row, f"{name}_{i}") for i in range(size)] for name, size in shapes} for row in rows}
 
 
 def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
@@ -219,33 +226,47 @@ def divergence(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, out, 1.0)
 
 
-def judge(measured: DataFrame, refs: dict[str, dict[str, list[float]]]) -> DataFrame:
-    """Adds base_failed, the distances to the nearest reference and kept."""
-    models = [(np.array(r["classes"]), np.array(r["common"])) for _, r in sorted(refs.items())]
-    fields = measured.schema.fields
-    n_in = len(fields)
+def _far(words: np.ndarray, distances: np.ndarray) -> np.ndarray:
+    """Which rows are over the limits for their length."""
+    root = np.sqrt(np.maximum(words, 1))
+    over = [distances[:, k] > limit + noise / root for k, (limit, noise) in enumerate((MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE))]
+    return over[0] | over[1]
+
+
+def judge(measured: DataFrame, refs: dict[str, dict[str, list[float]]], lang: str = "lang") -> DataFrame:
+    """Adds class_distance and word_distance to the reference that counts, base_failed and kept."""
+    names = sorted(refs)
+    models = [(np.array(refs[n]["classes"]), np.array(refs[n]["common"])) for n in names]
+    number = {n: k for k, n in enumerate(names)}
+    columns = measured.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            grids = [batch.column(names.index(c)).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("classes", "common")]
-            best = np.full((n, 2), np.inf)
-            for reference in models:
-                far = np.stack([divergence(g, r) for g, r in zip(grids, reference, strict=True)], axis=1)
-                nearer = far.sum(axis=1) < best.sum(axis=1)
-                best[nearer] = far[nearer]
-            if not models:  # nothing to compare with
-                best[:] = 0
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_in)] + [pa.array(best[:, 0]), pa.array(best[:, 1])], [*names, "class_distance", "word_distance"])
-
-    names = [f.name for f in fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    far = map_batches(measured, run, f"{schema}, class_distance double, word_distance double")
-    over = [F.col(name) > limit + noise / F.sqrt(F.greatest("n_words", F.lit(1))) for name, (limit, noise) in (("class_distance", MAX_CLASS_DISTANCE), ("word_distance", MAX_WORD_DISTANCE))]
-    odd = (F.col("n_words") >= MIN_WORDS) & (over[0] | over[1])
-    return far.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~odd)
+            grids = [batch.column(columns.index(c)).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("classes", "common")]
+            words = batch.column(columns.index("n_words")).to_numpy()
+            own = np.array([number.get(str(x or ""), -1) for x in batch.column(columns.index(lang)).to_pylist()])
+            best = np.full((n, 2), np.inf if models else 0.0)
+
+            def distances(k: int, rows: np.ndarray, grids: list[np.ndarray] = grids) -> np.ndarray:
+                return np.stack([divergence(g[rows], r) for g, r in zip(grids, models[k], strict=True)], axis=1)
+
+            for k in np.unique(own[own >= 0]).tolist():
+                rows = np.flatnonzero(own == k)
+                best[rows] = distances(k, rows)
+            rest = np.flatnonzero(_far(words, best)) if models else np.empty(0, int)
+            for k in range(len(models)):
+                found = distances(k, rest)
+                nearer = found.sum(axis=1) < best[rest].sum(axis=1)
+                best[rest[nearer]] = found[nearer]
+            odd = (words >= MIN_WORDS) & _far(words, best)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best[:, 0]), pa.array(best[:, 1]), pa.array(odd)], [*columns, "class_distance", "word_distance", "__odd"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields)
+    far = map_batches(measured, run, f"{schema}, class_distance double, word_distance double, __odd boolean")
+    return far.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.col("__odd")).drop("__odd")
 
 
 def quality(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
@@ -257,7 +278,7 @@ def quality(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "l
     columns = list(dict.fromkeys([*keep, lang]))
     marked = docs.withColumn("__copy", F.xxhash64(F.col(text).cast("string")))
     measured = materialise(features(marked, [*columns, "__copy"], text), "quality")
-    return judge(measured, references(measured, lang)).drop("__copy")
+    return judge(measured, references(measured, lang), lang).drop("__copy")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
