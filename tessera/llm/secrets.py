@@ -4,7 +4,13 @@ Base kinds (leftmost, non-overlapping per kind, failing matches consumed):
 ``assign``, ``access`` and ``hex``.  The method adds ``random``: tokens whose
 character transitions are likelier under a Markov model of random strings than
 under one of ordinary identifiers, by log-likelihood ratio per transition, and
-that overlap no base span.  Both models are counted from labelled samples.
+that overlap no base span.  Both models are counted from labelled samples:
+from documents, the values of base spans are random and all other tokens
+ordinary; digests and joined word parts are generated beside them, so that
+collections without secrets or without identifiers have both.
+
+Bounds: about SAMPLED_ROWS documents with an identifier are sampled (by hash,
+so the same ones each time), and each distinct token of theirs counts once.
 
 Java's regular expressions give the matches and the gaps between them; running
 sums of both lengths are the positions, taken in blocks so that a text with
@@ -17,6 +23,7 @@ are (the operator's own are named by the caller).  Whole texts are scanned.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +47,11 @@ MASK = "[secret]"
 _BLOCK = 256
 _SIDE = 128
 
+#: Documents that the models are counted from, about.
+SAMPLED_ROWS = 2_000
+#: Shortest token that is learnt from.
+MIN_TOKEN = 8
+
 #: Parts of ordinary identifiers for the built-in sample.
 PARTS = (
     "get set make read write open close load save find list user name file path data table index value count total first last next "
@@ -49,7 +61,7 @@ PARTS = (
 ).split()
 
 
-def labelled_sample(spark: SparkSession, rows: int = 4000) -> DataFrame:
+def generated_sample(spark: SparkSession, rows: int = 4000) -> DataFrame:
     """A generated sample (token, is_random) of ``rows`` of each kind: digests in three alphabets, and joined word parts."""
     ids = spark.range(rows)
     digest = F.sha2(F.col("id").cast("string"), 512)
@@ -68,6 +80,26 @@ def labelled_sample(spark: SparkSession, rows: int = 4000) -> DataFrame:
     return ids.select(random.alias("token"), F.lit(True).alias("is_random")).unionAll(ids.select(ordinary.alias("token"), F.lit(False).alias("is_random")))
 
 
+def labelled_sample(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLED_ROWS) -> DataFrame:
+    """(token, is_random): the distinct tokens of about ``rows`` documents, labelled by the base kinds, and the generated sample."""
+    scale = 1 << 20
+    share = min(scale, math.ceil(rows / max(docs.count(), 1) * scale))
+    picked = docs.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(23)), F.lit(scale)) < share))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    values = F.concat(
+        F.transform(F.regexp_extract_all(body, F.lit(PATTERNS["assign"]), F.lit(0)), lambda m: F.regexp_replace(m, ASSIGN_HEAD, "")),
+        F.regexp_extract_all(body, F.lit(PATTERNS["access"]), F.lit(0)),
+        F.regexp_extract_all(body, F.lit(PATTERNS["hex"]), F.lit(0)),
+    )
+    plain = body
+    for kind in BASE_KINDS:
+        plain = F.regexp_replace(plain, PATTERNS[kind], " ")
+    found = picked.select(values.alias("r"), F.regexp_extract_all(plain, F.lit(f"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}+"), F.lit(0)).alias("o"))
+    random = found.select(F.explode("r").alias("token"), F.lit(True).alias("is_random")).where(F.length("token") >= MIN_ACCESS)
+    ordinary = found.select(F.explode("o").alias("token"), F.lit(False).alias("is_random"))
+    return random.unionAll(ordinary).distinct().unionAll(generated_sample(docs.sparkSession))
+
+
 def train(sample: DataFrame) -> list[float]:
     """Log2 likelihood ratios of all transitions between ASCII characters, with add-one-half smoothing.
 
@@ -147,7 +179,7 @@ def find_secrets(docs: DataFrame, ratios: list[float], text: str = "text", into:
     out = docs
     for kind in KINDS:  # a text without matches costs one search
         out = out.withColumn(names[kind], F.when(body.rlike(PATTERNS[kind]), _matches(body, PATTERNS[kind])).otherwise(none))
-    table = F.array(*[F.lit(x) for x in ratios])
+    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # one literal, read once
     good = {
         "assign": lambda s: F.length(F.regexp_replace(s["value"], ASSIGN_HEAD, "")) >= MIN_VALUE,
         "access": lambda s: F.length(s["value"]) >= MIN_ACCESS,
@@ -188,7 +220,7 @@ def masked(text: Column, spans: Column) -> Column:
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Counts, the digest of the base spans and all spans for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_secrets(docs, train(labelled_sample(spark)))
+    found = find_secrets(docs, train(labelled_sample(docs)))
     count = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long")
     return found.select(
         "doc_id",

@@ -102,3 +102,21 @@ def test_query_returns_whole_texts(spark):
     rows = pieces.op6_segmentations(spark, base).collect()
     assert {r.doc_id for r in rows} == set(docs) and {r["rank"] for r in rows} == {1, 2, 3}
     assert all(r.text_crc32 == zlib.crc32(docs[r.doc_id].encode()) for r in rows)
+
+
+def test_long_words_equal_short_ones(vocabulary, monkeypatch):
+    """Edge by edge or side by side, ties included; a text without a space takes seconds, not minutes."""
+    import time
+
+    rng = random.Random(8)
+    texts = TEXTS + ["".join(rng.choice(["a", "n", "th", "e", "é", "①", "in", "ing", "tion"]) for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    default = list(pieces.Encoder(vocabulary).encode(texts))
+    for limit in (0, 100_000):
+        monkeypatch.setattr(pieces, "LONG", limit)
+        assert list(pieces.Encoder(vocabulary).encode(texts)) == default
+    monkeypatch.undo()
+    text = "".join(rng.choice("abcdefghinorst") for _ in range(200_000))
+    began = time.process_time()
+    (best, *others), = pieces.Encoder(vocabulary).encode([text])
+    assert time.process_time() - began < 60 and len(others) == 2 and best[0] >= others[0][0] >= others[1][0]
+    assert all(pieces.decode(vocabulary, np.frombuffer(ids, "<u4").tolist()) == text for _, ids in (best, *others))

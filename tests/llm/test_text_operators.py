@@ -111,6 +111,68 @@ def test_copies_and_lone_languages_are_no_reference(spark):
     assert all(r.kept == bool(r.good) for r in judged)
 
 
+def _histograms(text):
+    """Both histograms character by character and word by word, normalised."""
+    names, stops, spaces = quality.CLASSES, ".,", " \t"
+    classes, words = collections.Counter(), collections.Counter()
+    for c in text:
+        width = len(c.encode())
+        kind = ("two", "three", "four")[width - 2] if width > 1 else "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "digit" if c.isdigit() else "space" if c in spaces else "newline" if c in "\n\r" else "stop" if c in stops else "symbol" if c in "#*$%&|<>" else "punctuation" if "!" <= c <= "~" else "control"
+        classes[names.index(kind)] += 1
+    common = quality.common_words()
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text):
+        word = "".join(c.lower() if "A" <= c <= "Z" else c for c in word)
+        word = word[:-1] if word[-1] in ".,;:!?" and len(word) > 1 else word
+        words[common.index(word) if word in common else len(common)] += 1
+    return [np.array([h[i] for i in range(n)]) / max(sum(h.values()), 1) for h, n in ((classes, len(names)), (words, len(common) + 1))]
+
+
+def _distance(p, q):
+    m = (p + q) / 2
+    kl = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+    return np.sqrt(max(kl(p) + kl(q), 0) / 2)
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(10_000 + i, "zz " * (60 + i) + "yy " * i, "xx") for i in range(3)] + [(10_010, None, None), (10_011, "", "en"), (10_012, "der die das " * 40, "en")]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(4)
+    rows = {r.doc_id: r for r in docs.collect()}
+    found = {r.doc_id: r for r in quality.quality(docs, ["doc_id"]).collect()}
+    counts = {i: _counts(r.text or "") for i, r in rows.items()}
+    failed = {i: c[0] < 50 or 100 * c[4] > 50 * c[0] for i, c in counts.items()}
+    shapes = {i: _histograms(r.text or "") for i, r in rows.items()}
+    by_lang, every = collections.defaultdict(dict), {}
+    for i, r in rows.items():
+        if not failed[i]:
+            by_lang[r.lang or ""][r.text] = every[r.text] = shapes[i]
+    total = [np.mean([s[k] for s in every.values()], axis=0) for k in (0, 1)]
+    refs = {}
+    for lang, texts in by_lang.items():
+        if len(texts) >= max(quality.MIN_TEXTS, sum(map(len, by_lang.values())) / quality.MOST_LANGUAGES):
+            refs[lang] = [(sum(s[k] for s in texts.values()) + quality.PRIOR_TEXTS * total[k]) / (len(texts) + quality.PRIOR_TEXTS) for k in (0, 1)]
+    assert refs and "xx" not in refs
+    limits = (quality.MAX_CLASS_DISTANCE, quality.MAX_WORD_DISTANCE)
+    far = lambda n, d: any(d[k] > limit + noise / np.sqrt(max(n, 1)) for k, (limit, noise) in enumerate(limits))
+    for i, r in rows.items():
+        n = counts[i][0]
+        to = lambda ref: [1.0 if not n else _distance(shapes[i][k], ref[k]) for k in (0, 1)]  # noqa: B023, E731
+        best = to(refs[r.lang or ""]) if (r.lang or "") in refs else None
+        if best is None or far(n, best):
+            best = min(([best] if best else []) + [to(refs[x]) for x in sorted(refs)], key=sum)
+        got = found[i]
+        assert (got.base_failed, got.kept) == (failed[i], not failed[i] and not (n >= 50 and far(n, best))), (i, best)
+        if n:
+            assert abs(got.class_distance - best[0]) < 1e-6 and abs(got.word_distance - best[1]) < 1e-6
+
+
+def test_very_many_languages_have_few_references(spark):
+    docs = spark.createDataFrame([(i, f"language{i}", " ".join(f"w{i}x{j}" for j in range(60))) for i in range(3000)], "doc_id long, lang string, text string")
+    marked = docs.withColumn("__copy", F.col("doc_id"))
+    refs = quality.references(quality.features(marked, ["doc_id", "lang", "__copy"]))
+    assert refs == {} and quality.quality(docs, ["doc_id"]).where("kept").count() == 3000
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -176,7 +238,7 @@ def test_secrets_equal_brute_force(spark):
     pieces = ["password", "token", ": ", "=", "'", '"', "abc", "AKIA", "ABCDEFGH12345678", "deadbeef", "0123456789abcdef", " ", "\n", "é😀", "api_key", "x", "Secret", "apikey", "//", "."]
     texts = [*_random_texts(pieces, 1500, 30, 5), "token=abcdefgh " * 3000, None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(8)
-    ratios = secrets.train(secrets.labelled_sample(spark))
+    ratios = secrets.train(secrets.generated_sample(spark))
     for row in secrets.find_secrets(docs, ratios).withColumn("masked", secrets.masked(F.coalesce("text", F.lit("")), F.col("spans"))).collect():
         text, spans = row.text or "", [(s.start, s.kind, s.end) for s in row.spans]
         assert [s for s in spans if s[1] < 3] == _base_secrets(text), text
@@ -184,15 +246,68 @@ def test_secrets_equal_brute_force(spark):
 
 
 def test_markov_model_tells_random_from_ordinary(spark):
-    ratios = secrets.train(secrets.labelled_sample(spark))
+    ratios = secrets.train(secrets.generated_sample(spark))
     tokens = {"aK8s9dfLkj3n4Bv7Qwe2Rt6x": 1, "ghp_A8d7Fh3kLm9Qw2Er5Ty6Ui1Op0Zx": 1, "getUserNameFromTable2020": 0, "my-project-version-12-release": 0, "anexcessivelylongordinaryword": 0}
     docs = spark.createDataFrame([(t, f"see {t} there") for t in tokens], "t string, text string")
     for row in secrets.find_secrets(docs, ratios).collect():
         assert [s.kind for s in row.spans] == [3] * tokens[row.t], row.t
 
 
+def test_markov_spans_equal_brute_force(spark):
+    """The sample, the counts, the ratios and the added spans, recomputed."""
+    rng = random.Random(30)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(3, 9)))
+    texts = []
+    for i in range(300):
+        parts = [word() for _ in range(12)] + ["_".join(word() for _ in range(4)) + str(rng.randint(0, 99))]
+        if i % 2:
+            parts.append(rng.choice(["", "password=", "é "]) + "".join(rng.choice(alnum) for _ in range(rng.randint(15, 40))))
+        if i % 7 == 0:
+            parts.append("AKIA" + "".join(rng.choice(alnum[:26] + "0123456789") for _ in range(20)))
+        rng.shuffle(parts)
+        texts.append(rng.choice([" ", "\n", "; "]).join(parts))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "aKd8"), (900, None)], "doc_id long, text string")
+    sample = secrets.labelled_sample(docs, rows=10_000)
+    tokens = {(r.token, r.is_random) for r in secrets.generated_sample(spark).collect()}
+    generated = list(secrets.generated_sample(spark).collect())
+    own = set()
+    for t in texts:
+        left = t
+        for m in ASSIGN.finditer(t):
+            own.add((m[1], True))
+        for pattern in (r"AKIA[A-Z0-9]+", r"[0-9a-f]{24,}"):
+            own.update((x, True) for x in re.findall(pattern, t))
+        for pattern in (ASSIGN, r"AKIA[A-Z0-9]+", r"[0-9a-f]{24,}"):
+            left = re.sub(pattern, " ", left)
+        own.update((x, False) for x in re.findall(r"[A-Za-z0-9+/_=-]{8,}", left))
+    own = {x for x in own if not x[1] or len(x[0]) >= 20}
+    assert collections.Counter((r.token, r.is_random) for r in sample.collect()) == collections.Counter(own) + collections.Counter((r.token, r.is_random) for r in generated)
+    assert tokens and any(k for _, k in own)
+    counts = {True: collections.Counter(), False: collections.Counter()}
+    for token, kind in [*own, *((r.token, r.is_random) for r in generated)]:
+        counts[kind].update(zip(token, token[1:], strict=False))
+    total = {k: collections.Counter() for k in counts}
+    for k, c in counts.items():
+        for (a, _), n in c.items():
+            total[k][a] += n
+
+    def ratio(token):
+        p = lambda k, a, b: (counts[k][a, b] + 0.5) / (total[k][a] + 0.5 * 66)
+        return sum(round(np.log2(p(True, a, b) / p(False, a, b)), 4) for a, b in zip(token, token[1:], strict=False)) / (len(token) - 1)
+
+    added = 0
+    for r in secrets.find_secrets(docs, secrets.train(sample)).collect():
+        text = r.text or ""
+        base = _base_secrets(text)
+        expected = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and ratio(m[0]) >= secrets.MIN_RATIO and not any(a < m.end() and m.start() < e for a, _, e in base)]
+        added += len(expected)
+        assert [(s.start, s.kind, s.end) for s in r.spans] == sorted(base + expected), text
+    assert added > 20
+
+
 def test_secrets_on_odd_rows(spark, odd):
-    ratios = secrets.train(secrets.labelled_sample(spark))
+    ratios = secrets.train(secrets.labelled_sample(odd))
     assert secrets.find_secrets(odd, ratios, into="found").where("size(found) = 0").count() == len(ODD)
     assert secrets.find_secrets(odd.limit(0), ratios).count() == 0
 
@@ -205,36 +320,90 @@ def test_toxicity_held_out_accuracy(spark):
     assert sum(r.predicted for r in out if not r.toxic) <= 0.01 * len(out)
 
 
-def test_toxicity_score_equals_its_definition(spark):
+def _kneser_ney(docs):
+    """Counts, P(w | class), P(w | v, class) and the log ratio by dictionaries; ``docs`` is [(words, toxic)]."""
+    words, behind = [collections.Counter(), collections.Counter()], [set(), set()]
+    for text, toxic in docs:
+        words[toxic].update(set(text))
+        behind[toxic].update(zip([None, None, *text], [None, *text], text, strict=False))
+    pairs = [collections.Counter((v, w) for _, v, w in found) for found in behind]
+    both = words[0] + words[1]
+    d2, d1, d0 = toxicity.PAIR_DISCOUNT, toxicity.WORD_DISCOUNT, toxicity.SHARED_DISCOUNT
+    lost = lambda counts, d: sum(min(c, d) for c in counts)
+    shared = lambda w: max(both[w] - d0, 0) / sum(both.values()) + lost(both.values(), d0) / sum(both.values()) / (len(both) + 1)
+    total = [sum(c.values()) for c in words]
+
+    def word(w, k):
+        return max(words[k][w] - d1, 0) / total[k] + lost(words[k].values(), d1) / total[k] * shared(w)
+
+    def pair(v, w, k):
+        after = {x: n for (u, x), n in pairs[k].items() if u == v}
+        if not after:
+            return word(w, k)
+        n = sum(after.values())
+        return max(after.get(w, 0) - d2, 0) / n + lost(after.values(), d2) / n * word(w, k)
+
+    def ratio(v, w):
+        return np.log(pair(v, w, 1) / pair(v, w, 0))
+
+    return both, word, pair, ratio
+
+
+def test_toxicity_equals_kneser_ney_by_brute_force(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        toxic = int(i % 5 == 0)
+        text = [rng.choice(words[: rng.randint(2, 60)]) for _ in range(rng.randint(1, 25))]
+        if toxic and rng.random() < 0.9:
+            text += rng.choice([["you", "fool"], ["fool"], ["utter", "rubbish"]])
+        elif rng.random() < 0.2:
+            text += ["you", "there"]
+        rows.append((i, text, toxic))
+    docs = spark.createDataFrame([(i, " ".join(t).replace("fool", "Fool,")) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    fits = {r.id for r in labels.select(F.col("doc_id").alias("id")).where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(toxicity.CURVE_PART)) == 0).collect()}
+    both, word, pair, ratio = _kneser_ney([(t, y) for i, t, y in rows if i not in fits])
+    assert len(model.pairs.keys) > 0 and len(model.contexts.keys) > 0
+    for k in (0, 1):  # each distribution sums to 1 over all words and the unknown one
+        assert abs(sum(word(w, k) for w in [*both, "?"]) - 1) < 1e-9
+        for v in (None, "you", "utter", "w0", "nowhere"):
+            assert abs(sum(pair(v, w, k) for w in [*both, "?"]) - 1) < 1e-9
+    texts = [t for _, t, _ in rows[:60]] + [["you", "fool"], ["unseen", "fool"], ["w0"] * 30, []]
+    features = []
+    for text in texts:
+        gains = [np.log1p(toxicity.RATE * np.expm1(ratio(v, w))) for v, w in zip([None, *text], text, strict=False)]
+        features.append([sum(gains) / max(len(text), 1), sum(gains) / np.sqrt(max(len(text), 1))])
+    got = model.features(pa.array([" ".join(t) for t in texts]))
+    assert np.allclose(got, features, rtol=1e-9, atol=1e-12)
+    bias, *slopes = model.curve
+    expected = 1 / (1 + np.exp(-(bias + np.array(features) @ np.array(slopes))))
+    assert np.allclose(model.score(pa.array([" ".join(t) for t in texts])), expected)
+
+
+def test_toxicity_scores(spark):
     docs = spark.createDataFrame([(i, f"common words here {'awful' if i % 3 == 0 else 'fine'} number{i}") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(0, 1), (None, 1), (5, None)], "doc_id long, toxic int")
-    model = toxicity.train(docs, labels)
-    assert len(model.keys) >= 1 and (model.ratios[np.abs(model.ratios) > 0].size) == len(model.keys)
-    scores = model.score(pa.array(["awful", "Awful, awful!", "fine", "", None, "unseen words"]))
-    assert scores[0] > 0.9 and scores[1] > 0.9 and scores[2] < 0.5 and scores[3] == scores[4] == scores[5] < 0.5
+    scores = toxicity.train(docs, labels).score(pa.array(["awful", "Awful, awful!", "fine", "", None, "unseen words"]))
+    assert scores[0] > 0.9 and scores[1] > 0.9 and scores[2] < 0.5 and scores[3] == scores[4]
 
 
 def test_toxicity_learns_both_sides_at_an_even_balance(spark):
     docs = spark.createDataFrame([(i, f"common words here {'awful' if i % 2 else 'fine'} number{i}") for i in range(80)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    assert (model.ratios > 0).any() and (model.ratios < 0).any()
+    assert (model.words.values > 0).any() and (model.words.values < 0).any()
     marked, plain, unseen = model.score(pa.array(["awful", "fine", "unseen"]))
     assert marked > 0.9 and plain < 0.1 and marked > unseen > plain
 
 
-def test_toxicity_evidence_counts_every_expression():
-    # an expression of ordinary texts, one of toxic texts, one as common in both, a rarer one in a few more toxic texts
-    t, o = np.array([0.0, 60.0, 11.0, 3.0]), np.array([200.0, 0.0, 89.0, 2.0])
-    found = toxicity.evidence_of(t, o, (110.0, 890.0), (0.7, 0.5))
-    assert found[0] < -0.5 and found[1] > 1 and abs(found[2]) < 1e-12 and found[3] > 0
-
-
 def test_toxicity_keeps_every_expression(spark):
     long = " ".join(f"{i * 2654435761 % 4294967296:08x}" for i in range(110_000))
     docs = spark.createDataFrame([(i, long if i < 12 else "other words") for i in range(24)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 12)) for i in range(24)], "doc_id long, toxic int")
-    assert len(toxicity.train(docs, labels).keys) > 219_000
+    assert len(toxicity.train(docs, labels).words.keys) > 109_000
 
 
 def test_toxicity_on_odd_rows(spark, odd):
@@ -250,7 +419,7 @@ def _licences(text, threshold=licences.THRESHOLD):
     """Every statement against every template, without pruning."""
     low = (text or "").lower()
     found = {}
-    for statement in re.split(r"[.!?;]+\s+|[\r\n]+", low) + re.split(r"[.!?;]+\s+", re.sub(r"[\r\n]", " ", low)):
+    for statement in re.split(r"[.!?;]+\s+|[\r\n]+", low) + re.split(r"[.!?;]+\s+", re.sub(r"[\r\n]", " ", low)) + [low]:
         a = set(licences.bigrams(statement))
         best = min(((-2 * len(a & set(b)) / (len(a) + len(b)), name) for name, t in licences.TEMPLATES if (b := licences.bigrams(t))), default=(0, ""))
         if a and -best[0] >= threshold:
@@ -270,6 +439,7 @@ def test_licences_equal_brute_force(spark):
                 body[place : place + rng.randint(0, 2)] = rng.choice([[], ["other"], ["the", "licence"], ["été"]])
             parts.append((rng.choice(["\n", " ", "  "])).join(body) + rng.choice([".", ". ", "", "\n", "; "]))
         texts.append(rng.choice(["\n", " ", ". Then more words stand here. "]).join(parts))
+    texts += ["Copyright 2020 A. Person\n\n" + t.replace(". ", ".\n\n").replace(", ", ",\n") for _, t in licences.TEMPLATES[:5]]
     texts += [None, "", "no licence here", "ALL RIGHTS RESERVED", "Ⅻ All rights reserved é.", "word " * 5000 + "\nReleased under the MIT License.\n" + "word " * 5000]
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("found", F.lit(1))
     for r in licences.scan(docs).collect():
