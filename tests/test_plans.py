@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -34,3 +37,8 @@ def test_same_as_sql(spark, duck, name):
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(frame.columns)
     assert _normal([tuple(r) for r in frame.collect()], frame.columns) == _normal(result.fetchall(), columns)
+
+
+def test_the_entry_works_without_a_library_of_the_training_text_operators():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; names = set(e.queries()); assert 'q14_tally' in names and not [n for n in names if n.startswith('op')] and set(e.oracle_sql()) <= names"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
