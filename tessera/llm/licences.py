@@ -1,7 +1,8 @@
 """Licence scans with DataFrame expressions only.
 
 A text is cut into statements (at lines and sentence ends, and at sentence ends
-alone, so that wrapped notices count too).  A statement and a template are the
+alone, so that wrapped notices count too), and is one statement as a whole, for
+files that hold a licence and little else.  A statement and a template are the
 sets of the word bigrams of their normalised words: lower case, letters a to z
 and digits.  A statement bears a template's licence where their Dice
 coefficient, 2 |A and B| / (|A| + |B|), reaches the threshold and is its greatest (of equal
@@ -27,8 +28,21 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-# Notices and clauses as the licences word them.
+# Paragraphs of licences that are short enough to be whole files.
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_TAIL = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+
+# Notices and clauses as the licences word them, and whole licences.
 TEMPLATES = [
+    ("MIT", _MIT),
+    ("BSD-2-Clause", f"{_BSD_HEAD} {_BSD_TAIL}"),
+    ("BSD-3-Clause", f"{_BSD_HEAD} {_BSD_NAMES} {_BSD_TAIL}"),
+    ("ISC", _ISC),
+    ("Zlib", _ZLIB),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
     ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
@@ -99,7 +113,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     lower = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
     any_mark = "(?<![a-z0-9])(?:" + "|".join(marks) + ")(?![a-z0-9])"
     nothing = F.array().cast("array<string>")
-    cut = F.array_distinct(F.concat(F.split(F.col(names["low"]), r"[.!?;]+\s+|[\r\n]+", -1), F.split(F.translate(F.col(names["low"]), "\r\n", "  "), r"[.!?;]+\s+", -1)))
+    cut = F.array_distinct(F.concat(F.split(F.col(names["low"]), r"[.!?;]+\s+|[\r\n]+", -1), F.split(F.translate(F.col(names["low"]), "\r\n", "  "), r"[.!?;]+\s+", -1), F.array(F.col(names["low"]))))
     order = sorted({licence for licence, _ in templates})
     known = F.array(*[F.struct(F.lit(licence).alias("licence"), F.lit(-order.index(licence)).alias("minus"), F.lit(len(b)).alias("size"), F.array(*[F.lit(x) for x in b]).alias("bigrams")) for licence, t in templates if (b := bigrams(t))])
 
@@ -140,9 +154,9 @@ def oracle_sql() -> str:
     rows = ", ".join("('{}', [{}])".format(name, ", ".join(f"'{b}'" for b in bigrams(t))) for name, t in TEMPLATES)
     return rf"""WITH t(licence, b) AS (VALUES {rows}),
 l AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents),
-s AS (SELECT doc_id, unnest(list_concat(regexp_split_to_array(x, '[.!?;]+\s+|[\r\n]+'), regexp_split_to_array(replace(replace(x, chr(13), ' '), chr(10), ' '), '[.!?;]+\s+'))) AS u FROM l),
+s AS (SELECT doc_id, unnest(list_concat(regexp_split_to_array(x, '[.!?;]+\s+|[\r\n]+'), regexp_split_to_array(replace(replace(x, chr(13), ' '), chr(10), ' '), '[.!?;]+\s+'), [x])) AS u FROM l),
 w AS (SELECT doc_id, regexp_extract_all(u, '[a-z0-9]+') AS w FROM s),
-g AS (SELECT DISTINCT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1 AND len(w) < 2000),
+g AS (SELECT DISTINCT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
 m AS (SELECT doc_id, g, licence, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t WHERE len(b) >= len(g) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(b) <= len(g) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY dice DESC, licence) AS n FROM m WHERE dice >= {THRESHOLD}),
 h AS (SELECT doc_id, licence, max(dice) AS dice FROM o WHERE n = 1 GROUP BY ALL),
