@@ -47,6 +47,8 @@ BEST = 3
 CACHED = 300_000
 #: Words whose lattices are built at once.
 TOGETHER = 4000
+#: Words of more characters are followed edge by edge, not beside others.
+LONG = 200
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,8 +147,11 @@ class Lattices:
         most = len(self.score) - 1
         order = np.argsort(-self.sizes, kind="stable")
         longest_first = self.sizes[order]
-        for p in range(1, int(self.sizes.max(initial=0)) + 1):
-            live = order[: np.searchsorted(-longest_first, -p, side="right")]
+        long = int((self.sizes > LONG).sum())
+        for word in order[:long].tolist():
+            self._follow(word, backward)
+        for p in range(1, int(longest_first[long:].max(initial=0)) + 1):
+            live = order[long : np.searchsorted(-longest_first, -p, side="right")]
             reach = min(p, most)
             ends, chars = self.first[live] + p, self.starts[live] + p
             options = np.stack([self.forward[ends - n] + self.score[n][chars - n] for n in range(1, reach + 1)])
@@ -177,6 +182,24 @@ class Lattices:
             np.maximum.at(second, words[fits], through)
         self.gap = self.best - second
 
+    def _follow(self, word: int, backward: np.ndarray) -> None:
+        """Both directions of one long word, by its edges in order."""
+        size, base, first = int(self.sizes[word]), int(self.starts[word]), int(self.first[word])
+        lengths, begins = np.nonzero(self.score[:, base : base + size] > -np.inf)
+        scores = self.score[lengths, base + begins]
+        ahead, behind, back = [-np.inf] * (size + 1), [-np.inf] * (size + 1), [0] * (size + 1)
+        ahead[0] = behind[size] = 0.0
+        order = np.lexsort((-lengths, begins + lengths))  # of equals the longest
+        for a, n, value in zip(begins[order].tolist(), lengths[order].tolist(), scores[order].tolist(), strict=True):
+            if ahead[a] + value > ahead[a + n]:
+                ahead[a + n], back[a + n] = ahead[a] + value, n
+        order = np.argsort(-begins, kind="stable")
+        for a, n, value in zip(begins[order].tolist(), lengths[order].tolist(), scores[order].tolist(), strict=True):
+            behind[a] = max(behind[a], behind[a + n] + value)
+        self.forward[first : first + size + 1] = ahead
+        backward[first : first + size + 1] = behind
+        self.back[first : first + size + 1] = back
+
     def best_ids(self, texts: list[str]) -> list[bytes]:
         """The best path of each word, as little-endian 32-bit numbers."""
         numbers = self.number[self.path_lengths, self.path_chars]
@@ -205,14 +228,18 @@ class Lattices:
         agenda = [(-forward[size], size, next(tick), 0.0, ())]
         found = []
         while agenda and len(found) < n:
-            _, at, _, done, lengths = heapq.heappop(agenda)
+            _, at, _, done, path = heapq.heappop(agenda)
             if at == 0:
-                found.append((done, self.ids_of(word, text, list(lengths))))
+                lengths = []
+                while path:  # (first length, the rest)
+                    lengths.append(path[0])
+                    path = path[1]
+                found.append((done, self.ids_of(word, text, lengths)))
                 continue
             for length in range(min(at, most), 0, -1):
                 score = float(self.score[length][base + at - length])
                 if score > -np.inf and forward[at - length] > -np.inf:
-                    heapq.heappush(agenda, (-(forward[at - length] + score + done), at - length, next(tick), score + done, (length, *lengths)))
+                    heapq.heappush(agenda, (-(forward[at - length] + score + done), at - length, next(tick), score + done, (length, path)))
         return found
 
 
