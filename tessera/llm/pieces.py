@@ -70,203 +70,265 @@ class Vocabulary:
         # characters that stand in no piece with others end words
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         self.alone = "".join(c for c in "\n\r\t" if c not in joined)
-        inner = f"[^{MARK}{self.alone}]"
-        self.word = re.compile(f"{MARK}*{inner}+|{MARK}+|[{self.alone}]" if self.alone else f"{MARK}*{inner}+|{MARK}+")
+        # sums of whole numbers are exact: equal scores are equal whatever the order of their sums
+        self.exact = bool((self.scores == np.round(self.scores)).all())
         self._tables()
 
     def _tables(self) -> None:
-        """For each length the hashes of its pieces, ascending, and their numbers."""
+        """For each length the hashes of the pieces' beginnings, ascending, and the numbers of those that are pieces (others: -1)."""
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        self.seen: list[np.ndarray] = []  # by a hash's upper bits, whether any piece has them
-        by_length: dict[int, list[tuple[str, int]]] = {}
+        self.seen: list[np.ndarray] = []  # by a hash's upper bits, whether any beginning has them
+        self.firsts: list[tuple[np.ndarray, int]] = []  # by these bits the first beginning with them, and how many have them at most
+        by_length: list[dict[str, int]] = [{} for _ in range(self.longest)]
         for piece, number in self.ids.items():
-            by_length.setdefault(len(piece), []).append((piece, number))
-        for length in range(1, self.longest + 1):
-            found = by_length.get(length, [])
-            points = np.array([[ord(c) for c in p] for p, _ in found], np.uint64).reshape(len(found), length)
+            for length in range(1, len(piece)):
+                by_length[length - 1].setdefault(piece[:length], -1)
+            by_length[len(piece) - 1][piece] = number
+        for length, found in enumerate(by_length, 1):
+            points = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(len(found), length)
             hashes = np.zeros(len(found), np.uint64)
             for k in range(length):
                 hashes = mix(hashes * _BASE + points[:, k])
             order = np.argsort(hashes)
-            self.tables.append((hashes[order], np.array([n for _, n in found], np.int64)[order]))
-            seen = np.zeros(1 << 16, bool)
-            seen[(hashes >> np.uint64(48)).astype(np.int64)] = True
-            self.seen.append(seen)
+            self.tables.append((hashes[order], np.array(list(found.values()), np.int64)[order]))
+            share = np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+            self.seen.append(share > 0)
+            self.firsts.append(((np.cumsum(share) - share).astype(np.int32), int(share.max())))
+
+    def find(self, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are beginnings of pieces, and the numbers of those."""
+        keys, numbers = self.tables[length - 1]
+        first, most = self.firsts[length - 1]
+        upper = (hashes >> np.uint64(48)).astype(np.int64)
+        maybe = np.flatnonzero(self.seen[length - 1][upper])
+        mine, at = hashes[maybe], first[upper[maybe]]
+        for _ in range(most - 1):
+            at = np.minimum(at + (keys[at] < mine), len(keys) - 1)
+        same = np.flatnonzero(keys[at] == mine)
+        return maybe[same], numbers[at[same]]
 
     def words(self, text: str) -> list[str]:
-        return self.word.findall(MARK + text.replace(" ", MARK)) if text else []
+        """The independent words: marks with what follows them up to the next mark or line end, marks by themselves, line ends."""
+        if not text:
+            return []
+        parted = MARK + text.replace(MARK, " ").replace(" ", f" {MARK}")
+        for c in self.alone:
+            parted = parted.replace(c, f" {c} ")
+        while f"{MARK} {MARK}" in parted:
+            parted = parted.replace(f"{MARK} {MARK}", MARK + MARK)
+        return list(filter(None, parted.split(" ")))
 
     def spell(self, character: str) -> tuple[int, ...]:
         return tuple(self.byte[b] for b in character.encode("utf-8", "surrogatepass"))
 
 
 class Lattices:
-    """Edges of many words at once: ``number`` and ``score`` by length and end, over their characters side by side."""
+    """Edges of many words at once, by the position they end at and there from the longest down.
+
+    Positions are numbered place by place over all words, the longest words
+    first, so that one step takes a slice; a long word's stand side by side.
+    """
 
     def __init__(self, vocabulary: Vocabulary, words: list[str]):
         self.vocabulary = vocabulary
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.array([len(w) for w in words])
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        self.sizes = sizes
-        total = len(points)
-        place = np.arange(total) - np.repeat(self.starts, sizes)
-        left = np.repeat(sizes, sizes) - place
-        most = min(vocabulary.longest, int(sizes.max(initial=0)))
-        self.number = np.full((most + 1, total), -1, np.int32)
-        self.score = np.full((most + 1, total), -np.inf)
-        hashes = np.zeros(total, np.uint64)
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self._number_positions()
+        word = np.repeat(np.arange(len(words)), self.sizes)
+        place = np.arange(len(points)) - self.starts[word]
+        left = self.sizes[word] - place
+        most = min(vocabulary.longest, int(self.sizes.max(initial=1)))
+        table = np.zeros((len(self.place), most), np.int32)  # by end and length: 0 no edge, 1 a character without a piece, else the piece and 2
+        alive, hashes = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        table[self.position(word, place + 1), most - 1] = 1
         for length in range(1, most + 1):
-            ahead = np.zeros(total, np.uint64)
-            ahead[: total - length + 1] = points[length - 1 :]
-            hashes = mix(hashes * _BASE + ahead)
-            keys, numbers = vocabulary.tables[length - 1]
-            if len(keys):
-                maybe = np.flatnonzero(vocabulary.seen[length - 1][(hashes >> np.uint64(48)).astype(np.int64)] & (left >= length))
-                mine = hashes[maybe]
-                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                same = keys[at] == mine
-                self.number[length][maybe[same]] = numbers[at[same]]
-                self.score[length][maybe[same]] = vocabulary.scores[numbers[at[same]]]
-        unknown = self.number[1] < 0 if most else np.zeros(0, bool)
-        if most:
-            self.score[1][unknown] = vocabulary.unknown
-        self._viterbi(place)
-
-    def _viterbi(self, place: np.ndarray) -> None:
-        """Best scores to each position from the start (``forward``) and from it to the end, and each word's second-best cost."""
-        # position p of word w stands at starts[w] + w + p: one more position than characters
-        words = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.first = self.starts + np.arange(len(self.sizes))
-        count = int(self.sizes.sum()) + len(self.sizes)
-        self.forward = np.full(count, -np.inf)
-        backward = np.full(count, -np.inf)
-        self.back = np.zeros(count, np.int64)
-        self.forward[self.first] = 0
-        backward[self.first + self.sizes] = 0
-        most = len(self.score) - 1
+            hashes = mix(hashes * _BASE + points[alive + (length - 1)])
+            begun, number = vocabulary.find(hashes, length)
+            alive, hashes = alive[begun], hashes[begun]
+            whole = np.flatnonzero(number >= 0)
+            found = alive[whole]
+            table[self.position(word[found], place[found] + length), most - length] = number[whole] + 2
+            further = np.flatnonzero(left[alive] > length)
+            alive, hashes = alive[further], hashes[further]
+        filled = np.flatnonzero(table)
+        self.end, column = np.divmod(filled, most)
+        self.length = most - column
+        self.number = table.ravel()[filled] - 2
+        self.score = np.where(self.number >= 0, vocabulary.scores[self.number], vocabulary.unknown)
+        self.begin = self.position(self.word[self.end], self.place[self.end] - self.length)
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(self.end, minlength=len(self.place)))])  # each position's edges
+        self._viterbi()
+
+    def _number_positions(self) -> None:
+        """``word`` and ``place`` of each position; a word has one more than characters."""
         order = np.argsort(-self.sizes, kind="stable")
-        longest_first = self.sizes[order]
-        long = int((self.sizes > LONG).sum())
-        for word in order[:long].tolist():
-            self._follow(word, backward)
-        for p in range(1, int(longest_first[long:].max(initial=0)) + 1):
-            live = order[long : np.searchsorted(-longest_first, -p, side="right")]
-            reach = min(p, most)
-            ends, chars = self.first[live] + p, self.starts[live] + p
-            options = np.stack([self.forward[ends - n] + self.score[n][chars - n] for n in range(1, reach + 1)])
-            pick = reach - 1 - options[::-1].argmax(axis=0)  # of equals the longest
-            self.forward[ends] = options[pick, np.arange(len(live))]
-            self.back[ends] = pick + 1
-            # the same from the other end
-            begins, chars = self.first[live] + self.sizes[live] - p, self.starts[live] + self.sizes[live] - p
-            backward[begins] = np.max([backward[begins + n] + self.score[n][chars] for n in range(1, reach + 1)], axis=0)
-        self.best = self.forward[self.first + self.sizes]
-        # marks of the edges on the best path
-        on_path = np.zeros((most + 1, len(place)), bool)
-        at = self.sizes.copy()
-        live = np.flatnonzero(at)
-        while len(live):
-            step = self.back[self.first[live] + at[live]]
-            at[live] -= step
-            on_path[step, self.starts[live] + at[live]] = True
-            live = live[at[live] > 0]
-        lengths, chars = np.nonzero(on_path)
-        order = np.argsort(chars, kind="stable")
-        self.path_chars, self.path_lengths = chars[order], lengths[order]
+        ranked = self.sizes[order]
+        self.long = int((ranked > LONG).sum())
+        aside = ranked[: self.long] + 1
+        self.bases = np.cumsum(aside) - aside
+        live = np.searchsorted(-ranked[self.long :], -np.arange(int(ranked[self.long :].max(initial=0)) + 1), side="right")
+        self.offsets = int(aside.sum()) + np.concatenate([[0], np.cumsum(live)])
+        place = np.repeat(np.arange(len(live)), live)
+        beside = np.arange(len(place)) + self.offsets[0] - self.offsets[place] + self.long
+        self.word = np.concatenate([np.repeat(order[: self.long], aside), order[beside]])
+        self.place = np.concatenate([np.arange(int(aside.sum())) - np.repeat(self.bases, aside), place])
+        self.shift = np.empty(len(order), np.int64)
+        self.shift[order] = np.concatenate([self.bases, np.arange(len(order) - self.long)])
+
+    def position(self, words: np.ndarray | int, places: np.ndarray) -> np.ndarray:
+        if not self.long:
+            return self.offsets[places] + self.shift[words]
+        return np.where(self.sizes[words] > LONG, places, self.offsets[np.minimum(places, len(self.offsets) - 1)]) + self.shift[words]
+
+    def _viterbi(self) -> None:
+        """Best scores to each position from the start (``forward``) and from it to the end, and each word's second-best cost."""
+        count = len(self.place)
+        self.forward = np.where(self.place == 0, 0.0, -np.inf)
+        backward = np.where(self.place == self.sizes[self.word], 0.0, -np.inf)
+        for base, size in zip(self.bases.tolist(), self.sizes[self.word[self.bases]].tolist(), strict=True):
+            self._follow(base, base + size, backward)
+        offsets, edges = self.offsets.tolist(), self.cuts[self.offsets].tolist()
+        for p in range(1, len(offsets) - 1):
+            low, high, here = edges[p], edges[p + 1], slice(offsets[p], offsets[p + 1])
+            self.forward[here] = np.maximum.reduceat(self.forward[self.begin[low:high]] + self.score[low:high], self.cuts[here] - low)
+        for p in range(len(offsets) - 2, 0, -1):  # edges to one place begin at different positions
+            low, high = edges[p], edges[p + 1]
+            begin = self.begin[low:high]
+            backward[begin] = np.maximum(backward[begin], backward[self.end[low:high]] + self.score[low:high])
+        to = self.forward[self.begin] + self.score
+        last = self.position(np.arange(len(self.sizes)), self.sizes)
+        self.best = self.forward[last]
+        # each position's best edge, of equals the longest
+        equal = np.flatnonzero(to == self.forward[self.end])
+        back = np.zeros(count, np.int64)
+        back[self.end[equal][::-1]] = equal[::-1]
+        off_path = np.ones(len(self.end), bool)
+        while len(last):
+            step = back[last]
+            off_path[step] = False
+            last = self.begin[step]
+            last = last[self.place[last] > 0]
+        # the best paths' pieces in the order of the characters where they begin
+        path = np.flatnonzero(~off_path)
+        begin = self.begin[path]
+        pieces = np.zeros(int(self.sizes.sum()), np.int32)
+        pieces[self.starts[self.word[begin]] + self.place[begin]] = self.number[path] + 2
+        self.path_chars = np.flatnonzero(pieces)
+        self.path_numbers = pieces[self.path_chars] - 2
         second = np.full(len(self.sizes), -np.inf)
-        begin = np.arange(len(place)) + words
-        for n in range(1, most + 1):
-            fits = np.flatnonzero((self.score[n] > -np.inf) & ~on_path[n])
-            through = self.forward[begin[fits]] + self.score[n][fits] + backward[begin[fits] + n]
-            np.maximum.at(second, words[fits], through)
+        others = np.flatnonzero(off_path)
+        np.maximum.at(second, self.word[self.end[others]], to[others] + backward[self.end[others]])
         self.gap = self.best - second
 
-    def _follow(self, word: int, backward: np.ndarray) -> None:
+    def _follow(self, first: int, last: int, backward: np.ndarray) -> None:
         """Both directions of one long word, by its edges in order."""
-        size, base, first = int(self.sizes[word]), int(self.starts[word]), int(self.first[word])
-        lengths, begins = np.nonzero(self.score[:, base : base + size] > -np.inf)
-        scores = self.score[lengths, base + begins]
-        ahead, behind, back = [-np.inf] * (size + 1), [-np.inf] * (size + 1), [0] * (size + 1)
-        ahead[0] = behind[size] = 0.0
-        order = np.lexsort((-lengths, begins + lengths))  # of equals the longest
-        for a, n, value in zip(begins[order].tolist(), lengths[order].tolist(), scores[order].tolist(), strict=True):
-            if ahead[a] + value > ahead[a + n]:
-                ahead[a + n], back[a + n] = ahead[a] + value, n
-        order = np.argsort(-begins, kind="stable")
-        for a, n, value in zip(begins[order].tolist(), lengths[order].tolist(), scores[order].tolist(), strict=True):
-            behind[a] = max(behind[a], behind[a + n] + value)
-        self.forward[first : first + size + 1] = ahead
-        backward[first : first + size + 1] = behind
-        self.back[first : first + size + 1] = back
+        edges = slice(int(self.cuts[first]), int(self.cuts[last + 1]))
+        begins, ends, scores = (self.begin[edges] - first).tolist(), (self.end[edges] - first).tolist(), self.score[edges].tolist()
+        ahead, behind = self.forward[first : last + 1].tolist(), backward[first : last + 1].tolist()
+        for a, b, value in zip(begins, ends, scores, strict=True):
+            if ahead[a] + value > ahead[b]:
+                ahead[b] = ahead[a] + value
+        for a, b, value in zip(reversed(begins), reversed(ends), reversed(scores), strict=True):
+            if behind[b] + value > behind[a]:
+                behind[a] = behind[b] + value
+        self.forward[first : last + 1] = ahead
+        backward[first : last + 1] = behind
 
     def best_ids(self, texts: list[str]) -> list[bytes]:
         """The best path of each word, as little-endian 32-bit numbers."""
-        numbers = self.number[self.path_lengths, self.path_chars]
-        limits = np.searchsorted(self.path_chars, np.append(self.starts, len(self.number[0])))
-        data, cuts = numbers.astype("<u4").tobytes(), (limits * 4).tolist()
+        limits = np.searchsorted(self.path_chars, np.append(self.starts, self.sizes.sum()))
+        data, cuts = self.path_numbers.astype("<u4").tobytes(), (limits * 4).tolist()
         out = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        spelled = np.unique(np.searchsorted(limits, np.flatnonzero(numbers < 0), side="right") - 1)
+        spelled = np.unique(np.searchsorted(limits, np.flatnonzero(self.path_numbers < 0), side="right") - 1)
         for w in spelled.tolist():
-            out[w] = np.array(self.ids_of(w, texts[w], self.path_lengths[limits[w] : limits[w + 1]].tolist()), "<u4").tobytes()
+            here = slice(limits[w], limits[w + 1])
+            out[w] = np.array(self.ids_of(texts[w], self.path_numbers[here].tolist(), (self.path_chars[here] - self.starts[w]).tolist()), "<u4").tobytes()
         return out
 
-    def ids_of(self, word: int, text: str, lengths: list[int]) -> tuple[int, ...]:
-        out, at = [], 0
-        for n in lengths:
-            number = int(self.number[n][self.starts[word] + at])
+    def ids_of(self, text: str, numbers: list[int], places: list[int]) -> tuple[int, ...]:
+        """Pieces' numbers, and the bytes of characters without a piece."""
+        out: list[int] = []
+        for number, at in zip(numbers, places, strict=True):
             out.extend((number,) if number >= 0 else self.vocabulary.spell(text[at]))
-            at += n
         return tuple(out)
 
     def nbest(self, word: int, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """Up to ``n`` paths of one word, (score, ids), by A-star from its end."""
-        size, base, first = int(self.sizes[word]), int(self.starts[word]), int(self.first[word])
-        forward = self.forward[first : first + size + 1].tolist()
-        most = len(self.score) - 1
+        size = int(self.sizes[word])
+        positions = self.position(word, np.arange(size + 1))
+        forward = self.forward[positions].tolist()
+        low, high = self.cuts[positions].tolist(), self.cuts[positions + 1].tolist()
         tick = itertools.count()
         agenda = [(-forward[size], size, next(tick), 0.0, ())]
         found = []
         while agenda and len(found) < n:
             _, at, _, done, path = heapq.heappop(agenda)
             if at == 0:
-                lengths = []
-                while path:  # (first length, the rest)
-                    lengths.append(path[0])
-                    path = path[1]
-                found.append((done, self.ids_of(word, text, lengths)))
+                numbers, places = [], []
+                while path:  # (first number, its place, the rest)
+                    numbers.append(path[0])
+                    places.append(path[1])
+                    path = path[2]
+                found.append((done, self.ids_of(text, numbers, places)))
                 continue
-            for length in range(min(at, most), 0, -1):
-                score = float(self.score[length][base + at - length])
-                if score > -np.inf and forward[at - length] > -np.inf:
-                    heapq.heappush(agenda, (-(forward[at - length] + score + done), at - length, next(tick), score + done, (length, path)))
+            edges = slice(low[at], high[at])
+            for length, score, number in zip(self.length[edges].tolist(), self.score[edges].tolist(), self.number[edges].tolist(), strict=True):
+                heapq.heappush(agenda, (-(forward[at - length] + score + done), at - length, next(tick), score + done, (number, at - length, path)))
         return found
 
 
+class Words(dict):
+    """Words by number, in the order they come; ``new`` are those without a solution yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+        self.ids: list[bytes] = []
+        self.scores, self.gaps, self.sizes = np.empty(0), np.empty(0), np.empty(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+    def solve(self, ids: list[bytes], scores: np.ndarray, gaps: np.ndarray) -> None:
+        self.ids += ids
+        self.scores, self.gaps = np.concatenate([self.scores, scores]), np.concatenate([self.gaps, gaps])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.new = []
+
+
 class Encoder:
     """Segmentations of whole texts; each distinct word is solved once while it is kept."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = BEST):
         self.vocabulary, self.n = vocabulary, n
-        self.young: dict[str, tuple[bytes, float, float]] = {}
-        self.old: dict[str, tuple[bytes, float, float]] = {}
+        self.young, self.old = Words(), Words()
         self.several: dict[str, list[tuple[float, bytes]]] = {}
 
     def _pack(self, ids: tuple[int, ...]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Best path, its score and the cost of the second best of all ``words``."""
-        for word in words & self.old.keys():
-            self.young[word] = self.old[word]
-        new = list(words.difference(self.young))
-        for low in range(0, len(new), TOGETHER):
-            part = new[low : low + TOGETHER]
+    def learn(self) -> None:
+        """Best path, its score and the cost of the second best of all new words."""
+        new = self.young.new
+        known = np.array([self.old.get(w, -1) for w in new], np.int64)
+        ids: list[bytes] = [self.old.ids[k] if k >= 0 else b"" for k in known.tolist()]
+        scores, gaps = np.zeros(len(new)), np.zeros(len(new))
+        scores[known >= 0], gaps[known >= 0] = self.old.scores[known[known >= 0]], self.old.gaps[known[known >= 0]]
+        unknown = np.flatnonzero(known < 0)
+        for low in range(0, len(unknown), TOGETHER):
+            places = unknown[low : low + TOGETHER]
+            part = [new[k] for k in places.tolist()]
             lattices = Lattices(self.vocabulary, part)
             best = lattices.best_ids(part)
-            for k in np.flatnonzero(lattices.gap == 0).tolist():  # which of equals is first is the search's to say
-                best[k] = self._pack(lattices.nbest(k, part[k], 1)[0][1])
-            self.young.update(zip(part, zip(best, lattices.best.tolist(), lattices.gap.tolist(), strict=True), strict=True))
+            if not self.vocabulary.exact:
+                for k in np.flatnonzero(lattices.gap == 0).tolist():  # which of equals is first is the search's to say
+                    best[k] = self._pack(lattices.nbest(k, part[k], 1)[0][1])
+            for k, found in zip(places.tolist(), best, strict=True):
+                ids[k] = found
+            scores[places], gaps[places] = lattices.best, lattices.gap
+        self.young.solve(ids, scores, gaps)
 
     def find_alternatives(self, words: set[str]) -> None:
         """The paths of words after their best, as (cost, ids)."""
@@ -280,29 +342,38 @@ class Encoder:
                 paths = lattices.nbest(k, word, self.n)
                 self.several[word] = [(paths[0][0] - score, self._pack(ids)) for score, ids in paths[1:]]
 
+    def _cheapest(self, gaps: np.ndarray) -> list[int]:
+        """The places of the few smallest finite costs, ascending, of equals the first."""
+        few = self.n - 1
+        places = np.flatnonzero(gaps <= np.partition(gaps, few - 1)[few - 1]) if 0 < few < len(gaps) else np.arange(len(gaps))
+        places = places[np.argsort(gaps[places], kind="stable")][:few]
+        return places[gaps[places] < np.inf].tolist()
+
     def encode(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
         """For each text its N best segmentations, (score, ids as little-endian 32-bit numbers)."""
         split = [self.vocabulary.words(t) for t in texts]
-        wanted: set[str] = set().union(*split)
+        limits = [0, *itertools.accumulate(map(len, split))]
         if len(self.young) > CACHED:
-            self.old, self.young = self.young, {}
-        self.learn(wanted.difference(self.young))
-        plans = []
-        for words in split:
-            best, scores, gaps = zip(*map(self.young.__getitem__, words), strict=True) if words else ((), (), ())
-            cheapest = [(gap, place) for gap, place in heapq.nsmallest(self.n - 1, zip(gaps, range(len(gaps)), strict=True)) if gap < np.inf]
-            plans.append((list(best), float(sum(scores)), [place for _, place in cheapest]))
-        self.find_alternatives({words[place] for words, (_, _, places) in zip(split, plans, strict=True) for place in places})
-        for words, (best, score, places) in zip(split, plans, strict=True):
-            out = [(score, b"".join(best))]
+            self.old, self.young = self.young, Words()
+        numbers = np.fromiter(map(self.young.__getitem__, itertools.chain.from_iterable(split)), np.int64, limits[-1])
+        self.learn()
+        spans = list(itertools.pairwise(limits))
+        chosen = [self._cheapest(self.young.gaps[numbers[a:b]]) for a, b in spans]
+        self.find_alternatives({words[place] for words, places in zip(split, chosen, strict=True) for place in places})
+        for words, (a, b), places in zip(split, spans, chosen, strict=True):
+            mine = numbers[a:b]
+            best = b"".join(map(self.young.ids.__getitem__, mine.tolist()))
+            score, ends = float(sum(self.young.scores[mine].tolist())), np.cumsum(self.young.sizes[mine])
+            out = [(score, best)]
             options = [[(0.0, (), None), *((cost, (place, rank), ids) for rank, (cost, ids) in enumerate(self.several[words[place]]))] for place in places]
             ways = sorted((sum(o[0] for o in way), [o[1] for o in way if o[1]], [o[2] for o in way]) for way in itertools.product(*options))
             for cost, _, ids in ways[1 : self.n]:
-                changed = list(best)
-                for option, place in zip(ids, places, strict=True):
-                    if option is not None:
-                        changed[place] = option
-                out.append((score - cost, b"".join(changed)))
+                parts, at = [], 0
+                for place, option in sorted((place, option) for option, place in zip(ids, places, strict=True) if option is not None):
+                    end = int(ends[place])
+                    parts += (best[at : end - int(self.young.sizes[mine[place]])], option)
+                    at = end
+                out.append((score - cost, b"".join((*parts, best[at:]))))
             yield out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -120,3 +121,43 @@ def test_long_words_equal_short_ones(vocabulary, monkeypatch):
     (best, *others), = pieces.Encoder(vocabulary).encode([text])
     assert time.process_time() - began < 60 and len(others) == 2 and best[0] >= others[0][0] >= others[1][0]
     assert all(pieces.decode(vocabulary, np.frombuffer(ids, "<u4").tolist()) == text for _, ids in (best, *others))
+
+
+def test_best_paths_need_no_search(vocabulary, monkeypatch):
+    """Words whose best paths tie are settled by the lattice; the search runs for the few words of a result's other paths."""
+    searched = []
+    search = pieces.Lattices.nbest
+    monkeypatch.setattr(pieces.Lattices, "nbest", lambda self, word, text, n: searched.append(text) or search(self, word, text, n))
+    rng = random.Random(9)
+    syllables = ["he", "in", "th", "on", "er", "an", "ou", "the", "ing", "nd", "ea"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 6))) + rng.choice(["%%%", "&&&", "$$$", ""]) for _ in range(60)) for _ in range(20)]
+    words = sorted({w for t in texts for w in vocabulary.words(t)})
+    lattices = pieces.Lattices(vocabulary, words)
+    tied = [k for k in range(len(words)) if lattices.gap[k] == 0]
+    assert len(tied) > 20
+    best = lattices.best_ids(words)
+    assert all(best[k] == np.array(search(lattices, k, words[k], 1)[0][1], "<u4").tobytes() for k in range(len(words)))
+    found = list(pieces.Encoder(vocabulary).encode(texts))
+    assert len(searched) <= (pieces.BEST - 1) * len(texts)
+    monkeypatch.setattr(vocabulary, "exact", False)  # scores whose sums round: the search settles ties
+    assert list(pieces.Encoder(vocabulary).encode(texts)) == found and set(searched) >= {words[k] for k in tied}
+
+
+def test_words_equal_the_pattern(vocabulary):
+    pattern = re.compile(f"{pieces.MARK}*[^{pieces.MARK}{vocabulary.alone}]+|{pieces.MARK}+|[{vocabulary.alone}]")
+    rng = random.Random(10)
+    texts = TEXTS + ["".join(rng.choice(["a", "é", " ", "  ", "\n", "\t", "\r", "\u2581", "\xa0", "\x85", "\x0b", "漢", "\0"]) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    for text in texts:
+        assert vocabulary.words(text) == (pattern.findall(pieces.MARK + text.replace(" ", pieces.MARK)) if text else []), text
+
+
+def test_scores_that_are_no_whole_numbers():
+    """Ties and near ties of rounded sums, against enumeration."""
+    vocabulary = pieces.Vocabulary()
+    vocabulary.scores = vocabulary.scores / 7
+    vocabulary.unknown /= 7
+    vocabulary.exact = False
+    for text, found in zip(TEXTS, pieces.Encoder(vocabulary).encode(TEXTS), strict=True):
+        every = all_paths(vocabulary, text)
+        assert [s for s, _ in found] == pytest.approx([s for s, _ in every[:3]]), text
+        assert {tuple(np.frombuffer(ids, "<u4").tolist()) for _, ids in found} <= {ids for _, ids in every}
