@@ -13,7 +13,7 @@ from tessera.kernels import dither
 from tessera.operators import carry, conformance, facts, tally
 from tessera.operators import frames as framing
 from tessera.operators import units as parsing
-from tessera.storage import materialise
+from tessera.storage import materialise, side_by_side
 
 
 def load(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -50,7 +50,7 @@ def summary(units: DataFrame, sizes: DataFrame) -> DataFrame:
     c = F.col("config")
     masks = S.presentation_masks(c["info"], c["extended_info"], c["format_sync"] == S.FBB)
     samples = F.col("access_units") * c["samples"]
-    joined = sizes.join(first, "stream_id", "left")
+    joined = sizes.join(side_by_side(first), "stream_id", "left")
     return joined.select(
         "stream_id",
         F.when(c["format_sync"] == S.FBB, "FBB").when(c["format_sync"] == S.FBA, "FBA").alias("syntax"),
@@ -116,12 +116,12 @@ def verify(streams: DataFrame, fail_on: str = "error", max_per_rule: int = 10, b
     totals = tally.severity_totals(found)
     config = shared.units.where("config is not null").groupBy("stream_id").agg(F.min_by("config", "au").alias("config"))
     by_rule = counts.groupBy("stream_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "count")))).alias("by_rule"), F.sum("count").alias("diagnostics"))
-    joined = summary(units, sizes).join(totals, "stream_id", "left").join(by_rule, "stream_id", "left").join(config, "stream_id", "left")
-    parts = [facts.sizes_and_latency(shared.units), report.max_data_rate(shared.units), facts.substream_properties(shared), facts.branch_list(shared)]
+    joined = summary(units, sizes)
+    parts = [totals, by_rule, config, facts.sizes_and_latency(shared.units), report.max_data_rate(shared.units), facts.substream_properties(shared), facts.branch_list(shared)]
     if buffers:
         parts.append(facts.buffer_peaks(shared.depths))
     for part in parts:
-        joined = joined.join(part, "stream_id", "left")
+        joined = joined.join(side_by_side(part), "stream_id", "left")
     joined = facts.disc_validity(joined)
     joined = joined.withColumn("max_fifo_latency_ms", F.col("max_fifo_latency_samples") * 1000.0 / F.col("frequency")).withColumn("invalid_branches", F.coalesce("invalid_branches", F.lit(0).cast("long")))
     joined = joined.withColumns({"diagnostics": F.coalesce("diagnostics", F.lit(0).cast("long"))} | {s: F.coalesce(s, F.lit(0).cast("long")) for s in S.SEVERITIES})
@@ -145,7 +145,7 @@ def decode(streams: DataFrame, presentations: list[int] | None = None, dither_ta
     if keep_repeated:
         return samples
     samples = materialise(samples, "samples")
-    return samples.join(carry.repeated_units(samples), ["stream_id", "presentation", "au"], "left_anti").select(*samples.columns)
+    return samples.join(side_by_side(carry.repeated_units(samples)), ["stream_id", "presentation", "au"], "left_anti").select(*samples.columns)
 
 
 def parse_presentations(text: str) -> list[int]:

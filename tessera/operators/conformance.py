@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tessera.functions import streams as S
 from tessera.kernels import buffers
 from tessera.operators import splices, tally, timing
-from tessera.storage import materialise
+from tessera.storage import materialise, side_by_side
 
 FBA, FBB = S.FBA, S.FBB
 
@@ -59,7 +59,7 @@ def timing_rules(units: DataFrame, follow: DataFrame, tolerant: bool = True) ->
     fbb = now["format_sync"] == FBB
     samples, peak = now["samples"], now["peak"]
     duration = F.when(peak > 0, timing.ceil_div(F.col("length").cast("long") * 256, peak)).otherwise(0)
-    rows = units.join(follow.select("stream_id", "au", "unwrapped", F.coalesce("valid", F.lit(False)).alias("spliced")), ["stream_id", "au"]).withColumn("duration", duration)
+    rows = units.join(side_by_side(follow.select("stream_id", "au", "unwrapped", F.coalesce("valid", F.lit(False)).alias("spliced"))), ["stream_id", "au"]).withColumn("duration", duration)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(~F.col("spliced"), F.struct("input_timing", "length", "duration", "unwrapped")), ignorenulls=True).over(earlier)
     rows = rows.withColumns({"p": last, "after": F.coalesce(F.lag("spliced").over(order), F.lit(False)), "sent": F.sum(F.col("length").cast("long")).over(earlier), "start": F.first("input_timing").over(timing.so_far())})
@@ -189,7 +189,7 @@ def buffer_depths(units: DataFrame, follow: DataFrame) -> DataFrame:
     ``follow`` is what splices.followed gives: each epoch is modelled as a
     stream of its own, with an output clock from its first output time on.
     """
-    joined = contributions(units).join(follow.select("stream_id", "au", "epoch", "unwrapped"), ["stream_id", "au"])
+    joined = contributions(units).join(side_by_side(follow.select("stream_id", "au", "epoch", "unwrapped")), ["stream_id", "au"])
     within = Window.partitionBy("stream_id", "epoch")
     starts = joined.withColumns({"begin": F.min("au").over(within), "first_input": F.min_by("unwrapped", "au").over(within), "first_timing": F.min_by("output_timing", "au").over(within)})
     first = F.col("first_timing") + F.when(F.col("first_timing") < F.col("first_input").bitwiseAND(F.lit(0xFFFF)), 65_536).otherwise(0)
@@ -285,7 +285,7 @@ def diagnostics(units: DataFrame, depths: bool = True, tolerant: bool = True, fo
     """One row for each violation: (stream_id, au, seq, rule, severity, byte_offset, bit_in_byte)."""
     shared = followed or follow(units, depths, tolerant)
     ready = shared.units
-    offsets = ready.select("stream_id", "au", "au_offset")
+    offsets = side_by_side(ready.select("stream_id", "au", "au_offset"))
     at_splice = shared.follow.select("stream_id", "au", F.posexplode("rules").alias("k", "rule")).join(offsets, ["stream_id", "au"])
     serial = splices.serial_timing(ready).where("rule is not null").withColumn("k", F.lit(50)).select("stream_id", "au", "k", "rule").join(offsets, ["stream_id", "au"])
     told = at_splice.unionByName(serial).select("stream_id", "au", "au_offset", (F.col("k") + 600).alias("seq"), "rule", F.lit("warning").alias("severity"), F.lit(None).cast("int").alias("bit"))
@@ -308,7 +308,7 @@ def lossless_checks(samples: DataFrame, units: DataFrame) -> DataFrame:
     stated = units.select("stream_id", (F.col("segment") - 1).alias("segment"), F.explode("restarts").alias("r")).where("r.block = 0")
     stated = stated.select("stream_id", "segment", F.col("r.substream").alias("presentation"), F.col("r.lossless_check").alias("stated"))
     whole = units.groupBy("stream_id", "segment").agg(F.every(F.col("stopped").isNull()).alias("whole")).where("whole").drop("whole")
-    return last.select("stream_id", "presentation", "segment", calculated.alias("calculated")).join(stated, ["stream_id", "presentation", "segment"]).join(whole, ["stream_id", "segment"])
+    return last.select("stream_id", "presentation", "segment", calculated.alias("calculated")).join(side_by_side(stated), ["stream_id", "presentation", "segment"]).join(side_by_side(whole), ["stream_id", "segment"])
 
 
 def decode_diagnostics(samples: DataFrame, units: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def decode_diagnostics(samples: DataFrame, units: DataFrame) -> DataFrame:
     """
     checks = lossless_checks(samples, units).where("calculated <> stated")
     firsts = units.where("is_major").select("stream_id", (F.col("segment") - 1).alias("segment"), "au")
-    wrong = checks.join(firsts, ["stream_id", "segment"]).select("stream_id", "au", F.lit("restart_header.lossless_check_mismatch").alias("rule"), F.lit("warning").alias("severity"))
+    wrong = checks.join(side_by_side(firsts), ["stream_id", "segment"]).select("stream_id", "au", F.lit("restart_header.lossless_check_mismatch").alias("rule"), F.lit("warning").alias("severity"))
     stated = units.select("stream_id", "segment", F.explode("restarts").alias("r")).where("r.block = 0").select("stream_id", "segment", F.col("r.substream").alias("presentation"), F.col("r.max_bits").alias("max_bits"))
-    wide = samples.join(stated, ["stream_id", "segment", "presentation"]).where(F.call_function("shiftright", F.col("width"), F.col("max_bits")) != 0)
+    wide = samples.join(side_by_side(stated), ["stream_id", "segment", "presentation"]).where(F.call_function("shiftright", F.col("width"), F.col("max_bits")) != 0)
     return wrong.unionAll(wide.select("stream_id", "au", F.lit("decode.outputs_exceed_max_bits").alias("rule"), F.lit("warning").alias("severity")))

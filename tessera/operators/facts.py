@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import streams as S
 from tessera.operators import conformance, splices
+from tessera.storage import side_by_side
 
 
 def substream_properties(shared: conformance.Followed) -> DataFrame:
@@ -17,7 +18,7 @@ def substream_properties(shared: conformance.Followed) -> DataFrame:
     peak = F.lit(None).cast("long")
     if shared.depths is not None:
         own = shared.depths.where(F.col("accumulator").startswith("own_")).groupBy("stream_id", F.substring("accumulator", 5, 1).cast("int").alias("index")).agg(F.max("depth").alias("peak"))
-        out, peak = out.join(own, ["stream_id", "index"], "left"), F.col("peak")
+        out, peak = out.join(side_by_side(own), ["stream_id", "index"], "left"), F.col("peak")
     each = F.struct("index", F.hex(F.col("word").cast("long")).alias("restart_sync_word"), "min_chan", "max_chan", "max_matrix_chan", peak.alias("fifo_peak"), S.substream_cap(F.col("min_chan"), F.col("max_chan")).alias("fifo_cap"))
     return out.groupBy("stream_id").agg(F.array_sort(F.collect_list(each)).alias("substream_properties"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.kernels import hires, splices
+from tessera.storage import side_by_side
 
 FOLLOWED = "stream_id string, au long, epoch long, unwrapped long, advance int, failed array<string>, valid boolean, rules array<string>"
 #: Rows handed on at once.
@@ -44,27 +45,27 @@ def followed(units: DataFrame, tolerant: bool = True) -> DataFrame:
 def branches(follow: DataFrame, units: DataFrame) -> DataFrame:
     """(stream_id, au, byte_offset, sample, advance, failed, valid): one row for each splice."""
     where = units.select("stream_id", "au", F.col("au_offset").alias("byte_offset"), F.col("now.samples").alias("samples"))
-    return follow.where("valid is not null").join(where, ["stream_id", "au"]).select("stream_id", "au", "byte_offset", (F.col("au") * F.col("samples")).alias("sample"), "advance", "failed", "valid")
+    return follow.where("valid is not null").join(side_by_side(where), ["stream_id", "au"]).select("stream_id", "au", "byte_offset", (F.col("au") * F.col("samples")).alias("sample"), "advance", "failed", "valid")
 
 
 def serial_timing(units: DataFrame) -> DataFrame:
     """(stream_id, substream, au, start, rule): start times of first fields, and fields that are malformed or out of sequence."""
-    rows = units.where("now is not null").select("stream_id", "au", F.col("now.samples").alias("samples"), F.explode("restarts").alias("r"))
-    rows = rows.select("stream_id", F.col("r.substream").alias("substream"), "au", "samples", F.col("r.hires").alias("bit"), F.col("r.output_timing").alias("output"))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("au")
-        bits = zip(table["au"].to_pylist(), table["bit"].to_pylist(), table["output"].to_pylist(), strict=True)
-        found = list(hires.check(hires.fields(bits), table["samples"][0].as_py()))
-        size = len(found)
-        return pa.table(
-            {
-                "stream_id": pa.array([table["stream_id"][0].as_py()] * size, pa.string()),
-                "substream": pa.array([table["substream"][0].as_py()] * size, pa.int32()),
-                "au": pa.array([f["au"] for f in found], pa.int64()),
-                "start": pa.array([f.get("start") for f in found], pa.int64()),
-                "rule": pa.array([f.get("rule") for f in found], pa.string()),
-            }
-        )
-
-    return rows.groupBy("stream_id", "substream").applyInArrow(run, HIRES)
+    rows = units.where("now is not null").select("stream_id", "au", F.col("now.samples").alias("samples"), F.posexplode("restarts").alias("place", "r"))
+    rows = rows.select("stream_id", F.col("r.substream").alias("substream"), "au", "place", "samples", F.col("r.hires").alias("bit"), F.col("r.output_timing").alias("output"))
+
+    names = [f.split()[0] for f in HIRES.split(", ")]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+
+    def checked(every):
+        for (stream, substream), headers in itertools.groupby(every, lambda r: (r["stream_id"], r["substream"])):
+            first = next(headers)
+            bits = ((r["au"], r["bit"], r["output"]) for r in itertools.chain([first], headers))
+            for item in hires.check(hires.fields(bits), first["samples"]):
+                yield {"stream_id": stream, "substream": substream} | item
+
+    def run(batches):
+        found = checked(row for batch in batches for row in batch.to_pylist())
+        while part := list(itertools.islice(found, FLUSHED)):
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in part], k) for n, k in zip(names, kinds, strict=True)], names)
+
+    return rows.repartition("stream_id", "substream").sortWithinPartitions("stream_id", "substream", "au", "place").mapInArrow(run, HIRES)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.storage import side_by_side
+
 WRAP = 1 << 16
 
 
@@ -91,7 +93,7 @@ def depths(units: DataFrame, samples: int | Column, **sizes: str) -> DataFrame:
     with_prefix = units.withColumns({"__passed": passed, "__prefix": sums}).withColumn("drained", F.max("__passed").over(so_far()))
     # the prefix sums at the last drained record: both rows of one stream, so the same partitioning serves the join
     ends = with_prefix.select(F.col("stream_id").alias("__s"), F.col("au").alias("__a"), F.col("__prefix").alias("__gone"))
-    joined = with_prefix.join(ends, (F.col("stream_id") == F.col("__s")) & (F.col("drained") - 1 == F.col("__a")), "left")
+    joined = with_prefix.join(side_by_side(ends), (F.col("stream_id") == F.col("__s")) & (F.col("drained") - 1 == F.col("__a")), "left")
     held = lambda name: F.when(F.col("drained") <= F.col("au"), F.col("__prefix")[name] - F.coalesce(F.col("__gone")[name], F.lit(0)))
     return joined.withColumns({name: held(name) for name in sizes} | {"underrun": F.col("drained") > F.col("au")}).drop("__s", "__a", "__gone", "__passed", "__prefix")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -12,11 +13,11 @@ from tessera import schemas
 from tessera.kernels import syntax
 
 
-def _by_interval(frames: DataFrame, schema: str, rows) -> DataFrame:
+def _by_interval(frames: DataFrame, schema: StructType, rows) -> DataFrame:
     """Runs ``rows(unit rows of an interval)`` over each interval, which stays in one task in order."""
     import pyarrow as pa
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, interval, out = None, [], []
@@ -53,8 +54,8 @@ def _unit_row(row: dict, unit: dict) -> dict:
     return same | {k: unit.get(k) for k in ("length", "input_timing", "directory", "restarts", "segments", "stopped")} | {"config": config, "extra": extra, "notes": notes}
 
 
-def units(frames: DataFrame) -> DataFrame:
-    """Each unit parsed; after one that ended early the rest of its interval is skipped, as nothing there can be trusted."""
+def units(frames: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """Each unit parsed, with the columns ``names`` or all; after one that ended early the rest of its interval is skipped, as nothing there can be trusted."""
 
     def rows(interval: list[dict]) -> Iterator[dict]:
         reader = syntax.Interval()
@@ -64,7 +65,8 @@ def units(frames: DataFrame) -> DataFrame:
             if unit["stopped"]:
                 return
 
-    return _by_interval(frames, schemas.UNITS, rows)
+    schema = StructType.fromDDL(schemas.UNITS)
+    return _by_interval(frames, StructType([schema[n] for n in names]) if names else schema, rows)
 
 
 def pcm(frames: DataFrame, presentations: list[int], dither_table: list[int] | None = None) -> DataFrame:
@@ -78,8 +80,8 @@ def pcm(frames: DataFrame, presentations: list[int], dither_table: list[int] | N
                 return
             restarted = next((r["output_timing"] for r in unit["restarts"] if r["block"] == 0), None)
             for presentation, samples in sorted(unit["pcm"].items()):
-                data = b"".join((v & 0xFFFFFF).to_bytes(3, "little") for sample in samples for v in sample)
+                data = (np.array(samples, np.int64).reshape(-1) & 0xFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
                 substream = reader.substreams[presentation]
                 yield {k: row[k] for k in ("stream_id", "segment", "au")} | {"presentation": presentation, "samples": len(samples), "channels": substream.max_matrix_chan + 1, "pcm": data, "digest": substream.digest, "width": substream.width, "output_timing": restarted}
 
-    return _by_interval(frames, schemas.PCM, rows)
+    return _by_interval(frames, StructType.fromDDL(schemas.PCM), rows)

@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from tessera.functions import streams as S
 from tessera.kernels import huffman
 from tessera.plans.bitlevel import _labels_sql
-from tessera.plans.common import table, units
+from tessera.plans.common import spread, table
+from tessera.storage import materialise
 
 
 def folded(digest):
@@ -170,16 +171,25 @@ EVERY, MAJOR_BYTES, MINOR_BYTES = 8, 298, 250
 
 def _event_streams(spark, sf_dir):
     """A stream for each user: an event is a unit, whose samples rise on the left and fall on the right from its value on."""
+    import itertools
+
+    import numpy as np
+    import pyarrow as pa
+
     from tessera.kernels import synth
 
-    def run(frame):
-        levels = [int(v) for v in frame.sort_values("au")["level"]]
-        data = synth.encode([[[v + i, 2 * i - v] for i in range(40)] for v in levels], every=EVERY)
-        return frame.__class__({"stream_id": [str(frame["stream_id"].iloc[0])], "data": [data]})
+    def run(batches):
+        step = np.arange(40)
+        every = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for stream, rows in itertools.groupby(every, lambda row: row[0]):
+            levels = np.array([int(level) for _, level in rows])[:, None]
+            data = synth.encode(np.stack([levels + step, 2 * step - levels], axis=2), every=EVERY)
+            yield pa.RecordBatch.from_arrays([pa.array([stream], pa.string()), pa.array([data], pa.binary())], ["stream_id", "data"])
 
-    events = units(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
-    levels = events.select("stream_id", "au", (F.floor(F.col("value") * 10) % 60_000).cast("long").alias("level"))
-    return levels.groupBy("stream_id").applyInPandas(run, "stream_id string, data binary")
+    events = table(spark, sf_dir, "events")
+    levels = events.select(F.col("user_id").cast("string").alias("stream_id"), "ts", "event_id", (F.floor(F.col("value") * 10) % 60_000).cast("long").alias("level"))
+    ordered = spread(levels, "stream_id").sortWithinPartitions("stream_id", "ts", "event_id")
+    return ordered.select("stream_id", "level").mapInArrow(run, "stream_id string, data binary")
 
 
 _LEVELS = """levels AS (SELECT CAST(user_id AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS au, CAST(floor(value * 10) AS BIGINT) % 60000 AS level FROM events)"""
@@ -238,7 +248,7 @@ def q43_verify_streams(spark, sf_dir):
     """The whole conformance run over the users' streams; of every fifth the last byte, a checksum, is damaged."""
     from tessera import api
 
-    streams = _event_streams(spark, sf_dir)
+    streams = materialise(_event_streams(spark, sf_dir), "streams")
     size = F.octet_length("data")
     last = F.conv(F.hex(F.substring(F.col("data"), size, F.lit(1))), 16, 10).cast("int")
     damaged = F.concat(F.substring(F.col("data"), F.lit(1), size - 1), F.unhex(F.lpad(F.hex(last.bitwiseXOR(F.lit(255))), 2, "0")))
@@ -264,7 +274,7 @@ def q44_decode_streams(spark, sf_dir):
     from tessera.operators import conformance, frames
     from tessera.operators import units as parsing
 
-    streams = _event_streams(spark, sf_dir)
+    streams = materialise(_event_streams(spark, sf_dir), "streams")
     samples = api.decode(streams, [0])
 
     def run(batches):

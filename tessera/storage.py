@@ -52,6 +52,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def side_by_side(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join that never goes through the driver.
+
+    A table's size is estimated from its compressed files and the columns read;
+    narrow rows of millions of units pass for a few megabytes, and the driver
+    would gather them all for a broadcast.
+    """
+    return df.hint("merge")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
