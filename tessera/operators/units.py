@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from tessera import schemas
 from tessera.kernels import syntax
+from tessera.storage import spread
 
 
 def _by_interval(frames: DataFrame, schema: StructType, rows) -> DataFrame:
@@ -35,7 +36,7 @@ def _by_interval(frames: DataFrame, schema: StructType, rows) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     chosen = frames.select("stream_id", "segment", "au", "au_offset", "is_major", "data")
-    return chosen.repartition("stream_id", "segment").sortWithinPartitions("stream_id", "segment", "au").mapInArrow(run, schema)
+    return spread(chosen, "stream_id", "segment").sortWithinPartitions("stream_id", "segment", "au").mapInArrow(run, schema)
 
 
 def _unit_row(row: dict, unit: dict) -> dict:

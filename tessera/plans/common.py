@@ -18,11 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame, *columns: str) -> DataFrame:
-    """Rows by some columns, over as many tasks as the session's shuffles have: those that cost much are not merged for being narrow."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
 def epoch_ms(ts: str) -> Column:
     """Milliseconds of a timestamp without zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', {ts})")

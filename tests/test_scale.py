@@ -32,3 +32,31 @@ def test_a_conformance_run_gathers_no_units_on_the_driver(spark, some):
 def test_serial_timing_takes_no_task_of_its_own_for_a_stream(spark, some):
     shared = conformance.follow(parsing.units(framed.frames(some)), depths=False)
     assert "MapInArrow" in _plan(splices.serial_timing(shared.units))
+
+
+def test_a_block_without_codes_is_read_at_once(monkeypatch):
+    data, samples = synth.stream(units=16, channels=2, seed=4)
+    reads, get = [], B.BitReader.get
+    monkeypatch.setattr(B.BitReader, "get", lambda self, bits: reads.append(bits) or get(self, bits))
+    out, reader = [], None
+    for *_, major, unit in framing.scan(data)[0]:
+        reader = syntax.Interval([0]) if major else reader
+        out += reader.unit(unit)["pcm"][0]
+    assert out == samples
+    assert len(reads) < 40 * 16
+
+
+def test_samples_out_of_range_stop_as_one_by_one():
+    data = synth.encode([[[1 << 23, 5]] * 40], every=8)
+    (*_, unit), = framing.scan(data)[0]
+    assert syntax.Interval().unit(unit)["stopped"] is None  # wraps in 24 bits
+    header = synth.segment([[3, 4]] * 40, synth.restart_header(2, 200, 0), [], [[0] * 8] * 2, width=16)
+    unit = synth.unit(0, synth.major_sync(syntax.FBA, 0, 1, 0x14), [header], True)
+    assert syntax.Interval([0]).unit(unit)["pcm"][0] == [[3, 4]] * 40
+
+
+def test_seeds_leap_as_they_step():
+    seed = 0x5A5A5A
+    for steps in range(50):
+        assert syntax.later_seed(0x5A5A5A, steps) == seed
+        seed = syntax.next_seed(seed)
