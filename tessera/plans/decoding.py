@@ -204,10 +204,10 @@ def q41_frame_stream(spark, sf_dir):
     source, sink, state = (fresh_path(spark, name) for name in ("chunks", "frames", "state"))
     chunks.write.parquet(source)
     arriving = spark.readStream.schema("stream_id string, seq int, data binary").parquet(source)
-    running = frames_stream(arriving).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
+    units = frames_stream(arriving).withColumn("bytes", F.octet_length("data").cast("long")).drop("data")
+    running = units.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start()
     running.awaitTermination()
-    found = spark.read.schema("stream_id string, au long, au_offset long, segment long, is_major boolean, data binary").parquet(sink)
-    return found.select("stream_id", "au", "au_offset", "segment", "is_major", F.octet_length("data").cast("long").alias("bytes"))
+    return spark.read.schema("stream_id string, au long, au_offset long, segment long, is_major boolean, bytes long").parquet(sink)
 
 
 Q41 = f"""WITH {_LEVELS}

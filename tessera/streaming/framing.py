@@ -24,10 +24,9 @@ def frames_stream(chunks: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         scanner = Scanner(*(bytes(v) if isinstance(v, (bytes, bytearray)) else v for v in state.get)) if state.exists else Scanner()
-        rows = []
-        for data in pd.concat(list(frames)).sort_values("seq")["data"]:
-            rows += [(key[0], n, at, s, m, d) for n, at, s, m, d in scanner.push(bytes(data))]
+        chunks = sorted(((seq, data) for frame in frames for seq, data in zip(frame["seq"].tolist(), frame["data"].tolist(), strict=True)), key=lambda c: c[0])
+        rows = scanner.push(b"".join(data for _, data in chunks))
         state.update((scanner.left, scanner.offset, scanner.substreams, scanner.index, scanner.segment, scanner.errors))
-        yield pd.DataFrame(rows, columns=NAMES)
+        yield pd.DataFrame(dict(zip(NAMES, ([key[0]] * len(rows), *(zip(*rows, strict=True) if rows else [[]] * 5)), strict=True)))
 
     return chunks.groupBy("stream_id").applyInPandasWithState(step, UNITS, STATE, "append", GroupStateTimeout.NoTimeout)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from tessera.kernels import bits as B
@@ -9,6 +11,7 @@ from tessera.kernels import framing, synth, syntax
 from tessera.operators import conformance, splices
 from tessera.operators import frames as framed
 from tessera.operators import units as parsing
+from tessera.plans import decoding
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +63,13 @@ def test_seeds_leap_as_they_step():
     for steps in range(50):
         assert syntax.later_seed(0x5A5A5A, steps) == seed
         seed = syntax.next_seed(seed)
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not here")
+def test_streams_are_made_without_a_join_or_a_task_for_each(spark):
+    plan = _plan(decoding._event_streams(spark, DATA))
+    assert "MapInArrow" in plan
+    assert not [word for word in ("Join", "FlatMapGroups", "Window") if word in plan]
