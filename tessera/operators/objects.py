@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -17,6 +18,8 @@ EVENTS = (
     "stream_id string, au long, id int, sample_pos long, active boolean, pos array<double>, snap boolean, elevation boolean, zones string, size double, importance double, gain string, ramp_length int, "
     "trim_bypass boolean, dialog int, music int, screen_factor double, depth_factor double, head_track_mode string, binaural_render_mode string, restates boolean, error string"
 )
+#: Payloads read, and rows handed on, at once.
+SLICE, FLUSHED = 500, 2_000
 #: Event fields that are written only when they change.
 CHANGING = ("active", "pos", "snap", "elevation", "zones", "size", "importance", "gain", "ramp_length", "trim_bypass", "dialog", "music", "screen_factor", "depth_factor", "head_track_mode", "binaural_render_mode")
 
@@ -33,15 +36,20 @@ def _each(metadata: DataFrame, schema: str, rows) -> DataFrame:
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        # what is held is a slice of payloads and the rows to be handed on, whatever a batch and its payloads hold
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                try:
-                    out.extend(rows(row, kernel.parse(row["data"] or b"")))
-                except (kernel.Unsupported, B.EndOfData, IndexError) as problem:
-                    out.append({"stream_id": row["stream_id"], "au": row["au"], "error": str(problem)})
-            yield pa.RecordBatch.from_pylist([{name: r.get(name) for name in arrow.names} for r in out], schema=arrow)
+            for low in range(0, batch.num_rows, SLICE):
+                for row in batch.slice(low, SLICE).to_pylist():
+                    try:
+                        yield from rows(row, kernel.parse(row["data"] or b""))
+                    except (kernel.Unsupported, B.EndOfData, IndexError) as problem:
+                        yield {"stream_id": row["stream_id"], "au": row["au"], "error": str(problem)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = parsed(batches)
+        while part := list(itertools.islice(found, FLUSHED)):
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in part], f.type) for f in arrow], schema=arrow)
 
     return metadata.mapInArrow(run, schema)
 

@@ -220,15 +220,19 @@ MOVING = 4
 
 def q42_object_metadata(spark, sf_dir):
     """Positions and gains of the objects of a payload made from each event."""
+    import pyarrow as pa
+
     from tessera.kernels import synth
     from tessera.operators import objects
 
     def run(batches):
-        for frame in batches:
-            data = [synth.object_payload(MOVING, 0, pick=lambda index, field, limit, k=int(k): (k * (7 + field) + index * 13 + field * 5) % limit) for k in frame["au"]]
-            yield frame.assign(data=data)
+        for batch in batches:
+            for part in (batch.slice(low, 2000) for low in range(0, batch.num_rows, 2000)):
+                data = [synth.object_payload(MOVING, 0, pick=lambda index, field, limit, k=k: (k * (7 + field) + index * 13 + field * 5) % limit) for k in part.column("au").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], ["stream_id", "au", "data"])
 
-    payloads = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("au")).mapInPandas(run, "stream_id string, au long, data binary")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("au"))
+    payloads = spread(events, "au").mapInArrow(run, "stream_id string, au long, data binary")
     found = objects.objects(payloads)
     scaled = F.transform("pos", lambda x: F.round(x * 10_000).cast("long"))
     return found.select("stream_id", "au", "object_idx", "active", "in_bed", "gain", F.round(F.col("priority") * 32).cast("int").alias("priority"), "zones", "elevation", "snap", *[scaled[i].alias(axis) for i, axis in enumerate("xyz")])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 import pytest
 
 from tessera.kernels import bits as B
 from tessera.kernels import framing, synth, syntax
-from tessera.operators import conformance, splices
+from tessera.operators import conformance, objects, splices
 from tessera.operators import frames as framed
 from tessera.operators import units as parsing
 from tessera.plans import decoding
@@ -73,3 +74,21 @@ def test_streams_are_made_without_a_join_or_a_task_for_each(spark):
     plan = _plan(decoding._event_streams(spark, DATA))
     assert "MapInArrow" in plan
     assert not [word for word in ("Join", "FlatMapGroups", "Window") if word in plan]
+
+
+class _Run:
+    """Takes a table's place and gives the function that would run over its batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_objects_are_handed_on_in_small_batches(spark):
+    payload = synth.object_payload(4, seed=1)
+    rows = [{"stream_id": "s", "au": n, "data": payload if n else b"\xff"} for n in range(3000)]
+    found = [batch.num_rows for batch in objects.objects(_Run())(iter([pa.RecordBatch.from_pylist(rows)]))]
+    assert sum(found) == 2999 * 5 + 1
+    assert max(found) <= objects.FLUSHED
