@@ -142,16 +142,19 @@ def q40_huffman_decode(spark, sf_dir):
 
     def run(batches):
         for batch in batches:
-            keys, codes, values = [], [], []
+            keys, codes, counts, totals = [], [], [], []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for code in (1, 2, 3):
+                    count = total = 0
+                    for values in huffman.symbols(data or b"", code):
+                        count, total = count + len(values), total + sum(values)
                     keys.append(key)
                     codes.append(code)
-                    values.append(huffman.decode_all(data or b"", code))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(codes, pa.int32()), pa.array(values, pa.list_(pa.int32()))], ["p_partkey", "code", "values"])
+                    counts.append(count)
+                    totals.append(total)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.array(x, pa.int32()) for x in (codes, counts, totals))], ["p_partkey", "code", "symbols", "total"])
 
-    decoded = parts.mapInArrow(run, "p_partkey long, code int, values array<int>")
-    return decoded.select("p_partkey", "code", F.size("values").alias("symbols"), F.aggregate("values", F.lit(0), lambda a, x: a + x).alias("total"))
+    return spread(parts, "p_partkey").mapInArrow(run, "p_partkey long, code int, symbols int, total int")
 
 
 Q40 = """WITH RECURSIVE c(code, base, width) AS (VALUES (1, 4, 2), (2, 2, 1), (3, 1, 0)),

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.kernels import bits as B
-from tessera.kernels import framing, synth, syntax
+from tessera.kernels import framing, huffman, synth, syntax
 from tessera.operators import conformance, objects, splices
 from tessera.operators import frames as framed
 from tessera.operators import units as parsing
@@ -92,3 +92,18 @@ def test_objects_are_handed_on_in_small_batches(spark):
     found = [batch.num_rows for batch in objects.objects(_Run())(iter([pa.RecordBatch.from_pylist(rows)]))]
     assert sum(found) == 2999 * 5 + 1
     assert max(found) <= objects.FLUSHED
+
+
+def test_parts_are_decoded_by_all_tasks_and_words(spark, monkeypatch):
+    reads = []
+    monkeypatch.setattr(huffman, "read", lambda *a: reads.append(a))
+    assert huffman.decode_all(bytes([0b11101001, 0b00000001]), 1) == [3, 6, -6]
+    assert huffman.decode_all(bytes(9000), 3) == [-7] * 8000
+    assert not reads
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are not here")
+@pytest.mark.parametrize("name", ["q40_huffman_decode", "q42_object_metadata"])
+def test_one_file_is_work_for_all_tasks(spark, name):
+    frame = decoding.QUERIES[name][0](spark, DATA)
+    assert "REPARTITION_BY_NUM" in _plan(frame)
