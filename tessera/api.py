@@ -142,9 +142,19 @@ def decode(streams: DataFrame, presentations: list[int] | None = None, dither_ta
     """
     table = dither.load(dither_table) if dither_table else None
     samples = parsing.pcm(_framed(streams)[0], [3] if presentations is None else presentations, table)
-    if keep_repeated:
-        return samples
-    samples = materialise(samples, "samples")
+    return samples if keep_repeated else _once(materialise(samples, "samples"))
+
+
+def decode_checked(streams: DataFrame, presentations: list[int] | None = None, dither_table: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Samples as from :func:`decode`, and each interval's check as from conformance.lossless_checks, from one reading of the streams."""
+    table = dither.load(dither_table) if dither_table else None
+    both = materialise(parsing.pcm_and_headers(_framed(streams)[0], [3] if presentations is None else presentations, table), "samples")
+    samples = _once(both.where("presentation is not null").drop("is_unit", "restarts", "stopped"))
+    return samples, conformance.lossless_checks(samples, both.where("is_unit").select("stream_id", "segment", "restarts", "stopped"))
+
+
+def _once(samples: DataFrame) -> DataFrame:
+    """Samples without the units that a splice repeats."""
     return samples.join(side_by_side(carry.repeated_units(samples)), ["stream_id", "presentation", "au"], "left_anti").select(*samples.columns)
 
 

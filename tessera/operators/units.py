@@ -55,8 +55,8 @@ def _unit_row(row: dict, unit: dict) -> dict:
     return same | {k: unit.get(k) for k in ("length", "input_timing", "directory", "restarts", "segments", "stopped")} | {"config": config, "extra": extra, "notes": notes}
 
 
-def units(frames: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
-    """Each unit parsed, with the columns ``names`` or all; after one that ended early the rest of its interval is skipped, as nothing there can be trusted."""
+def units(frames: DataFrame) -> DataFrame:
+    """Each unit parsed; after one that ended early the rest of its interval is skipped, as nothing there can be trusted."""
 
     def rows(interval: list[dict]) -> Iterator[dict]:
         reader = syntax.Interval()
@@ -66,23 +66,65 @@ def units(frames: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
             if unit["stopped"]:
                 return
 
-    schema = StructType.fromDDL(schemas.UNITS)
-    return _by_interval(frames, StructType([schema[n] for n in names]) if names else schema, rows)
+    return _by_interval(frames, StructType.fromDDL(schemas.UNITS), rows)
 
 
 def pcm(frames: DataFrame, presentations: list[int], dither_table: list[int] | None = None) -> DataFrame:
     """Samples of each unit and presentation, 24-bit little-endian, interleaved; copies and absent presentations resolve to what carries them."""
 
     def rows(interval: list[dict]) -> Iterator[dict]:
-        reader = syntax.Interval(presentations, dither_table)
+        return (sample for _, samples in _decoded(interval, presentations, dither_table) for sample in samples)
+
+    return _by_interval(frames, StructType.fromDDL(schemas.PCM), rows)
+
+
+def pcm_and_headers(frames: DataFrame, presentations: list[int], dither_table: list[int] | None = None) -> DataFrame:
+    """Rows of :func:`pcm`, and, where ``is_unit``, the columns restarts and stopped of :func:`units`, in one reading.
+
+    A row may be both; ``presentation`` is null in one that is no sample's.  An
+    interval in which decoding stops is parsed again, as parsing may go on.
+    """
+
+    def rows(interval: list[dict]) -> Iterator[dict]:
+        ended, none = False, {"is_unit": False, "restarts": None, "stopped": None}
+        found = []
+        for unit, samples in _decoded(interval, presentations, dither_table):
+            ended = ended or bool(unit["stopped"])
+            header = {"stream_id": interval[0]["stream_id"], "segment": interval[0]["segment"], "is_unit": True, "restarts": unit["restarts"], "stopped": unit["stopped"]}
+            found.append((header, list(samples)))
+        if not ended:
+            for header, samples in found:
+                for sample in samples or [{}]:
+                    yield sample | header
+                    header = none
+            return
+        yield from (sample | none for _, samples in found for sample in samples)
+        reader = syntax.Interval()
         for row in interval:
             unit = reader.unit(row["data"])
+            yield {"stream_id": row["stream_id"], "segment": row["segment"], "is_unit": True, "restarts": unit["restarts"], "stopped": unit["stopped"]}
             if unit["stopped"]:
                 return
-            restarted = next((r["output_timing"] for r in unit["restarts"] if r["block"] == 0), None)
-            for presentation, samples in sorted(unit["pcm"].items()):
-                data = (np.array(samples, np.int64).reshape(-1) & 0xFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-                substream = reader.substreams[presentation]
-                yield {k: row[k] for k in ("stream_id", "segment", "au")} | {"presentation": presentation, "samples": len(samples), "channels": substream.max_matrix_chan + 1, "pcm": data, "digest": substream.digest, "width": substream.width, "output_timing": restarted}
 
-    return _by_interval(frames, StructType.fromDDL(schemas.PCM), rows)
+    pcm_fields = StructType.fromDDL(schemas.PCM).fields
+    more = [f for f in StructType.fromDDL(schemas.HEADERS).fields if f.name not in ("stream_id", "segment")]
+    return _by_interval(frames, StructType([*pcm_fields, *more]), rows)
+
+
+def _decoded(interval: list[dict], presentations: list[int], dither_table: list[int] | None) -> Iterator[tuple[dict, Iterator[dict]]]:
+    """Each unit of an interval and its samples, up to one that ends early."""
+    reader = syntax.Interval(presentations, dither_table)
+    for row in interval:
+        unit = reader.unit(row["data"])
+        if unit["stopped"]:
+            yield unit, iter(())
+            return
+        yield unit, _samples(row, unit, reader)
+
+
+def _samples(row: dict, unit: dict, reader: syntax.Interval) -> Iterator[dict]:
+    restarted = next((r["output_timing"] for r in unit["restarts"] if r["block"] == 0), None)
+    for presentation, samples in sorted(unit["pcm"].items()):
+        data = (np.array(samples, np.int64).reshape(-1) & 0xFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        substream = reader.substreams[presentation]
+        yield {k: row[k] for k in ("stream_id", "segment", "au")} | {"presentation": presentation, "samples": len(samples), "channels": substream.max_matrix_chan + 1, "pcm": data, "digest": substream.digest, "width": substream.width, "output_timing": restarted}

@@ -278,11 +278,9 @@ def q44_decode_streams(spark, sf_dir):
     import pyarrow as pa
 
     from tessera import api
-    from tessera.operators import conformance, frames
-    from tessera.operators import units as parsing
 
     streams = materialise(_event_streams(spark, sf_dir), "streams")
-    samples = api.decode(streams, [0])
+    samples, checks = api.decode_checked(streams, [0])
 
     def run(batches):
         for batch in batches:
@@ -295,7 +293,6 @@ def q44_decode_streams(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("stream_id", "au", "samples", "channels")] + [pa.array(sums[:, k]) for k in (0, 1)], ["stream_id", "au", "samples", "channels", "left", "right"])
 
     added = samples.select("stream_id", "au", "samples", "channels", "pcm").mapInArrow(run, "stream_id string, au long, samples int, channels int, left long, right long")
-    checks = conformance.lossless_checks(samples, materialise(parsing.units(frames.frames(streams), ("stream_id", "segment", "restarts", "stopped")), "restarts"))
     good = checks.groupBy("stream_id").agg(F.count_if(F.col("calculated") == F.col("stated")).alias("lossless"))
     return added.join(good, "stream_id", "left").withColumn("lossless", F.coalesce("lossless", F.lit(0).cast("long")))
 

@@ -24,4 +24,5 @@ UNITS = (
     f"stream_id string, au long, au_offset long, segment long, length int, input_timing int, is_major boolean, config {CONFIG}, "
     f"directory {DIRECTORY}, restarts {RESTARTS}, segments {SEGMENTS}, extra {EXTRA}, notes {NOTES}, stopped string"
 )
+HEADERS = f"stream_id string, segment long, is_unit boolean, restarts {RESTARTS}, stopped string"
 PCM = "stream_id string, presentation int, segment long, au long, samples int, channels int, pcm binary, digest long, width long, output_timing int"

@@ -107,3 +107,16 @@ def test_parts_are_decoded_by_all_tasks_and_words(spark, monkeypatch):
 def test_one_file_is_work_for_all_tasks(spark, name):
     frame = decoding.QUERIES[name][0](spark, DATA)
     assert "REPARTITION_BY_NUM" in _plan(frame)
+
+
+def test_one_reading_gives_samples_and_headers(spark):
+    loud = bytearray(synth.encode([[[(1 << 22) + 5, 5]] * 40] * 20, every=4, coeffs=(2040,)))  # predictions near the limits
+    cut = bytearray(synth.stream(units=20, seed=9)[0])
+    cut[700] ^= 1
+    rows = [("loud", loud), ("cut", cut), ("good", bytearray(synth.stream(units=20, seed=8)[0]))]
+    found = framed.frames(spark.createDataFrame(rows, "stream_id string, data binary"))
+    both, samples, units = parsing.pcm_and_headers(found, [0, 3]).cache(), parsing.pcm(found, [0, 3]), parsing.units(found)
+    names = ["stream_id", "segment", "restarts", "stopped"]
+    assert sorted(map(repr, both.where("presentation is not null").select(samples.columns).collect())) == sorted(map(repr, samples.collect()))
+    assert sorted(map(repr, both.where("is_unit").select(names).collect())) == sorted(map(repr, units.select(names).collect()))
+    both.unpersist()
